@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What counts as a line break and as white space, over the whole of Unicode.
 _BREAK = r"\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029"
@@ -69,7 +70,7 @@ def unescape_named(c: Column) -> Column:
     return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), NAMED_ENTITIES, c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_full_udf(s: pd.Series) -> pd.Series:
     """Decode every named and numeric reference (Arrow batches; slower than the named subset)."""
     return s.map(html.unescape, na_action="ignore")

@@ -75,10 +75,15 @@ def _best(pairs: DataFrame) -> DataFrame:
     return best.select("token", F.col("b.word").alias("correction"), F.col("b.distance").alias("distance"))
 
 
+def unknown_words(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Tokens long enough to be corrected that the dictionary does not know."""
+    return tokens.where(F.length("token") >= MIN_LENGTH).join(
+        dictionary, F.col("token") == F.col("word"), "left_anti")
+
+
 def corrections(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Best dictionary word for each unknown token that has one within two edits."""
-    unknown = tokens.where(F.length("token") >= MIN_LENGTH).join(
-        dictionary, F.col("token") == F.col("word"), "left_anti")
+    unknown = unknown_words(tokens, dictionary)
     first = _best(candidates(unknown, dictionary, 1))
     rest = unknown.join(first, "token", "left_anti")
     return first.unionByName(_best(candidates(rest, dictionary, 2)))

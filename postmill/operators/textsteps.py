@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.functions.masking import mask_pii
 from postmill.operators import spelling
@@ -23,7 +24,7 @@ def rewrite(c: Column, make: Callable[[], Rewriter]) -> Column:
 
     ``make`` builds it once per task. A text it fails on, or that is empty, stays as it is.
     """
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         call = make()
 
@@ -57,7 +58,7 @@ def wrap_chunks(text: str, width: int = CHUNK) -> list[str]:
     return [p for p in pieces if p.strip()]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def chunks_udf(texts: pd.Series) -> pd.Series:
     return texts.map(wrap_chunks, na_action="ignore")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["messages", "reports"]
+MODULES = ["messages", "reports", "attachments", "text", "sinks", "streams"]
 
 
 def catalog() -> dict[str, tuple]:

@@ -31,7 +31,8 @@ def build_session(app: str = "postmill", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {**RUNTIME_CONF, **STREAM_STATE_CONF, "spark.ui.enabled": "false"}
+    settings = {**RUNTIME_CONF, **STREAM_STATE_CONF, "spark.ui.enabled": "false",
+                "spark.ui.showConsoleProgress": "false"}
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
