@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.text import strip
+from postmill.functions.text import first_filled, strip
 
 # --- fixed values: header lines a rendered message writes itself --------------------------------
 OWN_HEADERS = ["Subject", "From", "To", "Cc", "Bcc", "Date", "Message-ID"]
@@ -45,9 +45,7 @@ def parent_id(headers: Column) -> Column:
 
 def thread_id(refs: Column, parent: Column, message_id: Column) -> Column:
     """First bracketed reference, else the parent, else the message's own id."""
-    first_ref = F.regexp_extract(refs, r"<[^<>\s]*>", 0)
-    return F.coalesce(
-        F.nullif(first_ref, F.lit("")), F.nullif(parent, F.lit("")), message_id, F.lit(""))
+    return first_filled(F.regexp_extract(refs, r"<[^<>\s]*>", 0), parent, message_id)
 
 
 def received_hops(headers: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.text import strip, text_or_empty
+from postmill.functions.text import first_filled, strip, text_or_empty
 
 
 def timestamp_text(ts: Column) -> Column:
@@ -29,7 +29,7 @@ def email_id(message_id: Column, subject: Column, sender_email: Column, sender_n
              delivery_time: Column) -> Column:
     """16 hex digits: of the message id if there is one, else of subject, sender and time."""
     mid = text_or_empty(message_id)
-    sender = F.coalesce(F.nullif(text_or_empty(sender_email), F.lit("")), text_or_empty(sender_name))
+    sender = first_filled(sender_email.cast("string"), sender_name.cast("string"))
     when = F.coalesce(timestamp_text(delivery_time), F.lit("None"))
     content = F.concat_ws("|", text_or_empty(subject), sender, when)
     return F.when(strip(mid) != "", F.substring(F.sha2(mid, 256), 1, 16)).otherwise(
@@ -52,11 +52,8 @@ def parse_iso(c: Column) -> Column:
 
 def dedup_key(email_id_: Column, message_id: Column, subject: Column, sender: Column, from_: Column,
               received: Column, sent: Column) -> Column:
-    """Key of a message for duplicate removal; null means never a duplicate."""
-    def ne(c: Column) -> Column:
-        return F.nullif(text_or_empty(c), F.lit(""))
-    who, when = F.coalesce(ne(sender), ne(from_)), F.coalesce(ne(received), ne(sent))
-    content = F.when(
-        F.coalesce(ne(subject), who, when).isNotNull(),
-        F.concat_ws("|", text_or_empty(subject), text_or_empty(who), text_or_empty(when)))
-    return F.coalesce(ne(email_id_), ne(message_id), content)
+    """Key of a message for duplicate removal; '' means never a duplicate."""
+    who, when = first_filled(sender, from_), first_filled(received, sent)
+    content = F.concat_ws("|", text_or_empty(subject), who, when)
+    # Three empty parts leave the two separators only.
+    return first_filled(email_id_, message_id, F.regexp_replace(content, r"^\|\|$", ""))

@@ -93,6 +93,15 @@ def rtf_strip(c: Column) -> Column:
     return collapse_whitespace(unescape_named(F.translate(F.coalesce(c, F.lit("")), "{}", "")))
 
 
+def first_filled(*columns: Column) -> Column:
+    """The first value that is neither null nor empty, else ''.
+
+    Each argument is named once, so conditions on the result stay small when they are pushed down.
+    """
+    filled = F.filter(F.array(*columns), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.coalesce(F.try_element_at(filled, F.lit(1)), F.lit(""))
+
+
 def _non_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

@@ -54,8 +54,8 @@ def with_safe_name(att: DataFrame) -> DataFrame:
 # LAST_SUFFIX matter, so the list of children of one name is bounded.
 
 
-def _links(att: DataFrame, keys: list[str], index: str, name: str) -> DataFrame:
-    """Pairs of present names where one is the other plus a number, with the parent's earlier files."""
+def _links(att: DataFrame, keys: list[str], index: str, name: str) -> DataFrame | None:
+    """Pairs of present names where one is the other plus a number, with the parent's earlier files; None if there is no such pair."""
     names = att.groupBy(*keys, name).agg(F.min(index).alias("child_first"))
     stem = X.name_stem(F.col(name))
     pattern = r"^(.+)_([2-9]|[1-9][0-9]{1,3})$"
@@ -63,7 +63,9 @@ def _links(att: DataFrame, keys: list[str], index: str, name: str) -> DataFrame:
     children = children.where(F.col("number").isNotNull()).select(
         *keys, F.col(name).alias("child"), "number", "child_first",
         F.concat(F.regexp_extract(stem, pattern, 1), X.name_suffix(F.col(name))).alias(name))
-    linked = children.join(names.select(*keys, name), keys + [name])
+    linked = written(children.join(names.select(*keys, name), keys + [name]), "links")
+    if linked.isEmpty():
+        return None
     # Position of the child's first file among the parent's files: number the parent's files and the
     # markers together, then take away the markers before.
     parents = linked.select(*keys, name).distinct()
@@ -103,35 +105,42 @@ def _settle(links: DataFrame, keys: list[str], name: str) -> DataFrame:
     return done.select(*keys, name, "taken", "state.skipped", "state.children")
 
 
+def _rules(links: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``taken`` and ``skipped`` of every linked name, parents before children, to any depth."""
+    parents = links.select(*keys, name).distinct()
+    as_child = links.select(*keys, F.col("child").alias(name)).distinct()
+    level = links.join(as_child, keys + [name], "left_anti").withColumn("taken", F.lit(False))
+    rules = None
+    while True:
+        done = written(_settle(level, keys, name), "settled")
+        heirs = done.select(*keys, F.explode("children").alias("c")).select(
+            *keys, F.col("c.child").alias(name), "c.taken")
+        # Children without children of their own still need their flag.
+        leaves = heirs.join(parents, keys + [name], "left_anti").withColumn("skipped", F.array().cast("array<int>"))
+        found = done.select(*keys, name, "taken", "skipped").unionByName(leaves)
+        rules = found if rules is None else rules.unionByName(found)
+        level = links.join(heirs, keys + [name])
+        if level.isEmpty():
+            return rules
+
+
 def stored_names(att: DataFrame, keys: Sequence[str] = tuple(MESSAGE), index: str = "attachment_index",
-                 name: str = "safe_name", depth: int = 3) -> DataFrame:
+                 name: str = "safe_name") -> DataFrame:
     """keys, index and ``stored_name``, unique within ``keys``.
 
     Only keys, index and name are read, once: that narrow table is written to the shared folder and
-    all steps work on it. ``depth`` is how many generations of literal numbered names are followed
-    (``a``, ``a_2``, ``a_2_2`` are three); raise it for mailboxes with longer chains.
+    all steps work on it. Literal numbered names are followed through all generations (``a``,
+    ``a_2``, ``a_2_2``, ...), one round of small joins for each.
     """
     keys = list(keys)
     att = written(att.select(*keys, index, name), "names")
     placed = numbered(att, keys + [name], [F.col(index)], [F.expr(f"{index} div {BLOCK}")], "_place", first=1)
-    links = written(_links(att, keys, index, name), "links")
-    as_child = links.select(*keys, F.col("child").alias(name)).distinct()
-    level = links.join(as_child, keys + [name], "left_anti").withColumn("taken", F.lit(False))
-    parents = links.select(*keys, name).distinct()
-    settled = None
-    for generation in range(depth):
-        last = generation + 1 == depth
-        done = _settle(level, keys, name)
-        rules = done.select(*keys, name, "taken", "skipped")
-        settled = rules if settled is None else settled.unionByName(rules)
-        heirs = done.select(*keys, F.explode("children").alias("c")).select(
-            *keys, F.col("c.child").alias(name), "c.taken")
-        # Children without children of their own still need their flag.
-        leaves = heirs if last else heirs.join(parents, keys + [name], "left_anti")
-        settled = settled.unionByName(leaves.withColumn("skipped", F.array().cast("array<int>")))
-        if not last:
-            level = links.join(heirs, keys + [name])
-    rows = placed.join(settled, keys + [name], "left")
+    links = _links(att, keys, index, name)
+    if links is None:
+        none = {"taken": F.lit(False), "skipped": F.array().cast("array<int>")}
+        rows = placed.withColumns(none)
+    else:
+        rows = placed.join(_rules(written(links, "numbered-links"), keys, name), keys + [name], "left")
     conflict = F.col("_place") - F.when(F.coalesce(F.col("taken"), F.lit(False)), 0).otherwise(1)
     skipped = F.coalesce(F.col("skipped"), F.array().cast("array<int>"))
     rows = rows.withColumns({"_conflict": conflict, "_number": F.aggregate(

@@ -11,7 +11,7 @@ from postmill.functions.identity import dedup_key
 
 
 def record_key() -> Column:
-    """Email_ID, else Message_ID, else subject|sender|time; null if all are empty."""
+    """Email_ID, else Message_ID, else subject|sender|time; '' if all are empty."""
     return dedup_key(*[F.col(c) for c in (
         "Email_ID", "Message_ID", "Subject", "Sender_Email", "From", "Date_Received", "Date_Sent")])
 
@@ -25,19 +25,19 @@ def keep_first(df: DataFrame, key: Column, order: Sequence[str] = ("scan_pos",))
     broadcast bound the wide rows are never moved; beyond it the runtime falls back to a
     sort-merge join and splits hot keys.
     """
-    keyed = df.withColumn("_key", F.nullif(key, F.lit("")))
+    keyed = df.withColumn("_key", F.coalesce(key, F.lit("")))
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    repeated = (keyed.where(F.col("_key").isNotNull())
-                .groupBy("_key").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_copies"))
-                .where("_copies > 1").drop("_copies"))
+    counted = keyed.groupBy("_key").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_copies"))
+    # One condition over key and count, so the key is not computed a second time below the aggregate.
+    repeated = counted.where(F.when(F.col("_key") == "", 0).otherwise(F.col("_copies")) > 1).drop("_copies")
     kept = keyed.join(repeated, "_key", "left").where(F.col("_first").isNull() | (F.col("_first") == place))
     return kept.drop("_key", "_first")
 
 
 def dedup_stats(df: DataFrame, key: Column) -> DataFrame:
-    """total, unique and duplicate rows; each row with a null key is its own."""
-    per_key = df.select(F.nullif(key, F.lit("")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    unique = F.sum(F.when(F.col("k").isNull(), F.col("n")).otherwise(1))
+    """total, unique and duplicate rows; each row without a key is its own."""
+    per_key = df.select(F.coalesce(key, F.lit("")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    unique = F.sum(F.when(F.col("k") == "", F.col("n")).otherwise(1))
     out = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(unique, F.lit(0)).alias("unique"))
     return out.withColumn("duplicates", F.col("total") - F.col("unique"))
 

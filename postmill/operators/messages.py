@@ -80,10 +80,16 @@ def with_scan_index(df: DataFrame) -> DataFrame:
 
 
 def with_fallback_id(df: DataFrame) -> DataFrame:
-    """Records without an Email_ID get ``email_{position in the scan}``."""
-    given = F.nullif(F.col("Email_ID"), F.lit(""))
-    by_place = F.concat(F.lit("email_"), F.col("scan_index").cast("string"))
-    return with_scan_index(df).withColumn("Email_ID", F.coalesce(given, by_place))
+    """Records without an Email_ID get ``email_{position in the scan}``.
+
+    Positions are counted on the narrow pair (place, id); only those of records without an id are
+    joined back, so the wide rows stay where they are.
+    """
+    has_id = F.coalesce(F.col("Email_ID"), F.lit("")) != ""
+    places = with_scan_index(df.select("scan_pos", has_id.alias("_has_id")))
+    given = places.where(~F.col("_has_id")).select(
+        "scan_pos", F.concat(F.lit("email_"), F.col("scan_index").cast("string")).alias("_given"))
+    return df.join(given, "scan_pos", "left").withColumn("Email_ID", F.coalesce("_given", "Email_ID")).drop("_given")
 
 
 def folder_page(df: DataFrame, folder: str, start: int = 0, limit: int = 100) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.session import shuffle_width
+
 MIN_LENGTH = 3  # shorter words are left alone
 # A placeholder such as <EMAIL>, a word, or what lies between.
 PIECES = r"<[A-Z][A-Z0-9_]*>|\p{L}+|[^\p{L}<]+|<"
@@ -39,35 +41,41 @@ def delete_keys(w: Column, distance: int) -> Column:
     return F.array_distinct(keys)
 
 
-def _within(a: Column, b: Column, bound: int) -> Column:
-    return F.levenshtein(a, b, bound) >= 0
-
-
-def edit_distance_up_to_two(token: Column, word: Column) -> Column:
+def _distance(token: Column, word: Column, lev: Column) -> Column:
     """0, 1 or 2 edits (insert, delete, replace, swap of neighbours); null beyond.
 
-    Two edits with a swap among them: the swap first, the swap last, or two swaps.
+    ``lev`` is the plain edit distance up to 4, else negative. A swap costs it two, so one swap
+    shows as 2 at equal length, a swap and an edit as at most 3, two swaps as at most 4. The swaps
+    are tried only for pairs where they can matter.
     """
-    two_with_swap = (F.exists(_swaps(token), lambda s: _within(s, word, 1))
-                     | F.exists(_swaps(word), lambda s: _within(token, s, 1))
-                     | F.arrays_overlap(_swaps(token), _swaps(word)))
-    return (F.when(token == word, 0)
-            .when(_within(token, word, 1) | F.array_contains(_swaps(word), token), 1)
-            .when(_within(token, word, 2) | two_with_swap, 2))
+    same_length = F.length(token) == F.length(word)
+    swap_then_edit = F.exists(_swaps(token), lambda s: F.levenshtein(s, word, 1) >= 0)
+    edit_then_swap = F.exists(_swaps(word), lambda s: F.levenshtein(token, s, 1) >= 0)
+    two_swaps = same_length & F.arrays_overlap(_swaps(token), _swaps(word))
+    return (F.when((lev >= 0) & (lev <= 1), lev)
+            .when((lev == 2) & same_length & F.array_contains(_swaps(word), token), 1)
+            .when(lev == 2, 2)
+            .when((lev == 3) & (swap_then_edit | edit_then_swap), 2)
+            .when((lev >= 3) & two_swaps, 2))
 
 
 def candidates(tokens: DataFrame, dictionary: DataFrame, distance: int) -> DataFrame:
     """(token, word, freq, distance) for all pairs within ``distance``.
 
     ``tokens`` has distinct ``token``s, ``dictionary`` distinct ``word``s. A pair usually shares
-    several keys, so equal pairs are merged before the check.
+    several keys, so equal pairs are merged before the check. The vocabulary is small in bytes but
+    costly per word, so it is spread to the full width by number, which the runtime does not undo.
     """
-    t = tokens.select("token", F.explode(delete_keys(F.col("token"), distance)).alias("key"))
+    width = shuffle_width(tokens.sparkSession)
+    t = tokens.repartition(width, "token")
+    t = t.select("token", F.explode(delete_keys(F.col("token"), distance)).alias("key"))
     w = dictionary.select("word", "freq", F.explode(delete_keys(F.col("word"), distance)).alias("key"))
     near = F.abs(F.length("token") - F.length("word")) <= distance
-    pairs = t.join(w, (t["key"] == w["key"]) & near).select("token", "word", "freq").distinct()
-    checked = pairs.withColumn("distance", edit_distance_up_to_two(F.col("token"), F.col("word")))
-    return checked.where(F.col("distance") <= distance)
+    shared = t.join(w, (t["key"] == w["key"]) & near)
+    pairs = shared.groupBy("token", "word").agg(F.first("freq").alias("freq"))
+    measured = pairs.withColumn("lev", F.levenshtein("token", "word", 2 * distance)).where("lev >= 0")
+    checked = measured.withColumn("distance", _distance(F.col("token"), F.col("word"), F.col("lev")))
+    return checked.where(F.col("distance") <= distance).drop("lev")
 
 
 def _best(pairs: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def sink_gzip(spark, sf):
 
 # The message text: first lines, foreign headers one by one, blank line, body.
 _TEXT = S.RECORDS + r""",
-texts AS (SELECT "Email_ID", scan_pos, "Date_Received_Timestamp" AS at,
+texts AS (SELECT "Email_ID", scan_pos, "Date_Received_Timestamp" AS received_at,
   array_to_string(list_filter(['Subject: ' || "Subject", 'From: ' || "From", 'To: ' || "To",
     CASE WHEN "CC" <> '' THEN 'Cc: ' || "CC" END, CASE WHEN "BCC" <> '' THEN 'Bcc: ' || "BCC" END,
     strftime(make_timestamp(("Date_Received_Timestamp" * 1000000)::BIGINT), 'Date: %a, %d %b %Y %H:%M:%S GMT'),
@@ -80,14 +80,14 @@ def render_message_text(spark, sf):
     return spark.read.parquet(path).select("Email_ID", "file_name", "rendered")
 
 
-@query(S.query(_TEXT, r"""SELECT scan_pos, 'From - ' || strftime(make_timestamp((at * 1000000)::BIGINT), '%a %b %d %H:%M:%S %Y') || chr(10)
+@query(S.query(_TEXT, r"""SELECT scan_pos, 'From - ' || strftime(make_timestamp((received_at * 1000000)::BIGINT), '%a %b %d %H:%M:%S %Y') || chr(10)
   || regexp_replace(rendered, '(?m)^From ', '>From ', 'g') AS mbox FROM texts"""))
 def mbox_message(spark, sf):
     return records(spark, sf).select("scan_pos", render.mbox_text().alias("mbox"))
 
 
 @query(S.query(_TEXT, r"""SELECT line, count(*) AS n FROM (SELECT unnest(string_split(
-  'From - ' || strftime(make_timestamp((at * 1000000)::BIGINT), '%a %b %d %H:%M:%S %Y') || chr(10) || rendered, chr(10))) AS line FROM texts)
+  'From - ' || strftime(make_timestamp((received_at * 1000000)::BIGINT), '%a %b %d %H:%M:%S %Y') || chr(10) || rendered, chr(10))) AS line FROM texts)
   WHERE regexp_matches(line, '^(From - |Message-ID: |Subject: )') GROUP BY line"""))
 def sink_mbox_text(spark, sf):
     path = writers.write_mbox(records(spark, sf), shared_dir(spark, "mbox"))

@@ -107,6 +107,13 @@ def domain_dictionaries(spark, sf):
 # --- spelling ----------------------------------------------------------------------------------
 
 
+# The SQL distance works on bytes, so letters beyond ASCII are given capital letters first (words are
+# lower-cased). Two edits change a word's set of letters in at most four places: a cheap first test.
+_ASCII = "translate({x}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
+_BITS = ("list_sum(list_distinct(list_transform(string_split({x}, ''), "
+         "lambda ch: 1::BIGINT << (ascii(ch) % 61))))::BIGINT")
+
+
 def _corrections(table: str, key: str, text: str) -> str:
     """Best correction by comparing every unknown word with every dictionary word of similar length."""
     return S.DICTIONARY + rf""",
@@ -115,8 +122,10 @@ pieces AS (SELECT {key} AS id, unnest(regexp_extract_all(t, '<[A-Z][A-Z0-9_]*>|\
   FROM (SELECT *, {text} AS t FROM {table})),
 tokens AS (SELECT DISTINCT lower(piece) AS token FROM pieces WHERE regexp_full_match(piece, '\p{{L}}+') AND length(piece) >= 3),
 unknown AS (SELECT token FROM tokens WHERE token NOT IN (SELECT word FROM dictionary)),
-near AS (SELECT token, word, freq, damerau_levenshtein(token, word) AS distance FROM unknown, dictionary
-  WHERE abs(length(token) - length(word)) <= 2 AND damerau_levenshtein(token, word) <= 2),
+letters AS (SELECT token, t, length(t) AS n, {_BITS.format(x='t')} AS bits FROM (SELECT token, {_ASCII.format(x='token')} AS t FROM unknown)),
+entries AS (SELECT word, freq, w, length(w) AS m, {_BITS.format(x='w')} AS bits FROM (SELECT word, freq, {_ASCII.format(x='word')} AS w FROM dictionary)),
+near AS (SELECT * FROM (SELECT token, word, freq, damerau_levenshtein(t, w) AS distance FROM letters, entries
+  WHERE abs(n - m) <= 2 AND bit_count(xor(letters.bits, entries.bits)) <= 4) WHERE distance <= 2),
 best AS (SELECT token, word FROM near QUALIFY row_number() OVER (PARTITION BY token ORDER BY distance, freq DESC, word) = 1)"""
 
 

@@ -44,7 +44,7 @@ def formats_of(formats: Sequence[str], allowed: Sequence[str] = FORMATS) -> list
 
 def write_json(records: DataFrame, path: str, compress: bool = False, mode: str = "overwrite") -> str:
     """JSON lines with all fields. Records without an id get one from their place in the scan."""
-    keyed = with_fallback_id(records).drop("scan_index") if "scan_pos" in records.columns else records
+    keyed = with_fallback_id(records) if "scan_pos" in records.columns else records
     return _save(keyed, "json", path, compress, mode, ignoreNullFields="false")
 
 
