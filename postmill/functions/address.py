@@ -22,8 +22,7 @@ def clean_recipients(c: Column) -> Column:
 
 def is_address(c: Column) -> Column:
     """Not blank and not the literal ``none``."""
-    s = F.lower(strip(F.coalesce(c, F.lit(""))))
-    return (s != "") & (s != "none")
+    return ~F.lower(strip(F.coalesce(c, F.lit("")))).isin("", "none")
 
 
 def normal_address(c: Column) -> Column:

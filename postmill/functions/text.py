@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 _BREAK = r"\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029"
 _SPACE = r"\s\x1c-\x1f"
 
+# The same as a set of characters.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+               "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 # --- fixed values: named character references decoded inside the JVM (ampersand last) ----------
 NAMED_ENTITIES = [
     ("&lt;", "<"),
@@ -51,8 +55,8 @@ def clean_utf8(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Remove white space of every kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, rf"(?U)^[{_SPACE}]+|[{_SPACE}]+$", "")
+    """Remove white space of every kind at both ends (``trim`` alone removes blanks only)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def collapse_whitespace(c: Column) -> Column:

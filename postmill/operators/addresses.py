@@ -37,11 +37,7 @@ def explode_addresses(df: DataFrame) -> DataFrame:
     parts = F.when(F.col("role_bit").isin(listed), F.split("cell", "[;,]")).otherwise(F.array("cell"))
     mentions = stacked.select("role_bit", F.explode(parts).alias("part"))
     return (mentions.select("role_bit", A.normal_address(F.col("part")).alias("address"))
-            .where(A.is_address(F.col("address"))))
-
-
-def role_bits(bit: Column) -> Column:
-    return F.expr("shiftleft(1, role_bit)") if bit is None else F.call_function("shiftleft", F.lit(1), bit)
+            .where(~F.col("address").isin("", "none")))
 
 
 def role_names(bits: Column) -> Column:
@@ -58,7 +54,7 @@ def count_mentions(mentions: DataFrame) -> DataFrame:
     address found in a third of all messages reaches the shuffle as one row per task.
     """
     return mentions.groupBy("address").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_or(role_bits(F.col("role_bit"))).alias("bits"))
+        F.count(F.lit(1)).alias("n"), F.bit_or(F.expr("shiftleft(1, role_bit)")).alias("bits"))
 
 
 def address_report(df: DataFrame, compact: bool = False, ordered: bool = True) -> DataFrame:

@@ -12,12 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.session import shuffle_width
+from postmill.session import shuffle_width, written
 
 MIN_LENGTH = 3  # shorter words are left alone
 # A placeholder such as <EMAIL>, a word, or what lies between.
 PIECES = r"<[A-Z][A-Z0-9_]*>|\p{L}+|[^\p{L}<]+|<"
-WORD = r"^\p{L}+$"
 
 
 def _deletes(w: Column) -> Column:
@@ -91,14 +90,16 @@ def unknown_words(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def corrections(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Best dictionary word for each unknown token that has one within two edits."""
-    unknown = unknown_words(tokens, dictionary)
-    first = _best(candidates(unknown, dictionary, 1))
+    # Vocabulary-sized tables that are needed several times; their source is the whole corpus.
+    dictionary = written(dictionary.select("word", "freq"), "dictionary")
+    unknown = written(unknown_words(tokens, dictionary), "unknown")
+    first = written(_best(candidates(unknown, dictionary, 1)), "first")
     rest = unknown.join(first, "token", "left_anti")
     return first.unionByName(_best(candidates(rest, dictionary, 2)))
 
 
 def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
-    """Distinct lower-cased words of a corpus, placeholders left out."""
+    """Distinct lower-cased words of a corpus."""
     return texts.select(F.explode(_words(F.col(column))).alias("token")).distinct()
 
 
@@ -107,8 +108,10 @@ def _pieces(c: Column) -> Column:
 
 
 def _words(c: Column) -> Column:
-    """Distinct lower-cased words of one text."""
-    return F.array_distinct(F.transform(F.filter(_pieces(c), lambda p: p.rlike(WORD)), F.lower))
+    """Distinct lower-cased words of one text. Words inside placeholders are among them; they are
+    never looked up."""
+    return F.array_distinct(F.transform(
+        F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\p{L}+"), F.lit(0)), F.lower))
 
 
 def spell_correct(texts: DataFrame, dictionary: DataFrame, key: str, column: str = "text",
@@ -121,9 +124,27 @@ def spell_correct(texts: DataFrame, dictionary: DataFrame, key: str, column: str
     fixes = corrections(vocabulary(texts, column), dictionary).select("token", "correction")
     words = texts.select(key, F.explode(_words(F.col(column))).alias("token"))
     hits = words.join(fixes, "token").groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "correction"))).alias("_fixes"))
-    fixed = F.array_join(F.transform(_pieces(F.col(column)), lambda p: F.coalesce(
-        F.try_element_at(F.col("_fixes"), F.lower(p)), p)), "")
-    joined = texts.join(hits, key, "left")
-    return joined.withColumn(out, F.when(F.col("_fixes").isNull(), F.coalesce(F.col(column), F.lit("")))
-                             .otherwise(fixed)).drop("_fixes")
+        F.collect_list(F.struct("token", "correction")).alias("_entries"))
+    found = texts.join(hits, key, "left").withColumn("_slots", _slotted(F.col("_entries")))
+
+    def fix(piece: Column) -> Column:
+        word = F.lower(piece)
+        own = F.get(F.col("_slots"), _slot(word, F.size("_slots")))
+        return F.when(F.length(piece) < MIN_LENGTH, piece).otherwise(F.coalesce(F.try_element_at(own, word), piece))
+    fixed = F.array_join(F.transform(_pieces(F.col(column)), fix), "")
+    return found.withColumn(out, F.when(F.col("_entries").isNull(), F.coalesce(F.col(column), F.lit("")))
+                            .otherwise(fixed)).drop("_entries", "_slots")
+
+
+def _slot(word: Column, slots: Column) -> Column:
+    return F.pmod(F.crc32(word), slots).cast("int")
+
+
+def _slotted(entries: Column) -> Column:
+    """A text's corrections as an array of small maps, about the square root of their number.
+
+    A map is searched from its start, so one map per text would cost its size for every word.
+    """
+    slots = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(entries))).cast("int"))
+    return F.transform(F.sequence(F.lit(0), slots - 1), lambda s: F.map_from_entries(
+        F.filter(entries, lambda e: _slot(e["token"], slots) == s)))

@@ -9,7 +9,7 @@ from postmill.operators import dedup, messages, spelling, textsteps
 from postmill.operators import dictionary as D
 from postmill.plans import statements as S
 from postmill.plans.queries_messages import records
-from postmill.session import shared_dir
+from postmill.session import shared_dir, written
 from postmill.sources import readers, sample
 
 Q: dict[str, tuple] = {}
@@ -131,7 +131,7 @@ best AS (SELECT token, word FROM near QUALIFY row_number() OVER (PARTITION BY to
 
 @query(S.query(_corrections("documents", "doc_id", "text"), "SELECT token, word, distance FROM near"))
 def spell_candidates(spark, sf):
-    dictionary = sample.dictionary(spark, sf)
+    dictionary = written(sample.dictionary(spark, sf), "dictionary")
     tokens = spelling.unknown_words(spelling.vocabulary(documents(spark, sf)), dictionary)
     return spelling.candidates(tokens, dictionary, 2).select("token", "word", F.col("distance").cast("bigint"))
 
