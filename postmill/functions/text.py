@@ -107,7 +107,8 @@ def first_filled(*columns: Column) -> Column:
 
 
 def _non_empty(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    """Null for ''. ``nullif`` would compute its argument twice inside ``coalesce``."""
+    return F.try_element_at(F.filter(F.array(c), lambda x: x != ""), F.lit(1))
 
 
 def resolve_body(plain: Column, html_body: Column, rtf: Column) -> Column:

@@ -172,7 +172,7 @@ def _saved(spark, sf) -> DataFrame:
 
 @query(S.query(_SAVED, 'SELECT "Email_ID", path, n_bytes FROM saved', True))
 def save_attachments(spark, sf):
-    path = writers.write_attachments(_saved(spark, sf), shared_dir(spark, "attachments"), buckets=16)
+    path = writers.write_attachments(_saved(spark, sf), shared_dir(spark, "attachments"))
     return spark.read.parquet(path).select("Email_ID", "path", F.octet_length("content").cast("bigint").alias("n_bytes"))
 
 

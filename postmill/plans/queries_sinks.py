@@ -76,7 +76,7 @@ texts AS (SELECT "Email_ID", scan_pos, "Date_Received_Timestamp" AS received_at,
 
 @query(S.query(_TEXT, """SELECT "Email_ID", "Email_ID" || '.eml' AS file_name, rendered FROM texts"""))
 def render_message_text(spark, sf):
-    path = writers.write_eml(records(spark, sf), shared_dir(spark, "eml"), buckets=16)
+    path = writers.write_eml(records(spark, sf), shared_dir(spark, "eml"))
     return spark.read.parquet(path).select("Email_ID", "file_name", "rendered")
 
 

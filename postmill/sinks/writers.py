@@ -73,13 +73,9 @@ def read_csv(spark, path: str, fields: Sequence[str] = EXPORT_FIELDS) -> DataFra
     return back.select(*[F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields])
 
 
-def write_eml(records: DataFrame, path: str, buckets: int = 256, mode: str = "overwrite") -> str:
-    """Rendered messages, keyed by file name, in folders by a prefix of the id."""
-    spread = F.pmod(F.crc32("Email_ID"), F.lit(buckets)).alias("bucket")
-    df = rendered(records).select("*", spread)
-    writer = df.write.mode(mode).partitionBy("bucket").option("maxRecordsPerFile", ROWS_PER_FILE)
-    writer.parquet(path)
-    return path
+def write_eml(records: DataFrame, path: str, compress: bool = False, mode: str = "overwrite") -> str:
+    """Rendered messages keyed by file name, as table rows: one file per task, not one per message."""
+    return _save(rendered(records), "parquet", path, compress, mode)
 
 
 def write_mbox(records: DataFrame, path: str, compress: bool = False, mode: str = "overwrite") -> str:
@@ -91,12 +87,10 @@ def write_index(index: DataFrame, path: str, mode: str = "overwrite") -> str:
     return _save(index, "parquet", path, mode=mode)
 
 
-def write_attachments(stored: DataFrame, path: str, buckets: int = 256, mode: str = "overwrite") -> str:
-    """Path and bytes of stored attachments, bucketed by the message's id."""
+def write_attachments(stored: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """Path and bytes of stored attachments, written from the tasks that hold them."""
     kept = [c for c in ("Email_ID", "scan_pos", "attachment_index", "path", "content") if c in stored.columns]
-    df = stored.select(*kept, F.pmod(F.crc32("Email_ID"), F.lit(buckets)).alias("bucket"))
-    # Narrow rows are not shuffled for this: every task writes the folders it has rows for.
-    df.write.mode(mode).partitionBy("bucket").option("maxRecordsPerFile", 100_000).parquet(path)
+    stored.select(*kept).write.mode(mode).option("maxRecordsPerFile", 100_000).parquet(path)
     return path
 
 
@@ -115,8 +109,7 @@ def fan_out(records: DataFrame, path: str, formats: Sequence[str], compress: boo
     try:
         out = {}
         for fmt in chosen:
-            extra = {"compress": compress} if fmt in ("json", "csv", "mbox") else {}
-            out[fmt] = _WRITERS[fmt](kept, f"{path}/{fmt}", mode=mode, **extra)
+            out[fmt] = _WRITERS[fmt](kept, f"{path}/{fmt}", compress=compress, mode=mode)
         return out
     finally:
         if kept is not records:
