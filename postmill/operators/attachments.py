@@ -13,7 +13,7 @@ from postmill.session import written
 
 MESSAGE = ["folder_path", "message_index"]
 # Attachments per output row of the enrichment, and rows per piece when positions are counted.
-PART = 1024
+PART = 64
 BLOCK = 4096
 LAST_SUFFIX = 9999  # fixed value: highest number tried for a free file name
 

@@ -30,7 +30,10 @@ def keep_first(df: DataFrame, key: Column, order: Sequence[str] = ("scan_pos",))
     counted = keyed.groupBy("_key").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_copies"))
     # One condition over key and count, so the key is not computed a second time below the aggregate.
     repeated = counted.where(F.when(F.col("_key") == "", 0).otherwise(F.col("_copies")) > 1).drop("_copies")
-    kept = keyed.join(repeated, "_key", "left").where(F.col("_first").isNull() | (F.col("_first") == place))
+    # Rows without a key match nothing; each gets a value of its own so they do not meet in one task.
+    own = F.concat(F.lit("\0"), place.cast("string"))
+    spread = keyed.withColumn("_key", F.when(F.col("_key") == "", own).otherwise(F.col("_key")))
+    kept = spread.join(repeated, "_key", "left").where(F.col("_first").isNull() | (F.col("_first") == place))
     return kept.drop("_key", "_first")
 
 

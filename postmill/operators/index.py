@@ -69,13 +69,18 @@ def message_list_view(df: DataFrame) -> DataFrame:
         D.sender_initials(F.col("From")).alias("initials"))
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Frames of one row each as one row of all their columns, without a join."""
+    stacked = rows[0]
+    for row in rows[1:]:
+        stacked = stacked.unionByName(row, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def run_summary(records: DataFrame, addresses: DataFrame, hosts: DataFrame) -> DataFrame:
     """Counts of a run in one row; each input is reduced to one row before they meet."""
-    r = records.agg(F.count(F.lit(1)).alias("email_count"),
-                    F.coalesce(F.sum(F.size("Attachment_Paths")), F.lit(0)).alias("attachments_saved"))
-    a = addresses.agg(F.count(F.lit(1)).alias("address_count"))
-    h = hosts.agg(F.count(F.lit(1)).alias("host_count"))
-    out = r.withColumn("_one", F.lit(1))
-    for part in (a, h):
-        out = out.join(part.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+    return side_by_side(
+        records.agg(F.count(F.lit(1)).alias("email_count"),
+                    F.coalesce(F.sum(F.size("Attachment_Paths")), F.lit(0)).alias("attachments_saved")),
+        addresses.agg(F.count(F.lit(1)).alias("address_count")),
+        hosts.agg(F.count(F.lit(1)).alias("host_count")))

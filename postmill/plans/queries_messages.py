@@ -378,11 +378,8 @@ def count_messages(spark, sf):
   FROM (SELECT internet_message_id = '' AS bad FROM mailbox ORDER BY scan_pos LIMIT 200)"""))
 def mailbox_health(spark, sf):
     m = sample.mailbox(spark, sf)
-    sized = _counts(spark, sf).withColumn("_one", F.lit(1))
-    total = m.agg(F.sum(F.length("transport_headers")).alias("bytes")).withColumn("_one", F.lit(1))
-    report = health.mailbox_health(m, F.col("internet_message_id") == "", sized.drop("_one"))
-    report = report.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
-    return report.withColumn("estimated_size_mb", F.round(F.col("bytes") / 1048576.0, 2)).drop("bytes")
+    size = m.agg(F.sum(F.length("transport_headers")).alias("bytes"))
+    return health.mailbox_health(m, F.col("internet_message_id") == "", _counts(spark, sf), size)
 
 
 @query(S.query(S.MAILBOX, "SELECT folder_path, count(*) AS n, sum(length(subject))::BIGINT AS chars FROM mailbox GROUP BY folder_path"))

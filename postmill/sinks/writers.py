@@ -42,9 +42,10 @@ def formats_of(formats: Sequence[str], allowed: Sequence[str] = FORMATS) -> list
 # --- message records ---------------------------------------------------------------------------
 
 
-def write_json(records: DataFrame, path: str, compress: bool = False, mode: str = "overwrite") -> str:
+def write_json(records: DataFrame, path: str, compress: bool = False, mode: str = "overwrite",
+               fill_ids: bool = True) -> str:
     """JSON lines with all fields. Records without an id get one from their place in the scan."""
-    keyed = with_fallback_id(records) if "scan_pos" in records.columns else records
+    keyed = with_fallback_id(records) if fill_ids and "scan_pos" in records.columns else records
     return _save(keyed, "json", path, compress, mode, ignoreNullFields="false")
 
 
@@ -99,7 +100,7 @@ _WRITERS: dict[str, Callable[..., str]] = {
 
 
 def fan_out(records: DataFrame, path: str, formats: Sequence[str], compress: bool = False,
-            mode: str = "overwrite") -> dict[str, str]:
+            mode: str = "overwrite", fill_ids: bool = True) -> dict[str, str]:
     """Write every format from one computation of the records.
 
     They are kept on executors' disks for the writes; a lost executor only recomputes its part.
@@ -109,7 +110,8 @@ def fan_out(records: DataFrame, path: str, formats: Sequence[str], compress: boo
     try:
         out = {}
         for fmt in chosen:
-            out[fmt] = _WRITERS[fmt](kept, f"{path}/{fmt}", compress=compress, mode=mode)
+            extra = {"fill_ids": fill_ids} if fmt == "json" else {}
+            out[fmt] = _WRITERS[fmt](kept, f"{path}/{fmt}", compress=compress, mode=mode, **extra)
         return out
     finally:
         if kept is not records:

@@ -19,7 +19,10 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", keep_unp
     schema = T.StructType(MESSAGES.fields + [T.StructField(CORRUPT, T.StringType())])
     df = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
           .option("recursiveFileLookup", "true").json(path))
-    return df if keep_unparsed else drop_unparsed(df)
+    if keep_unparsed:
+        return df
+    # The reader refuses plans that use the marker and no field; a length is never negative.
+    return drop_unparsed(df.withColumn(CORRUPT, F.coalesce(CORRUPT, F.when(F.length("folder_path") < 0, ""))))
 
 
 def parse_messages(lines: DataFrame, column: str, schema: T.StructType) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from postmill.operators import dictionary as D
 from postmill.operators import folders as FO
-from postmill.session import apply_runtime_conf
+from postmill.session import apply_runtime_conf, written
 
 START = "2024-01-01 00:00:00"
 
@@ -167,6 +167,7 @@ def dictionary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.when(F.length(w) % 2 == 0, _text(w, " many")).otherwise(_text(w, " ", f))
     mixed = F.when(F.length(w) == 17, _text(w, " two words ", f)).when(F.length(w) == 19, _text(w, " -", f)).otherwise(
         _text(w, "\t", f + 1))
-    return (words.select(F.lit("good").alias("source"), w.alias("line_no"), good.alias("line"))
+    lines = (words.select(F.lit("good").alias("source"), w.alias("line_no"), good.alias("line"))
             .unionByName(words.select(F.lit("bad").alias("source"), w.alias("line_no"), bad.alias("line")))
             .unionByName(docs.select(F.lit("mixed").alias("source"), w.alias("line_no"), mixed.alias("line"))))
+    return written(lines, "dictionary-lines")

@@ -57,11 +57,12 @@ def stream_dedup(records: DataFrame, key: str, time: str, out: str, checkpoint:
 def stream_export(records: DataFrame, out: str, checkpoint: str, formats: Sequence[str],
                   drain: bool = True) -> StreamingQuery:
     """Each micro-batch goes to every format. A batch owns the folder of its number, so a batch that
-    is run again after a failure replaces its own output."""
+    is run again after a failure replaces its own output. Records need an id: a place in the whole
+    scan is not known to a batch."""
     chosen = writers.formats_of(formats)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        writers.fan_out(batch, f"{out}/batch={batch_id}", chosen)
+        writers.fan_out(batch, f"{out}/batch={batch_id}", chosen, fill_ids=False)
     query = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if drain else query).start()
 
