@@ -75,15 +75,19 @@ def address_report(df: DataFrame, compact: bool = False, ordered: bool = True) -
 
 
 def explode_hosts(df: DataFrame) -> DataFrame:
+    """One row per host value: ``hop`` as given and ``Host``; empty hops are still among them."""
     is_array = dict(df.dtypes)["Received_Hops"].startswith("array")
-    hops = F.explode("Received_Hops") if is_array else F.col("Received_Hops")
-    values = df.select(hops.alias("hop")).where(F.col("hop") != "")
-    return values.select(strip(F.lower("hop")).alias("Host"))
+    hops = df.select((F.explode("Received_Hops") if is_array else F.col("Received_Hops")).alias("hop"))
+    return hops.select("hop", strip(F.lower("hop")).alias("Host"))
 
 
 def host_report(df: DataFrame, top: int | None = None) -> DataFrame:
-    """Host and Count, most frequent first, ties by host; ``top`` keeps that many."""
-    counted = explode_hosts(df).groupBy("Host").agg(F.count(F.lit(1)).alias("Count"))
+    """Host and Count, most frequent first, ties by host; ``top`` keeps that many.
+
+    Empty hops are left out by the count: a filter ahead of it would be pushed down and have the
+    header parsed a second time.
+    """
+    counted = explode_hosts(df).groupBy("Host").agg(F.count_if(F.col("hop") != "").alias("Count")).where("Count > 0")
     ordered = counted.orderBy(F.desc("Count"), "Host")
     return ordered.limit(top) if top else ordered
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from postmill.session import shuffle_width, written
 
 MIN_LENGTH = 3  # shorter words are left alone
+BROADCAST_BYTES = 64 << 20
+ROW_OVERHEAD = 80
 # A placeholder such as <EMAIL>, a word, or what lies between.
 PIECES = r"<[A-Z][A-Z0-9_]*>|\p{L}+|[^\p{L}<]+|<"
 
@@ -58,6 +60,18 @@ def _distance(token: Column, word: Column, lev: Column) -> Column:
             .when((lev >= 3) & two_swaps, 2))
 
 
+def _bounded_keys(dictionary: DataFrame, distance: int) -> DataFrame:
+    """Dictionary words by key, broadcast if an upper bound of their bytes, summed over the words,
+    allows it. Spark's own estimate does not see how many keys a word gives, so beyond the bound a
+    sort-merge join is asked for.
+    """
+    n = F.length("word").cast("bigint")
+    keys = 1 + n + (n * (n - 1) / 2 if distance > 1 else 0)
+    size = dictionary.agg(F.sum(keys * (F.octet_length("word") * 2 + ROW_OVERHEAD))).first()[0] or 0
+    exploded = dictionary.select("word", "freq", F.explode(delete_keys(F.col("word"), distance)).alias("key"))
+    return F.broadcast(exploded) if size <= BROADCAST_BYTES else exploded.hint("merge")
+
+
 def candidates(tokens: DataFrame, dictionary: DataFrame, distance: int) -> DataFrame:
     """(token, word, freq, distance) for all pairs within ``distance``.
 
@@ -68,7 +82,7 @@ def candidates(tokens: DataFrame, dictionary: DataFrame, distance: int) -> DataF
     width = shuffle_width(tokens.sparkSession)
     t = tokens.repartition(width, "token")
     t = t.select("token", F.explode(delete_keys(F.col("token"), distance)).alias("key"))
-    w = dictionary.select("word", "freq", F.explode(delete_keys(F.col("word"), distance)).alias("key"))
+    w = _bounded_keys(dictionary, distance)
     near = F.abs(F.length("token") - F.length("word")) <= distance
     shared = t.join(w, (t["key"] == w["key"]) & near)
     pairs = shared.groupBy("token", "word").agg(F.first("freq").alias("freq"))
