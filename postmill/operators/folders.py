@@ -79,8 +79,3 @@ def total_email_count(counts: DataFrame) -> DataFrame:
 
 def count_messages(messages: DataFrame) -> DataFrame:
     return messages.agg(F.count(F.lit(1)).alias("messages"))
-
-
-def scan_order(df: DataFrame) -> list[Column]:
-    """Depth-first order: a folder before its subfolders, then by position."""
-    return [path_segments(F.col("folder_path")), F.col("pos")]

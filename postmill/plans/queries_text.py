@@ -101,7 +101,7 @@ def domain_dictionaries(spark, sf):
     base = sample.dictionary(spark, sf)
     lines = base.select(F.lit("base").alias("source"), F.col("word").alias("line_no"),
                         F.concat_ws(" ", "word", F.col("freq").cast("string")).alias("line"))
-    return D.merge(sample.dictionary_lines(spark, sf).unionByName(lines))
+    return D.merge(written(sample.dictionary_lines(spark, sf).unionByName(lines), "all-lines"))
 
 
 # --- spelling ----------------------------------------------------------------------------------

@@ -97,3 +97,27 @@ def test_stored_files_can_be_read_back(spark, tmp_path):
     (tmp_path / "id1" / "a.txt").write_bytes(b"hello")
     row = readers.read_attachment_files(spark, str(tmp_path)).first()
     assert row["path"].endswith("id1/a.txt") and row["size"] == 5 and bytes(row["content"]) == b"hello"
+
+
+def test_keyed_members_form_one_document(spark):
+    import json
+    df = spark.createDataFrame([("a", 'say "x"', None), ("b", "é", 1)], "Email_ID string, Subject string, n int")
+    members = [r["member"] for r in writers.keyed_document(df).collect()]
+    document = json.loads("{" + ",".join(members) + "}")
+    assert document == {"a": {"Email_ID": "a", "Subject": 'say "x"', "n": None}, "b": {"Email_ID": "b", "Subject": "é", "n": 1}}
+
+
+def test_intermediates_go_to_the_folder_the_cluster_names():
+    from postmill import shared_dir
+
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        conf = Conf({"spark.checkpoint.dir": "hdfs://shared/checkpoints/"})
+    assert shared_dir(Session(), "names").startswith("hdfs://shared/checkpoints/names-")
+    bare = Session()
+    bare.conf = Conf()
+    first, second = shared_dir(bare, "a"), shared_dir(bare, "b")
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]

@@ -1,31 +1,17 @@
 """What the physical plans must and must not hold."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from postmill.functions.masking import mask_pii
 from postmill.operators import addresses, dedup, messages
-from postmill.plans.catalog import catalog
 from postmill.sources import sample
 
-PYTHON_QUERIES = {"polish_hook", "chunk_text", "prompt_rewrite", "html_to_text_all_entities"}
-# Queries whose function runs a stream or writes before it returns are planned while they run.
-PLANNED_ONLY = sorted(n for n in catalog() if not n.startswith(("stream_", "sink_", "scan_messages", "scan_dictionary", "fan_out")))
-
 
 def plan(df):
     return df._jdf.queryExecution().explainString(
         df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-@pytest.mark.parametrize("name", PLANNED_ONLY)
-def test_no_cross_joins_and_no_python(name, spark, sf_dir):
-    text = plan(catalog()[name][0](spark, sf_dir))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert ("ArrowEvalPython" in text or "MapInPandas" in text) == (name in PYTHON_QUERIES)
-    assert "BatchEvalPython" not in text
-
-
 def test_address_report_shuffles_once_and_reads_few_columns(spark, tmp_path, sf_dir):
     messages.build_records(sample.mailbox(spark, sf_dir)).write.parquet(str(tmp_path / "r"))
     records = spark.read.parquet(str(tmp_path / "r"))
