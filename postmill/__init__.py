@@ -3,7 +3,7 @@
 Layout
 ------
 ``functions``  Column -> Column expressions, no session needed.
-``operators``  DataFrame -> DataFrame steps, no actions.
+``operators``  DataFrame -> DataFrame steps; some write a narrow intermediate to the shared folder.
 ``sources``    readers, and tables derived from the sample star schema.
 ``sinks``      writers for the export formats.
 ``streaming``  Structured Streaming forms of the batch steps.

@@ -19,22 +19,28 @@ ROLES = [
 ]
 # ----------------------------------------------------------------------------------------------
 
+# Between entries of an array while the six fields share one text column.
+SEPARATOR = "\x01"
+
 
 def explode_addresses(df: DataFrame) -> DataFrame:
     """One row per address mention: ``address`` and ``role_bit`` (position of the role in ROLES).
 
     One pass over the message: the six fields are stacked, empty ones dropped, and recipient
-    lists split. An array column is taken as an already split list.
+    lists split. An array column is taken as an already split list: its entries may hold commas.
     """
-    listed = [bit for bit, (_, _, many) in enumerate(ROLES) if many]
-    schema = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    arrays = [f for f, t in df.dtypes if t.startswith("array")]
+    listed = [bit for bit, (field, _, many) in enumerate(ROLES) if many and field not in arrays]
+    ready = [bit for bit, (field, _, _) in enumerate(ROLES) if field in arrays]
     cells = []
     for bit, (field, _, _) in enumerate(ROLES):
-        as_text = F.array_join(F.col(field), ";") if schema.get(field) == "array" else F.col(field)
-        cells += [F.lit(bit), as_text]
+        cells += [F.lit(bit), F.array_join(F.col(field), SEPARATOR) if bit in ready else F.col(field)]
     stacked = df.select(F.stack(F.lit(len(ROLES)), *cells).alias("role_bit", "cell"))
     stacked = stacked.where(F.col("cell").isNotNull() & (F.col("cell") != ""))
-    parts = F.when(F.col("role_bit").isin(listed), F.split("cell", "[;,]")).otherwise(F.array("cell"))
+    parts = F.when(F.col("role_bit").isin(listed), F.split("cell", "[;,]"))
+    if ready:
+        parts = parts.when(F.col("role_bit").isin(ready), F.split("cell", SEPARATOR))
+    parts = parts.otherwise(F.array("cell"))
     mentions = stacked.select("role_bit", F.explode(parts).alias("part"))
     return (mentions.select("role_bit", A.normal_address(F.col("part")).alias("address"))
             .where(~F.col("address").isin("", "none")))

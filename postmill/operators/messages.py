@@ -112,4 +112,5 @@ def folder_page(df: DataFrame, folder: str, start: int = 0, limit: int = 100) ->
 def mask_records(df: DataFrame, custom: dict[str, str] | None = None, mask_all_text: bool = False) -> DataFrame:
     """Mask the six text fields, once, ahead of every sink."""
     fields = MASKED_FIELDS + (EXTRA_MASKED_FIELDS if mask_all_text else [])
-    return df.withColumns({f: masking.mask_pii(F.col(f), custom) for f in fields if f in df.columns})
+    texts = [f for f in fields if dict(df.dtypes).get(f) == "string"]
+    return df.withColumns({f: masking.mask_pii(F.col(f), custom) for f in texts})

@@ -9,6 +9,8 @@ for distance 2. Everything runs on the vocabulary (distinct words), never on the
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,13 +133,20 @@ def _words(c: Column) -> Column:
 def spell_correct(texts: DataFrame, dictionary: DataFrame, key: str, column: str = "text",
                   out: str = "corrected") -> DataFrame:
     """Add ``out``: the text with unknown words replaced; all else, also placeholders, is kept.
+    ``key`` identifies a row."""
+    return correct_columns(texts, dictionary, key, {column: out})
+
 
-    ``key`` identifies a row. Each text sends its distinct words to the join once; the corrections
-    that hit come back as one small map per text, so running text is never shuffled by word.
+def correct_columns(texts: DataFrame, dictionary: DataFrame, key: str, columns: Mapping[str, str]) -> DataFrame:
+    """Correct several text columns of a row at once; ``columns`` maps each to its output name.
+
+    Each row sends its distinct words, over all columns, to one join; the corrections that hit come
+    back as small maps per row, so running text is never shuffled by word.
     """
-    fixes = corrections(vocabulary(texts, column), dictionary).select("token", "correction")
-    words = texts.select(key, F.explode(_words(F.col(column))).alias("token"))
-    hits = words.join(fixes, "token").groupBy(key).agg(
+    words = F.array_distinct(F.flatten(F.array(*[_words(F.col(c)) for c in columns])))
+    tokens = texts.select(key, F.explode(words).alias("token"))
+    fixes = corrections(tokens.select("token").distinct(), dictionary).select("token", "correction")
+    hits = tokens.join(fixes, "token").groupBy(key).agg(
         F.collect_list(F.struct("token", "correction")).alias("_entries"))
     found = texts.join(hits, key, "left").withColumn("_slots", _slotted(F.col("_entries")))
 
@@ -145,9 +154,12 @@ def spell_correct(texts: DataFrame, dictionary: DataFrame, key: str, column: str
         word = F.lower(piece)
         own = F.get(F.col("_slots"), _slot(word, F.size("_slots")))
         return F.when(F.length(piece) < MIN_LENGTH, piece).otherwise(F.coalesce(F.try_element_at(own, word), piece))
-    fixed = F.array_join(F.transform(_pieces(F.col(column)), fix), "")
-    return found.withColumn(out, F.when(F.col("_entries").isNull(), F.coalesce(F.col(column), F.lit("")))
-                            .otherwise(fixed)).drop("_entries", "_slots")
+
+    def fixed(column: str) -> Column:
+        as_is = F.coalesce(F.col(column), F.lit(""))
+        return F.when(F.col("_entries").isNull(), as_is).otherwise(
+            F.array_join(F.transform(_pieces(F.col(column)), fix), ""))
+    return found.withColumns({out: fixed(c) for c, out in columns.items()}).drop("_entries", "_slots")
 
 
 def _slot(word: Column, slots: Column) -> Column:

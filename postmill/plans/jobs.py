@@ -12,6 +12,7 @@ from postmill.operators import addresses as A
 from postmill.operators import attachments as T
 from postmill.operators import dedup, index, messages, spelling
 from postmill.operators.numbering import numbered
+from postmill.schema import MASKED_FIELDS
 from postmill.sinks import writers
 
 
@@ -46,8 +47,7 @@ def records_of(raw: DataFrame, options: Options) -> DataFrame:
     if options.mask:
         records = messages.mask_records(records, options.custom_patterns, options.mask_all_text)
     if options.dictionary is not None:
-        for name in ("Subject", "Body"):
-            records = spelling.spell_correct(records, options.dictionary, "scan_pos", name, name)
+        records = spelling.correct_columns(records, options.dictionary, "scan_pos", {f: f for f in MASKED_FIELDS})
     return records
 
 

@@ -36,6 +36,14 @@ def test_extract_all_formats(spark, sf_dir, mailbox, tmp_path):
     assert json.where("size(Attachment_Paths) > 0 and Attachment_Count <> size(Attachment_Paths)").count() == 0
 
 
+def test_extract_with_spelling(spark, sf_dir, mailbox, tmp_path):
+    options = jobs.Options(mask=True, dictionary=sample.dictionary(spark, sf_dir))
+    result = jobs.extract(spark, mailbox, str(tmp_path), options)
+    back = spark.read.json(result.paths["json"])
+    assert back.count() == result.email_count == mailbox.count()
+    assert back.where("`To` not like '%<EMAIL>%'").count() == 0
+
+
 def test_attachments_of_equal_ids_do_not_overwrite_each_other(spark):
     records = spark.createDataFrame(
         [("/Root/A", i, i, "same") for i in range(3)], "folder_path string, pos long, scan_pos long, Email_ID string")

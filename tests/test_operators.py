@@ -115,11 +115,18 @@ def test_spelling_keeps_everything_else(spark):
     assert got == {1: "hello <EMAIL>, world! help xyzzyx ab <", 2: "", 3: "Hello"}
 
 
+def test_spelling_of_several_columns(spark):
+    d = spark.createDataFrame([("hello", 10), ("world", 5)], "word string, freq long")
+    t = spark.createDataFrame([(1, "Hlelo", "my wrold"), (2, None, "fine")], "id int, a string, b string")
+    got = {r["id"]: (r["a"], r["b"]) for r in spelling.correct_columns(t, d, "id", {"a": "a", "b": "b"}).collect()}
+    assert got == {1: ("hello", "my world"), 2: ("", "fine")}
+
+
 def test_address_report_of_lists_and_texts(spark):
-    rows = [("A@x.org", "", "", ["B@y.org", "none", " "], "a@x.org; c", None)]
+    rows = [("A@x.org", "", "", ["B@y.org", "none", " ", "Doe, Jo; x"], "a@x.org; c", None)]
     df = spark.createDataFrame(rows, "Sender_Email string, Reply_To string, Return_Path string, To array<string>, CC string, BCC string")
     got = {r["Address"]: r for r in addresses.address_report(df).collect()}
-    assert set(got) == {"a@x.org", "b@y.org", "c"}
+    assert set(got) == {"a@x.org", "b@y.org", "c", "doe, jo; x"}
     assert got["a@x.org"]["Count"] == 2 and got["a@x.org"]["Roles"] == ["cc", "sender"]
     assert got["c"]["Domains"] == [""] and got["c"]["Names"] == ["c"]
     compact = {r["Address"]: r for r in addresses.address_report(df, compact=True).collect()}
