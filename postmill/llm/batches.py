@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.llm.shipping import ship
+
 # Bytes of text that a task holds as Python objects at a time; a longer text is a piece of its own.
 PIECE_BYTES = 4 << 20
 
@@ -30,7 +32,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYT
 
 
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Only the key and the text, whatever else the frame holds."""
+    """Only the key and the text, whatever else the frame holds; the executors get the library."""
+    ship(docs.sparkSession)
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
 

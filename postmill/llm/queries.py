@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postmill.llm import simhash
+from postmill.llm import bpe, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +18,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts encoded and decoded again, as digests."""
+    vocabulary = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), *vocabulary), *vocabulary)
+    return bpe.digests(coded)
+
+
 Q: dict[str, tuple] = {
     "op1_simhash": (op1_simhash, None),
+    "op4_byte_bpe": (op4_byte_bpe, None),
 }
