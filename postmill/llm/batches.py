@@ -40,3 +40,9 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def held_out(key: Column) -> Column:
     """Rows whose labels are never learned from: crc32 of the key as text leaves 2 after division by 4."""
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
+
+
+def rowwise(docs: DataFrame, run) -> DataFrame:
+    """mapInArrow with the columns of ``docs`` as they are."""
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

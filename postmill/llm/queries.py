@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from postmill.llm import bpe, simhash
+from postmill.llm import bpe, licenses, rules, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +24,25 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(coded)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by the model that the rows not held out teach."""
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text and the verdict of the compression bands."""
+    return rules.judged(_table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every text."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 Q: dict[str, tuple] = {
     "op1_simhash": (op1_simhash, None),
+    "op3_toxicity": (op3_toxicity, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
+    "op9_quality_rules": (op9_quality_rules, None),
+    "op10_licenses": (op10_licenses, None),
 }
