@@ -36,8 +36,8 @@ def buckets_of(word: bytes) -> tuple[int, ...]:
 class Sample:
     """Bounds of what the model is fitted on: the documents of least hashed id of each kind."""
 
-    positives: int = 6000
-    unlabelled: int = 12000
+    positives: int = 3000
+    unlabelled: int = 6000
 
 
 @dataclass(frozen=True)
@@ -68,10 +68,10 @@ def _first(frame: DataFrame, n: int) -> DataFrame:
     return frame.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: Sample) -> tuple[list, float]:
-    """([(is_positive, buckets of the text)], class prior) from rows that are not held out.
+def training_rows(docs: DataFrame, labels: DataFrame, sample: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(is_positive per text, buckets of all texts end to end, number of buckets per text, class prior).
 
-    Positives are documents with a confirmed label; the unlabelled ones are taken from all documents, whatever
+    All come from rows that are not held out. Positives are documents with a confirmed label; the unlabelled ones are taken from all documents, whatever
     their label. The prior is the share of toxic ones among the labelled documents.
     """
     marks = labels.filter(~held_out(labels["doc_id"])).select("doc_id", "toxic").dropna() \
@@ -91,23 +91,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: Sample) -> tuple[l
 
     # The sample's size bounds the side that is broadcast and what comes back.
     picked = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, positive boolean, buckets array<int>")
-    return [(r["positive"], r["buckets"]) for r in picked.orderBy("doc_id", "positive").toArrow().to_pylist()], prior
+    got = picked.orderBy("doc_id", "positive").toArrow()
+    lists = got.column("buckets").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    return got.column("positive").to_numpy(), lists.flatten().to_numpy(), sizes, prior
 
 
-def fit(rows: list, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-3, least_z: float = 5.0) -> Model:
+def fit(positive: np.ndarray, bucket: np.ndarray, sizes: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-3, least_z: float = 5.0) -> Model:
     """Logistic weights of the least non-negative PU risk.
 
     With positives P, unlabelled U and the class prior p the risk is p*loss(P, +) + max(0, loss(U, -) - p*loss(P, -)).
     Where the second part falls below zero, a step goes against it, as the estimator asks. Buckets
     are those over three times as frequent in P as in U, by ``least_z`` standard errors at least. Without positives the model scores 0 everywhere.
     """
-    positive = np.array([p for p, _ in rows], dtype=bool)
+    positive = positive.astype(bool)
     n_pos, n_unl = int(positive.sum()), int((~positive).sum())
     if not n_pos or not n_unl or prior <= 0:
         return Model({}, -40.0)
-    ends = np.cumsum([len(b) for _, b in rows])
-    doc = np.repeat(np.arange(len(rows)), np.diff(ends, prepend=0))
-    bucket = np.concatenate([np.asarray(b, dtype=np.int64) for _, b in rows])
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     in_pos = np.bincount(bucket[positive[doc]], minlength=BUCKETS)
     in_unl = np.bincount(bucket[~positive[doc]], minlength=BUCKETS)
     share = (in_unl + 1) / (n_unl + 2)
@@ -115,14 +116,14 @@ def fit(rows: list, prior: float, steps: int = 400, rate: float = 0.1, l2: float
                      & (in_pos / n_pos - share > least_z * np.sqrt(share * (1 - share) / n_pos)))[0]
     if not len(use):
         return Model({}, -40.0)
-    at = np.full(BUCKETS, -1)
+    at = np.full(BUCKETS, -1, dtype=np.int32)
     at[use] = np.arange(len(use))
     col = at[bucket]
     doc, col = doc[col >= 0], col[col >= 0]
     theta, bias = np.zeros(len(use)), 0.0
     m, v = np.zeros(len(use) + 1), np.zeros(len(use) + 1)
     for step in range(1, steps + 1):
-        f = bias + np.bincount(doc, weights=theta[col], minlength=len(rows))
+        f = bias + np.bincount(doc, weights=theta[col], minlength=len(sizes))
         up = 1 / (1 + np.exp(-np.clip(f, -40, 40)))  # slope of loss(f, -); that of loss(f, +) is up - 1
         loss_neg = np.logaddexp(0, f)
         rest = loss_neg[~positive].mean() - prior * loss_neg[positive].mean()
