@@ -20,7 +20,7 @@ BLANK = r"\t-\r \x85\xa0  -     　"
 # Longer pre-tokens are merged one by one, shorter ones many at a time; the tree is the same.
 MANY_AT_ONCE = 256
 # Pre-tokens a worker remembers; beyond it forgets all and starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 # Texts above this many characters are cut into pre-tokens step by step.
 WHOLE_TEXT = 1 << 20
 STEP = 1 << 16
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
-        for part in pieces(batches, "text"):
+        for part in pieces(batches, "text", 2 << 20):
             ids = coder.encode_all([t or "" for t in part.column("text").to_pylist()])
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
