@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import bpe, licenses, rules, simhash, toxicity
+from postmill.llm import bpe, cnn, licenses, rules, simhash, toxicity, urlgraph, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,21 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules or by its host's place in the link graph."""
+    return urlgraph.judged(_table(spark, sf_dir, "pages"))
+
+
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by the network that the rows not held out teach."""
+    return cnn.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back through the index."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every text and the verdict of the compression bands."""
     return rules.judged(_table(spark, sf_dir, "documents"))
@@ -39,10 +54,33 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+# Base32 of the SHA-1: its 40 hex digits as 160 bits, taken by five.
+OP8_SQL = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), bits AS (
+  SELECT page_id, html, h, array_to_string(list_transform(range(1, 41), lambda i:
+           ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+           [instr('0123456789abcdef', substr(h, i, 1))]), '') AS b
+  FROM hashed
+), firsts AS (SELECT html, min(page_id) AS first_id FROM hashed GROUP BY html)
+SELECT page_id, CAST(strlen(bits.html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+         + 16 * CAST(substr(b, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(b, 5 * i + 2, 1) AS INT)
+         + 4 * CAST(substr(b, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(b, 5 * i + 4, 1) AS INT)
+         + CAST(substr(b, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM bits JOIN firsts ON bits.html = firsts.html
+"""
+
 Q: dict[str, tuple] = {
     "op1_simhash": (op1_simhash, None),
     "op3_toxicity": (op3_toxicity, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
+    "op5_url_graph": (op5_url_graph, None),
+    "op7_quality_cnn": (op7_quality_cnn, None),
+    "op8_warc": (op8_warc, OP8_SQL),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_licenses": (op10_licenses, None),
 }
