@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import bpe, cnn, licenses, rules, simhash, toxicity, urlgraph, warc
+from postmill.llm import bpe, cnn, decontaminate, licenses, rules, simhash, tokencounts, toxicity, urlgraph, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(coded)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents by template windows."""
+    return decontaminate.checked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text scored by the model that the rows not held out teach."""
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -34,6 +39,12 @@ def op5_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.judged(_table(spark, sf_dir, "pages"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after redaction."""
+    return tokencounts.counted(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                               public_tokenizers.PATTERN)
+
+
 def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text scored by the network that the rows not held out teach."""
     return cnn.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -76,9 +87,11 @@ FROM bits JOIN firsts ON bits.html = firsts.html
 
 Q: dict[str, tuple] = {
     "op1_simhash": (op1_simhash, None),
+    "op2_decontamination": (op2_decontamination, None),
     "op3_toxicity": (op3_toxicity, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
     "op5_url_graph": (op5_url_graph, None),
+    "op6_token_counts": (op6_token_counts, None),
     "op7_quality_cnn": (op7_quality_cnn, None),
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_quality_rules": (op9_quality_rules, None),
