@@ -41,6 +41,11 @@ class Packed:
     first: np.ndarray   # first block of each text
     after: np.ndarray   # for each block the next one of its text, or itself
 
+    @property
+    def last(self) -> np.ndarray:
+        """The last eight bytes of each text, which are padding, as a row of eight."""
+        return (self.first + self.counts) * (BLOCK // STRIDE) - 1
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(np.append(self.first, len(self.after)))
@@ -96,6 +101,7 @@ class Network:
         p = self.p
         rows = p["table"][packed.codes].reshape(-1, STRIDE * WIDTH)
         following = np.vstack([rows[1:], rows[-1:]])
+        following[packed.last] = rows[packed.last]  # padding; a filter does not reach into the next text
         conv = np.maximum(rows @ p["a"] + following @ p["b"] + p["c"], 0)
         per = conv.reshape(-1, BLOCK // STRIDE, FILTERS)
         top, mean = per.max(1), per.mean(1)
@@ -137,7 +143,10 @@ class Network:
         d_conv = (d_per.reshape(-1, FILTERS) * (s["conv"] > 0)).astype(np.float32)
         g["a"], g["b"], g["c"] = s["rows"].T @ d_conv, s["following"].T @ d_conv, d_conv.sum(0)
         d_rows = d_conv @ p["a"].T
-        d_rows[1:] += (d_conv @ p["b"].T)[:-1]
+        d_following = d_conv @ p["b"].T
+        d_rows[packed.last] += d_following[packed.last]
+        d_following[packed.last] = 0
+        d_rows[1:] += d_following[:-1]
         d_rows = d_rows.reshape(-1, WIDTH)
         g["table"] = np.stack([np.bincount(packed.codes, weights=d_rows[:, k], minlength=len(p["table"]))
                                for k in range(WIDTH)], axis=1)
