@@ -102,7 +102,8 @@ def fit(positive: np.ndarray, bucket: np.ndarray, sizes: np.ndarray, prior: floa
 
     With positives P, unlabelled U and the class prior p the risk is p*loss(P, +) + max(0, loss(U, -) - p*loss(P, -)).
     Where the second part falls below zero, a step goes against it, as the estimator asks. Buckets
-    are those over three times as frequent in P as in U, by ``least_z`` standard errors at least. Without positives the model scores 0 everywhere.
+    are those over three times as frequent in P as in U, by ``least_z`` standard errors at least. The prior is lowered to the part of U that holds such buckets over that of P,
+    should the labels not be a fair sample. Without positives the model scores 0 everywhere.
     """
     positive = positive.astype(bool)
     n_pos, n_unl = int(positive.sum()), int((~positive).sum())
@@ -120,6 +121,8 @@ def fit(positive: np.ndarray, bucket: np.ndarray, sizes: np.ndarray, prior: floa
     at[use] = np.arange(len(use))
     col = at[bucket]
     doc, col = doc[col >= 0], col[col >= 0]
+    hit = np.bincount(doc, minlength=len(sizes)) > 0
+    prior = min(prior, hit[~positive].mean() / hit[positive].mean())
     theta, bias = np.zeros(len(use)), 0.0
     m, v = np.zeros(len(use) + 1), np.zeros(len(use) + 1)
     for step in range(1, steps + 1):
