@@ -20,7 +20,7 @@ BLANK = r"\t-\r \x85\xa0  -     　"
 # Longer pre-tokens are merged one by one, shorter ones many at a time; the tree is the same.
 MANY_AT_ONCE = 256
 # Pre-tokens a worker remembers; beyond it forgets all and starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 # Texts above this many characters are cut into pre-tokens step by step.
 WHOLE_TEXT = 1 << 20
 STEP = 1 << 16
@@ -39,8 +39,10 @@ class Ranks:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             self.ids = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
-        self.tokens: dict[int, bytes] = {rank: token for token, rank in self.ids.items()}
-        self.base = max(self.tokens, default=0) + 1
+        self.base = max(self.ids.values(), default=0) + 1
+        self.tokens: list[bytes] = [b""] * self.base
+        for token, rank in self.ids.items():
+            self.tokens[rank] = token
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], dtype=np.int64)
         pairs = {(self.ids[t[:k]] * self.base + self.ids[t[k:]]): rank for t, rank in self.ids.items()
                  for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids}
@@ -226,7 +228,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
-        for part in pieces(batches, "text", 2 << 20):
+        for part in pieces(batches, "text", 1 << 20):
             ids = coder.encode_all([t or "" for t in part.column("text").to_pylist()])
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -257,6 +259,21 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 ROWS = 256
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded) per row of ``docs``: ``encode`` and then ``decode`` of its ids, in one pass and worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path, pattern)
+        for part in pieces(batches, "text", 1 << 20):
+            ids = coder.encode_all([t or "" for t in part.column("text").to_pylist()])
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
+                 pa.array([coder.decode(i.tolist()) for i in ids], pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(coded: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids, decoded)."""
     return coded.select(

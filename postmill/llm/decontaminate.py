@@ -25,7 +25,7 @@ percent dollar dollars euro euros cent cents pound pounds usd eur mph kmh degree
 FILTER_BITS = 24
 MULTIPLIER = 0x9E3779B97F4A7C15
 # Tokens whose template a task remembers; beyond it forgets all and starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)

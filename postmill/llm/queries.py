@@ -20,8 +20,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts encoded and decoded again, as digests."""
     vocabulary = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), *vocabulary), *vocabulary)
-    return bpe.digests(coded)
+    return bpe.digests(bpe.round_trip(_table(spark, sf_dir, "documents"), *vocabulary))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,7 +184,7 @@ def counted(docs: DataFrame, path: str, pattern: str, edits: Callable[[str], lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
-        for part in pieces(batches, "text", 2 << 20):
+        for part in pieces(batches, "text", 1 << 20):
             rows = []
             batch = [t or "" for t in part.column("text").to_pylist()]
             for text, ids in zip(batch, coder.encode_all(batch), strict=True):

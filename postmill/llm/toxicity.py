@@ -16,7 +16,7 @@ from postmill.llm.batches import held_out, pieces, rowwise, texts
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 # Words whose weight a task remembers; beyond it forgets all and starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 THRESHOLD = 0.3
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 

@@ -77,4 +77,6 @@ def test_odd_rows(odd_docs, odd_rows, no_docs, reference):
     run = lambda docs: bpe.digests(bpe.decode(bpe.encode(docs, *vocabulary), *vocabulary)).collect()
     want = sorted([(r[0], *digests(reference, r[1])) for r in odd_rows], key=str)
     assert sorted(map(tuple, run(odd_docs)), key=str) == want
+    both = bpe.digests(bpe.round_trip(odd_docs, *vocabulary)).collect()
+    assert sorted(map(tuple, both), key=str) == want and bpe.round_trip(no_docs, *vocabulary).collect() == []
     assert run(no_docs) == []
