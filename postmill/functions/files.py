@@ -49,6 +49,9 @@ SIGNATURES = {
     "377ABCAF271C": "application/x-7z-compressed",
     "D0CF11E0A1B11AE1": "application/vnd.ms-outlook",
 }
+# Signatures of containers: many formats start with them, so a name that tells the format decides.
+CONTAINERS = {"504B0304": ["docx", "xlsx", "pptx", "odt", "ods", "odp", "epub", "jar", "apk"],
+              "D0CF11E0A1B11AE1": ["doc", "xls", "ppt", "msi", "vsd"]}
 KIND_BY_EXTENSION = {
     "pdf": "PDF", "doc": "DOC", "docx": "DOCX", "xls": "XLS", "xlsx": "XLSX", "ppt": "PPT",
     "pptx": "PPTX", "txt": "TXT", "jpg": "IMG", "jpeg": "IMG", "png": "IMG", "gif": "IMG",
@@ -104,12 +107,21 @@ def mime_from_extension(name: Column) -> Column:
 
 
 def mime_from_content(content: Column, name: Column) -> Column:
-    """Type by leading bytes if they are known, else by extension."""
+    """Type by leading bytes if they are known, else by extension.
+
+    A container's signature gives way to an extension of a format that is kept in such containers. ``BM`` alone is no
+    bitmap: the header's reserved bytes must be zero.
+    """
     head = F.hex(F.substring(content, 1, 16))
-    by_head = reduce(
-        lambda acc, sig: acc.when(F.startswith(head, F.lit(sig[0])), sig[1]),
-        list(SIGNATURES.items())[1:],
-        F.when(F.startswith(head, F.lit(next(iter(SIGNATURES)))), next(iter(SIGNATURES.values()))))
+
+    def fits(signature: str) -> Column:
+        hit = F.startswith(head, F.lit(signature))
+        if signature in CONTAINERS:
+            return hit & ~extension(name).isin(CONTAINERS[signature])
+        return hit & (F.substring(head, 13, 8) == "00000000") if signature == "424D" else hit
+
+    (first, mime), *others = SIGNATURES.items()
+    by_head = reduce(lambda acc, s: acc.when(fits(s[0]), s[1]), others, F.when(fits(first), mime))
     return F.coalesce(by_head, mime_from_extension(name))
 
 

@@ -46,8 +46,8 @@ def importance(priority: Column) -> Column:
 
 
 def parse_iso(c: Column) -> Column:
-    """ISO date-time text, with or without fraction, zone or ``Z``; null if it is none."""
-    return F.try_to_timestamp(c)
+    """ISO date-time text, with or without fraction, zone or ``Z``; null if it is none. A time alone is none."""
+    return F.when(F.rlike(c, F.lit(r"^\s*\d{4}-\d{2}-\d{2}")), F.try_to_timestamp(c))
 
 
 def dedup_key(email_id_: Column, message_id: Column, subject: Column, sender: Column, from_: Column,

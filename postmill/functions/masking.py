@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import logging
-import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
@@ -25,18 +25,33 @@ _MUST_CONTAIN = {"EMAIL": "@", "URL": "://"}
 
 
 def masking_rules(custom: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Default patterns plus ``custom``; a default key is replaced in place, a bad pattern skipped."""
+    """Default patterns plus ``custom``; a default key is replaced in place, a bad pattern skipped.
+
+    Named groups in the form ``(?P<n>...)`` and ``(?P=n)`` are turned into the JVM's form, and the JVM says whether a
+    pattern is good.
+    """
     rules = dict(PATTERNS)
     for key, pattern in (custom or {}).items():
-        try:
-            re.compile(pattern)
-        except re.error as exc:
-            log.warning("masking pattern %s skipped: %s", key, exc)
+        pattern = pattern.replace("(?P<", "(?<")
+        while (at := pattern.find("(?P=")) >= 0:
+            end = pattern.find(")", at)
+            pattern = f"{pattern[:at]}\\k<{pattern[at + 4:end]}>{pattern[end + 1:]}"
+        if problem := _problem_of(pattern):
+            log.warning("masking pattern %s skipped: %s", key, problem)
             continue
         rules[key] = pattern
     return rules
 
 
+def _problem_of(pattern: str) -> str | None:
+    """What the JVM has against a pattern, found out on one row of nothing."""
+    try:
+        SparkSession.active().range(1).select(F.regexp_replace(F.lit("").cast("string"), f"(?U){pattern}", "")).collect()
+    except PySparkException as exc:
+        return str(exc).splitlines()[0]
+    return None
+
+
 def mask_pii(c: Column, custom: Mapping[str, str] | None = None) -> Column:
     """Replace every match by ``<KEY>``, pattern after pattern. Null becomes ''."""
     source = F.coalesce(c, F.lit(""))

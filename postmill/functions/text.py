@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import html
-from functools import reduce
+import functools
+import html.entities
+import json
+import zlib
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # What counts as a line break and as white space, over the whole of Unicode.
 _BREAK = r"\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029"
@@ -18,23 +18,8 @@ _SPACE = r"\s\x1c-\x1f"
 WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
                "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
-# --- fixed values: named character references decoded inside the JVM (ampersand last) ----------
-NAMED_ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&hellip;", "…"),
-    ("&amp;", "&"),
-]
-# ----------------------------------------------------------------------------------------------
+# Slots of the table of named references; a slot holds about nine names.
+_SLOTS = 256
 
 
 def text_or_empty(c: Column) -> Column:
@@ -69,32 +54,82 @@ def collapse_whitespace(c: Column) -> Column:
     return F.regexp_replace(s, rf"(?U)[{_SPACE}&&[^{_BREAK}]]*[{_BREAK}][{_SPACE}]*", "\n")
 
 
-def unescape_named(c: Column) -> Column:
-    """Decode the named character references listed above."""
-    return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), NAMED_ENTITIES, c)
+@functools.cache
+def _references() -> str:
+    """The named references of HTML as JSON: a list of small objects, a name in the slot of its CRC-32."""
+    slots: list[dict[str, str]] = [{} for _ in range(_SLOTS)]
+    for name, char in html.entities.html5.items():
+        slots[zlib.crc32(name.encode()) % _SLOTS][name] = char
+    return json.dumps(slots)
 
 
-@F.pandas_udf(T.StringType())
-def unescape_full_udf(s: pd.Series) -> pd.Series:
-    """Decode every named and numeric reference (Arrow batches; slower than the named subset)."""
-    return s.map(html.unescape, na_action="ignore")
+def _named(name: Column) -> Column:
+    # The parsed table is a constant of the plan; a map is searched from its start, hence the slots.
+    table = F.from_json(F.lit(_references()), "array<map<string,string>>")
+    return F.try_element_at(F.get(table, F.pmod(F.crc32(name), F.lit(_SLOTS)).cast("int")), name)
 
 
-def html_to_text(c: Column, full_entities: bool = False) -> Column:
+@functools.cache
+def _controls() -> str:
+    """What numbers of control characters stand for, as JSON: 80 to 9F are read as Windows-1252, most others vanish."""
+    found = {n: "" for n in [*range(1, 9), 11, *range(14, 32), 127]} | {0: "\ufffd"}
+    found |= {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)}
+    return json.dumps(found)
+
+
+def _numeric(ref: Column) -> Column:
+    """``#233;`` or ``#xE9;`` as a character: surrogates and numbers out of range are U+FFFD, noncharacters vanish."""
+    # Twelve digits are out of range whatever follows.
+    digits = F.substring(F.ltrim(F.rtrim(F.substr(ref, F.lit(2)), F.lit(";")), F.lit("0xX")), 1, 12)
+    number = F.when(F.rlike(ref, F.lit("^#[xX]")), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+
+    def char(n: Column) -> Column:
+        special = F.try_element_at(F.from_json(F.lit(_controls()), "map<string,string>"), n.cast("string"))
+        beyond = n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        nothing = n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(beyond, "\ufffd").when(nothing, "").otherwise(F.coalesce(special, plain))
+
+    return F.get(F.transform(F.array(F.coalesce(number, F.lit(0).cast("bigint"))), char), 0)
+
+
+def _decoded(piece: Column) -> Column:
+    """The text that stands for ``&`` and a piece (``rest``, and ``ref`` at its start)."""
+    rest, ref = piece["rest"], piece["ref"]
+    behind = F.substr(rest, F.length(ref) + 1)
+    # The longest beginning of the name that is known: some names need no semicolon.
+    tried = F.when(F.length(ref) >= 2, F.transform(F.sequence(F.length(ref), F.lit(2), F.lit(-1)), lambda k: F.struct(
+        k.alias("k"), _named(F.substr(ref, F.lit(1), k)).alias("char"))))
+    named = F.transform(F.slice(F.filter(tried, lambda t: t["char"].isNotNull()), 1, 1), lambda t: F.concat(
+        t["char"], F.substr(ref, t["k"] + 1), behind))
+    return F.when(F.startswith(ref, F.lit("#")), F.concat(_numeric(ref), behind)).otherwise(
+        F.coalesce(F.get(named, 0), F.concat(F.lit("&"), rest)))
+
+
+_REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def unescape(c: Column) -> Column:
+    """Decode every named and numeric character reference. ``c`` is named once, so nested calls stay small."""
+    pieces = F.transform(F.split(c, "&"), lambda p: F.struct(
+        p.alias("rest"), F.regexp_extract(p, _REFERENCE, 1).alias("ref")))
+    return F.array_join(F.transform(pieces, lambda q, i: F.when(i == 0, q["rest"]).otherwise(_decoded(q))), "")
+
+
+def html_to_text(c: Column) -> Column:
     """Visible text of an HTML document, one line per text node.
 
     Script, style and comments go, every other tag becomes a line break, references are decoded
     twice (once by parsing, once on the extracted text) and the lines are collapsed.
     """
-    decode = unescape_full_udf if full_entities else unescape_named
     s = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "\n")
     s = F.regexp_replace(s, r"(?s)<[!/?A-Za-z][^>]*>", "\n")
-    return collapse_whitespace(decode(decode(s)))
+    return collapse_whitespace(unescape(unescape(s)))
 
 
 def rtf_strip(c: Column) -> Column:
     """Fallback for rich text: braces out, references decoded, lines collapsed."""
-    return collapse_whitespace(unescape_named(F.translate(F.coalesce(c, F.lit("")), "{}", "")))
+    return collapse_whitespace(unescape(F.translate(F.coalesce(c, F.lit("")), "{}", "")))
 
 
 def first_filled(*columns: Column) -> Column:

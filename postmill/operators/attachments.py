@@ -12,10 +12,8 @@ from postmill.operators.numbering import numbered
 from postmill.session import written
 
 MESSAGE = ["folder_path", "message_index"]
-# Attachments per output row of the enrichment, and rows per piece when positions are counted.
-PART = 64
+# Rows per piece when positions are counted.
 BLOCK = 4096
-LAST_SUFFIX = 9999  # fixed value: highest number tried for a free file name
 
 
 def list_attachments(att: DataFrame) -> DataFrame:
@@ -50,16 +48,16 @@ def with_safe_name(att: DataFrame) -> DataFrame:
 # by a file that came earlier under that literal name. A "link" is such a literal name: child
 # ``a_2.txt`` of parent ``a.txt`` with number 2. Without links (nearly always) the position of the
 # file among its equals gives the number. With links, the parent skips a child's number if the child
-# came first, else the child finds its own name taken. Only children with numbers up to
-# LAST_SUFFIX matter, so the list of children of one name is bounded.
+# came first, else the child finds its own name taken. A name has at most as many children as its
+# message has files.
 
 
 def _links(att: DataFrame, keys: list[str], index: str, name: str) -> DataFrame | None:
     """Pairs of present names where one is the other plus a number, with the parent's earlier files; None if there is no such pair."""
     names = att.groupBy(*keys, name).agg(F.min(index).alias("child_first"))
     stem = X.name_stem(F.col(name))
-    pattern = r"^(.+)_([2-9]|[1-9][0-9]{1,3})$"
-    children = names.withColumn("number", F.regexp_extract(stem, pattern, 2).try_cast("int"))
+    pattern = r"^(.+)_([2-9]|[1-9][0-9]+)$"
+    children = names.withColumn("number", F.regexp_extract(stem, pattern, 2).try_cast("bigint"))
     children = children.where(F.col("number").isNotNull()).select(
         *keys, F.col(name).alias("child"), "number", "child_first",
         F.concat(F.regexp_extract(stem, pattern, 1), X.name_suffix(F.col(name))).alias(name))
@@ -99,7 +97,7 @@ def _settle(links: DataFrame, keys: list[str], name: str) -> DataFrame:
             F.concat(state["children"], F.array(F.struct(
                 kid["child"].alias("child"), (~skip).alias("taken")))).alias("children"))
     start = F.struct(
-        F.array().cast("array<int>").alias("skipped"),
+        F.array().cast("array<bigint>").alias("skipped"),
         F.array().cast("array<struct<child:string,taken:boolean>>").alias("children"))
     done = per_parent.withColumn("state", F.aggregate("kids", start, visit))
     return done.select(*keys, name, "taken", "state.skipped", "state.children")
@@ -116,7 +114,7 @@ def _rules(links: DataFrame, keys: list[str], name: str) -> DataFrame:
         heirs = done.select(*keys, F.explode("children").alias("c")).select(
             *keys, F.col("c.child").alias(name), "c.taken")
         # Children without children of their own still need their flag.
-        leaves = heirs.join(parents, keys + [name], "left_anti").withColumn("skipped", F.array().cast("array<int>"))
+        leaves = heirs.join(parents, keys + [name], "left_anti").withColumn("skipped", F.array().cast("array<bigint>"))
         found = done.select(*keys, name, "taken", "skipped").unionByName(leaves)
         rules = found if rules is None else rules.unionByName(found)
         level = links.join(heirs, keys + [name])
@@ -137,12 +135,12 @@ def stored_names(att: DataFrame, keys: Sequence[str] = tuple(MESSAGE), index: st
     placed = numbered(att, keys + [name], [F.col(index)], [F.expr(f"{index} div {BLOCK}")], "_place", first=1)
     links = _links(att, keys, index, name)
     if links is None:
-        none = {"taken": F.lit(False), "skipped": F.array().cast("array<int>")}
+        none = {"taken": F.lit(False), "skipped": F.array().cast("array<bigint>")}
         rows = placed.withColumns(none)
     else:
         rows = placed.join(_rules(written(links, "numbered-links"), keys, name), keys + [name], "left")
-    conflict = F.col("_place") - F.when(F.coalesce(F.col("taken"), F.lit(False)), 0).otherwise(1)
-    skipped = F.coalesce(F.col("skipped"), F.array().cast("array<int>"))
+    conflict = F.col("_place").cast("bigint") - F.when(F.coalesce(F.col("taken"), F.lit(False)), 0).otherwise(1)
+    skipped = F.coalesce(F.col("skipped"), F.array().cast("array<bigint>"))
     rows = rows.withColumns({"_conflict": conflict, "_number": F.aggregate(
         skipped, conflict + 1, lambda k, s: F.when(s <= k, k + 1).otherwise(k))})
     numbered_name = F.concat(X.name_stem(F.col(name)), F.lit("_"), F.col("_number").cast("string"),
@@ -184,26 +182,31 @@ def describe_content(att: DataFrame, name: str = "safe_name", max_mb: int = X.MA
 
 
 def enrich(described: DataFrame, keys: Sequence[str] = ("Email_ID",), name: str = "stored_name") -> DataFrame:
-    """Per message: metadata structs in order, texts joined by a blank line, distinct types.
+    """One row per message: metadata structs in order, texts joined by a blank line, distinct types.
 
-    A message with more than PART attachments gives several rows, numbered by ``part`` in
-    attachment order, so no row and no task holds an unbounded list.
+    A row is as large as the message's own attachments. ``attachment_texts`` keeps the texts apart, a row each, where
+    they are too large for one row.
     """
     meta = F.struct(F.col("attachment_index").alias("index"), F.col(name).alias("filename"), "size", "mime_type", "content_type",
                     "extracted_text", "text_extraction_method", "page_count", "error_message")
-    grouped = (described.withColumn("part", F.expr(f"cast(attachment_index div {PART} as int)"))
-               .groupBy(*keys, "part").agg(F.sort_array(F.collect_list(meta)).alias("Attachment_Metadata")))
+    grouped = described.groupBy(*keys).agg(F.sort_array(F.collect_list(meta)).alias("Attachment_Metadata"))
     m = F.col("Attachment_Metadata")
     texts = F.filter(m["extracted_text"], lambda t: t.isNotNull() & (t != ""))
     return grouped.select(
-        *keys, "part", m, F.array_join(texts, "\n\n").alias("Attachment_Content"),
+        *keys, m, F.array_join(texts, "\n\n").alias("Attachment_Content"),
         F.sort_array(F.array_distinct(m["mime_type"])).alias("Attachment_Types"))
 
 
-def enrich_messages(records: DataFrame, enriched: DataFrame) -> DataFrame:
+def attachment_texts(described: DataFrame, keys: Sequence[str] = ("Email_ID",)) -> DataFrame:
+    """The texts as a table of their own, by message and attachment."""
+    return described.where(F.coalesce("extracted_text", F.lit("")) != "").select(*keys, "attachment_index", "extracted_text")
+
+
+def enrich_messages(records: DataFrame, enriched: DataFrame, key: str = "Email_ID") -> DataFrame:
     """Records with the enrichment columns; messages without attachments get empty ones."""
-    joined = records.join(enriched, "Email_ID", "left")
+    joined = records.join(enriched, key, "left")
     return joined.withColumns({
+        "Attachment_Metadata": F.coalesce("Attachment_Metadata", F.array().cast(enriched.schema["Attachment_Metadata"].dataType)),
         "Attachment_Content": F.coalesce("Attachment_Content", F.lit("")),
         "Attachment_Types": F.coalesce("Attachment_Types", F.array().cast("array<string>")),
     })
@@ -223,18 +226,12 @@ def stored_paths(att: DataFrame, email_id: str = "Email_ID") -> DataFrame:
 
 
 def with_saved_paths(records: DataFrame, stored: DataFrame, key: str = "Email_ID") -> DataFrame:
-    """Attachment_Paths of each record from the stored attachments; the count follows if any.
-
-    A record with more than PART attachments comes in several rows numbered by ``part``, each with
-    its share of the paths and the full count.
-    """
-    part = F.expr(f"cast(attachment_index div {PART} as int)").alias("part")
-    paths = stored.groupBy(key, part).agg(
-        F.sort_array(F.collect_list(F.struct("attachment_index", "path")))["path"].alias("_paths"))
-    totals = stored.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("_saved"))
-    joined = records.join(paths.join(totals, key), key, "left")
+    """Attachment_Paths of each record from the stored attachments, in one row; the count follows if any."""
+    paths = stored.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("attachment_index", "path")))["path"].alias("_paths"),
+        F.count(F.lit(1)).cast("int").alias("_saved"))
+    joined = records.join(paths, key, "left")
     return joined.withColumns({
-        "part": F.coalesce("part", F.lit(0)),
         "Attachment_Paths": F.coalesce("_paths", F.array().cast("array<string>")),
         "Attachment_Count": F.coalesce("_saved", "Attachment_Count"),
     }).drop("_paths", "_saved")

@@ -96,17 +96,22 @@ def folder_page(df: DataFrame, folder: str, start: int = 0, limit: int = 100) ->
     """Records of one folder from position ``start``, at most ``limit`` (a page, by request).
 
     Rows marked unparsed (``parsed`` false, where the column exists) hold a position but do not
-    count towards the page.
+    count towards the page. Positions are counted on the narrow place; the page's rows are then picked by a join with
+    at most ``limit`` places, so that bodies are never shuffled.
     """
     if not folder.startswith("/") or not folder.strip("/"):
         raise ValueError("folder must be an absolute path such as /Root/Inbox")
     if limit <= 0:
         return with_message_index(df).limit(0)
-    page = with_message_index(df.where(F.col("folder_path") == folder))
-    page = page.where(F.col("message_index") >= start)
-    if "parsed" in df.columns:
-        page = page.where("parsed")
-    return page.orderBy("message_index").limit(limit)
+    rows = df.where(F.col("folder_path") == folder)
+    flags = ["parsed"] if "parsed" in df.columns else []
+    places = with_message_index(rows.select("folder_path", "pos", *flags)).where(F.col("message_index") >= start)
+    if flags:
+        places = places.where("parsed")
+    # The limit bounds what is broadcast.
+    wanted = places.orderBy("message_index").limit(limit).select("folder_path", "pos", "message_index")
+    page = rows.join(F.broadcast(wanted), ["folder_path", "pos"])
+    return page.select(*[rows[c] for c in df.columns], "message_index").orderBy("message_index").limit(limit)
 
 
 def mask_records(df: DataFrame, custom: dict[str, str] | None = None, mask_all_text: bool = False) -> DataFrame:

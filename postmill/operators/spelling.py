@@ -1,7 +1,9 @@
 """Corpus spell correction as joins over the vocabulary.
 
-Two words within edit distance d share a string that is left after at most d deletions from each,
-so candidates are found by an equi-join on those strings and then checked. The distance counts an
+Two words within edit distance d share a string that is left after at most d deletions from each, and
+so do their first PREFIX letters: of two aligned words whose prefixes match unequally far, the letters
+matched beyond a prefix are no more than the other's unmatched ones. Candidates are found by an equi-join
+on the strings left of the prefixes, at most 29 per word however long it is, and then checked. The distance counts an
 adjacent swap as one edit. A word's correction is its nearest dictionary word, then the more
 frequent one, then the first by spelling. Distance 1 is tried first; only words without a hit pay
 for distance 2. Everything runs on the vocabulary (distinct words), never on the running text.
@@ -16,9 +18,7 @@ from pyspark.sql import functions as F
 
 from postmill.session import shuffle_width, written
 
-MIN_LENGTH = 3  # shorter words are left alone
-BROADCAST_BYTES = 64 << 20
-ROW_OVERHEAD = 80
+PREFIX = 7  # fixed value: letters of a word that keys are built from
 # A placeholder such as <EMAIL>, a word, or what lies between.
 PIECES = r"<[A-Z][A-Z0-9_]*>|\p{L}+|[^\p{L}<]+|<"
 
@@ -62,29 +62,23 @@ def _distance(token: Column, word: Column, lev: Column) -> Column:
             .when((lev >= 3) & two_swaps, 2))
 
 
-def _bounded_keys(dictionary: DataFrame, distance: int) -> DataFrame:
-    """Dictionary words by key, broadcast if an upper bound of their bytes, summed over the words,
-    allows it. Spark's own estimate does not see how many keys a word gives, so beyond the bound a
-    sort-merge join is asked for.
-    """
-    n = F.length("word").cast("bigint")
-    keys = 1 + n + (n * (n - 1) / 2 if distance > 1 else 0)
-    size = dictionary.agg(F.sum(keys * (F.octet_length("word") * 2 + ROW_OVERHEAD))).first()[0] or 0
-    exploded = dictionary.select("word", "freq", F.explode(delete_keys(F.col("word"), distance)).alias("key"))
-    return F.broadcast(exploded) if size <= BROADCAST_BYTES else exploded.hint("merge")
+def _keys(w: Column, distance: int, prefix: int) -> Column:
+    return F.explode(delete_keys(F.substring(w, 1, prefix), distance)).alias("key")
 
 
-def candidates(tokens: DataFrame, dictionary: DataFrame, distance: int) -> DataFrame:
+def candidates(tokens: DataFrame, dictionary: DataFrame, distance: int, prefix: int = PREFIX) -> DataFrame:
     """(token, word, freq, distance) for all pairs within ``distance``.
 
-    ``tokens`` has distinct ``token``s, ``dictionary`` distinct ``word``s. A pair usually shares
-    several keys, so equal pairs are merged before the check. The vocabulary is small in bytes but
-    costly per word, so it is spread to the full width by number, which the runtime does not undo.
+    ``tokens`` has distinct ``token``s, ``dictionary`` distinct ``word``s. Tokens no dictionary word is near to in length
+    are dropped first. A pair usually shares several keys, so equal pairs are merged before the check. The vocabulary is
+    small in bytes but costly per word, so it is spread to the full width by number, which the runtime does not undo.
     """
     width = shuffle_width(tokens.sparkSession)
-    t = tokens.repartition(width, "token")
-    t = t.select("token", F.explode(delete_keys(F.col("token"), distance)).alias("key"))
-    w = _bounded_keys(dictionary, distance)
+    lengths = dictionary.select(F.length("word").alias("n")).distinct().select(
+        F.explode(F.sequence(F.col("n") - distance, F.col("n") + distance)).alias("n")).distinct()
+    t = tokens.withColumn("n", F.length("token")).join(lengths, "n", "left_semi").drop("n").repartition(width, "token")
+    t = t.select("token", _keys(F.col("token"), distance, prefix))
+    w = dictionary.select("word", "freq", _keys(F.col("word"), distance, prefix))
     near = F.abs(F.length("token") - F.length("word")) <= distance
     shared = t.join(w, (t["key"] == w["key"]) & near)
     pairs = shared.groupBy("token", "word").agg(F.first("freq").alias("freq"))
@@ -98,17 +92,17 @@ def _best(pairs: DataFrame) -> DataFrame:
     return best.select("token", F.col("b.word").alias("correction"), F.col("b.distance").alias("distance"))
 
 
-def unknown_words(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Tokens long enough to be corrected that the dictionary does not know."""
-    return tokens.where(F.length("token") >= MIN_LENGTH).join(
+def unknown_words(tokens: DataFrame, dictionary: DataFrame, min_length: int = 1) -> DataFrame:
+    """Tokens of ``min_length`` letters or more that the dictionary does not know."""
+    return tokens.where(F.length("token") >= min_length).join(
         dictionary, F.col("token") == F.col("word"), "left_anti")
 
 
-def corrections(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+def corrections(tokens: DataFrame, dictionary: DataFrame, min_length: int = 1) -> DataFrame:
     """Best dictionary word for each unknown token that has one within two edits."""
     # Vocabulary-sized tables that are needed several times; their source is the whole corpus.
     dictionary = written(dictionary.select("word", "freq"), "dictionary")
-    unknown = written(unknown_words(tokens, dictionary), "unknown")
+    unknown = written(unknown_words(tokens, dictionary, min_length), "unknown")
     first = written(_best(candidates(unknown, dictionary, 1)), "first")
     rest = unknown.join(first, "token", "left_anti")
     return first.unionByName(_best(candidates(rest, dictionary, 2)))
@@ -131,21 +125,23 @@ def _words(c: Column) -> Column:
 
 
 def spell_correct(texts: DataFrame, dictionary: DataFrame, key: str, column: str = "text",
-                  out: str = "corrected") -> DataFrame:
-    """Add ``out``: the text with unknown words replaced; all else, also placeholders, is kept.
-    ``key`` identifies a row."""
-    return correct_columns(texts, dictionary, key, {column: out})
+                  out: str = "corrected", min_length: int = 1) -> DataFrame:
+    """Add ``out``: the text with unknown words of ``min_length`` letters or more replaced; all else, also placeholders,
+    is kept. ``key`` identifies a row."""
+    return correct_columns(texts, dictionary, key, {column: out}, min_length)
 
 
-def correct_columns(texts: DataFrame, dictionary: DataFrame, key: str, columns: Mapping[str, str]) -> DataFrame:
+def correct_columns(texts: DataFrame, dictionary: DataFrame, key: str, columns: Mapping[str, str],
+                    min_length: int = 1) -> DataFrame:
     """Correct several text columns of a row at once; ``columns`` maps each to its output name.
 
     Each row sends its distinct words, over all columns, to one join; the corrections that hit come
     back as small maps per row, so running text is never shuffled by word.
     """
     words = F.array_distinct(F.flatten(F.array(*[_words(F.col(c)) for c in columns])))
-    tokens = texts.select(key, F.explode(words).alias("token"))
-    fixes = corrections(tokens.select("token").distinct(), dictionary).select("token", "correction")
+    # Cut into words once, for the vocabulary and for the rows to correct.
+    tokens = written(texts.select(key, F.explode(words).alias("token")), "tokens")
+    fixes = corrections(tokens.select("token").distinct(), dictionary, min_length).select("token", "correction")
     hits = tokens.join(fixes, "token").groupBy(key).agg(
         F.collect_list(F.struct("token", "correction")).alias("_entries"))
     found = texts.join(hits, key, "left").withColumn("_slots", _slotted(F.col("_entries")))
@@ -153,7 +149,7 @@ def correct_columns(texts: DataFrame, dictionary: DataFrame, key: str, columns:
     def fix(piece: Column) -> Column:
         word = F.lower(piece)
         own = F.get(F.col("_slots"), _slot(word, F.size("_slots")))
-        return F.when(F.length(piece) < MIN_LENGTH, piece).otherwise(F.coalesce(F.try_element_at(own, word), piece))
+        return F.coalesce(F.try_element_at(own, word), piece)
 
     def fixed(column: str) -> Column:
         as_is = F.coalesce(F.col(column), F.lit(""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ class Options:
     dictionary: DataFrame | None = None
     index: bool = False
     compress: bool = False
+    attachment_text: bool = False
     run_id: str = "run"
 
 
@@ -41,7 +43,7 @@ class Result:
 
 def records_of(raw: DataFrame, options: Options) -> DataFrame:
     """Records of a mailbox after duplicate removal, masking and spelling, as one plan."""
-    records = messages.build_records(raw)
+    records = messages.build_records(readable(raw))
     if options.deduplicate:
         records = dedup.keep_first(records, dedup.record_key())
     if options.mask:
@@ -51,41 +53,69 @@ def records_of(raw: DataFrame, options: Options) -> DataFrame:
     return records
 
 
-def stored_attachments(records: DataFrame, attachments: DataFrame) -> DataFrame:
+def readable(raw: DataFrame) -> DataFrame:
+    """The rows that the reader could parse; others only hold a position."""
+    return messages.drop_unparsed(raw) if "_corrupt_record" in raw.columns else raw
+
+
+def stored_attachments(raw: DataFrame, records: DataFrame, attachments: DataFrame) -> DataFrame:
     """Accepted attachments of the given records with the path each is stored under.
 
-    Names are unique per Email_ID, also where several records share one.
+    Attachments name their message by its position in the folder, and positions count every row of ``raw``: those
+    that duplicate removal drops and those that could not be parsed as well. Names are unique per Email_ID, also where
+    several records share one. All of this works on ids and names; the bytes take part in the last join only.
     """
-    located = messages.with_message_index(records.select("folder_path", "pos", "scan_pos", "Email_ID"))
-    named = T.with_safe_name(T.accepted(attachments)).join(located.drop("pos"), T.MESSAGE)
+    places = raw.where(F.col("folder_path").isNotNull() & F.col("pos").isNotNull()).select("folder_path", "pos", "scan_pos")
+    located = messages.with_message_index(places).drop("pos").join(records.select("scan_pos", "Email_ID"), "scan_pos")
+    narrow = T.with_safe_name(T.accepted(attachments)).select(*T.MESSAGE, "attachment_index", "safe_name")
+    named = narrow.join(located, T.MESSAGE)
     s, i = F.col("scan_pos"), F.col("attachment_index")
     blocks = [F.expr(f"scan_pos div {messages.SUPER_BLOCK}"), F.expr(f"scan_pos div {messages.BLOCK}"), s,
               F.expr(f"attachment_index div {T.BLOCK}")]
     ordered = numbered(named, ["Email_ID"], [s, i], blocks, "file_no")
-    return T.stored_paths(T.with_stored_name(ordered, ["Email_ID"], "file_no"))
+    paths = T.stored_paths(T.with_stored_name(ordered, ["Email_ID"], "file_no"))
+    place = [*T.MESSAGE, "attachment_index"]
+    return attachments.select(*place, "content").join(paths.drop("file_no"), place)
+
+
+def with_attachment_text(records: DataFrame, saved: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Records with the metadata, texts and types of their stored attachments."""
+    described = T.describe_content(T.with_safe_name(T.accepted(attachments)))
+    place = [*T.MESSAGE, "attachment_index"]
+    of_records = described.join(saved.select(*place, "scan_pos", "stored_name"), place)
+    return T.enrich_messages(records, T.enrich(of_records, ["scan_pos"]), "scan_pos")
 
 
 def extract(spark: SparkSession, raw: DataFrame, out: str, options: Options,
             attachments: DataFrame | None = None) -> Result:
     """Write the mailbox in every chosen format; with ``attachments`` also their bytes.
 
-    ``attachments`` carries folder_path and message_index; only those of kept messages are stored.
+    ``attachments`` carries folder_path and message_index, the position among all rows of ``raw`` in that folder;
+    only those of kept messages are stored. With ``attachment_text`` their metadata and texts are exported too.
+    A run does not replace another: the run's folder must be new.
     """
     chosen = writers.formats_of(options.formats)
     records = records_of(raw, options)
     result = Result(options.run_id)
     if attachments is not None:
-        stored = stored_attachments(records, attachments)
+        stored = stored_attachments(raw, records, attachments)
         path = f"{out}/{options.run_id}/attachments"
         result.paths["attachments"] = writers.write_attachments(stored, path)
         # What was written is read back without the bytes, so names are computed once.
-        saved = spark.read.parquet(path).select("scan_pos", "attachment_index", "path")
-        records = T.with_saved_paths(records, saved, "scan_pos")
+        saved = spark.read.parquet(path).drop("content")
+        records = T.with_saved_paths(records, saved.select("scan_pos", "attachment_index", "path"), "scan_pos")
+        if options.attachment_text:
+            records = with_attachment_text(records, saved, attachments)
     base = f"{out}/{options.run_id}"
-    result.paths.update(writers.fan_out(records, base, chosen, options.compress))
-    if options.index:
-        result.paths["index"] = writers.write_index(index.index_view(records), f"{base}/index")
-    totals = records.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("Attachment_Paths")).alias("a")).first()
+    kept = records.persist(StorageLevel.DISK_ONLY)  # for all formats, the index and the totals
+    try:
+        # Records always carry an id, so no positions need to be counted for it.
+        result.paths.update(writers.fan_out(kept, base, chosen, options.compress, fill_ids=False, keep=False))
+        if options.index:
+            result.paths["index"] = writers.write_index(index.index_view(kept), f"{base}/index")
+        totals = kept.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("Attachment_Paths")).alias("a")).first()
+    finally:
+        kept.unpersist()
     result.email_count, result.attachments_saved = totals["n"], totals["a"] or 0
     return result
 

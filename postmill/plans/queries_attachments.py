@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postmill.functions import files as X
 from postmill.operators import attachments as T
 from postmill.operators import messages
+from postmill.plans import jobs
 from postmill.plans import statements as S
 from postmill.plans.queries_messages import records
 from postmill.session import shared_dir
@@ -81,10 +82,9 @@ def supported_types(spark, sf):
     return typed(spark, sf).where(X.is_supported(F.col("mime_type"))).select("doc_id", "mime_type")
 
 
-@query(S.query(S.ATTACHMENTS, "SELECT doc_id, content_text AS text FROM att WHERE content_text IS NOT NULL"))
+@query(S.query(S.ATTACHMENTS, "SELECT doc_id, content_text AS text FROM att"))
 def decode_text(spark, sf):
-    df = attachments(spark, sf).where(~F.startswith(F.hex(F.substring("content", 1, 4)), F.lit("89504E47")))
-    return df.select("doc_id", X.decode_text(F.col("content")).alias("text"))
+    return attachments(spark, sf).select("doc_id", X.decode_text(F.col("content")).alias("text"))
 
 
 @query(S.query(S.DESCRIBED, "SELECT doc_id, method, CASE WHEN method = 'direct' THEN content_text END AS extracted_text FROM routed", True))
@@ -145,7 +145,7 @@ def missing_attachments(spark, sf):
     return T.missing_paths(*_wanted_and_files(spark, sf)).select("doc_id", "path")
 
 
-@query(S.query(S.DESCRIBED, """SELECT folder_path, message_index, 0 AS part,
+@query(S.query(S.DESCRIBED, """SELECT folder_path, message_index,
     string_agg(CASE WHEN method = 'direct' THEN content_text END, chr(10) || chr(10) ORDER BY attachment_index) AS content,
     string_agg(DISTINCT mime_type, '; ' ORDER BY mime_type) AS types,
     string_agg(attachment_index || ':' || stored_name || ':' || n_bytes || ':' || content_type || ':' || method, '; ' ORDER BY attachment_index) AS metadata
@@ -155,7 +155,7 @@ def attachment_enrichment(spark, sf):
     enriched = T.enrich(T.with_stored_name(T.describe_content(att)), T.MESSAGE)
     line = F.transform("Attachment_Metadata", lambda m: F.concat_ws(
         ":", m["index"].cast("string"), m["filename"], m["size"].cast("string"), m["content_type"], m["text_extraction_method"]))
-    return enriched.select(*T.MESSAGE, "part", F.nullif(F.col("Attachment_Content"), F.lit("")).alias("content"),
+    return enriched.select(*T.MESSAGE, F.nullif(F.col("Attachment_Content"), F.lit("")).alias("content"),
                            F.array_join("Attachment_Types", "; ").alias("types"), F.array_join(line, "; ").alias("metadata"))
 
 
@@ -166,8 +166,12 @@ saved AS (SELECT l."Email_ID", l.scan_pos, s.attachment_index, l."Email_ID" || '
 
 
 def _saved(spark, sf) -> DataFrame:
-    named = T.with_stored_name(T.with_safe_name(T.accepted(attachments(spark, sf))))
-    return T.stored_paths(named.join(_located(spark, sf), T.MESSAGE))
+    """Paths settled on ids and names; the bytes are joined last and once."""
+    att = attachments(spark, sf)
+    names = T.stored_names(T.with_safe_name(T.accepted(att)).select(*T.MESSAGE, "attachment_index", "safe_name"))
+    paths = T.stored_paths(names.join(_located(spark, sf), T.MESSAGE))
+    place = [*T.MESSAGE, "attachment_index"]
+    return att.select(*place, "content").join(paths, place)
 
 
 @query(S.query(_SAVED, 'SELECT "Email_ID", path, n_bytes FROM saved', True))
@@ -183,3 +187,28 @@ def saved_paths_per_message(spark, sf):
     saved = _saved(spark, sf).select("scan_pos", "attachment_index", "path")
     out = T.with_saved_paths(records(spark, sf), saved, "scan_pos")
     return out.select("scan_pos", F.array_join("Attachment_Paths", "; ").alias("paths"), F.col("Attachment_Count").cast("bigint"))
+
+
+_EXPORTED = S.UNIQUE + "," + S.DESCRIBED.strip() + """,
+located AS (SELECT "Email_ID", scan_pos, folder_path, row_number() OVER (PARTITION BY folder_path ORDER BY pos) - 1 AS message_index FROM records),
+files AS (SELECT l.scan_pos, r.attachment_index, l."Email_ID" || '/' || s.stored_name AS path, r.mime_type,
+    CASE WHEN r.method = 'direct' THEN r.content_text END AS content_text
+  FROM located l JOIN routed r ON r.folder_path = l.folder_path AND r.message_index = l.message_index
+  JOIN stored s ON s.folder_path = r.folder_path AND s.message_index = r.message_index AND s.attachment_index = r.attachment_index)"""
+
+
+@query(S.query(_EXPORTED, """SELECT k.scan_pos, any_value(k."Email_ID") AS "Email_ID",
+  CASE WHEN count(f.path) > 0 THEN count(f.path) ELSE any_value(k."Attachment_Count") END AS "Attachment_Count",
+  coalesce(string_agg(f.path, '; ' ORDER BY f.attachment_index), '') AS paths,
+  coalesce(string_agg(f.content_text, chr(10) || chr(10) ORDER BY f.attachment_index), '') AS content,
+  coalesce(string_agg(DISTINCT f.mime_type, '; ' ORDER BY f.mime_type), '') AS types
+  FROM kept k LEFT JOIN files f ON f.scan_pos = k.scan_pos GROUP BY k.scan_pos""", True))
+def extract_with_attachments(spark, sf):
+    """The export job with duplicate removal, stored files and their texts, read back from its JSON."""
+    options = jobs.Options(formats=["json"], deduplicate=True, attachment_text=True)
+    raw = sample.mailbox(spark, sf)
+    result = jobs.extract(spark, raw, shared_dir(spark, "extract"), options, attachments(spark, sf))
+    back = spark.read.schema("scan_pos long, Email_ID string, Attachment_Count long, Attachment_Paths array<string>, "
+                             "Attachment_Content string, Attachment_Types array<string>").json(result.paths["json"])
+    return back.select("scan_pos", "Email_ID", "Attachment_Count", F.array_join("Attachment_Paths", "; ").alias("paths"),
+                       F.col("Attachment_Content").alias("content"), F.array_join("Attachment_Types", "; ").alias("types"))

@@ -120,15 +120,21 @@ def html_to_text(spark, sf):
     return sample.table(spark, sf, "pages").select("page_id", text.html_to_text(F.col("html")).alias("plain"))
 
 
-@query(f"SELECT page_id, {S.decode('html')} AS decoded FROM pages")
+# References with and without a semicolon, numbers in and out of range, and text that is no reference.
+_ODD = "&eacute;&#8217;&euro;&#x41;&#150; &copycat &notit; &#0;&#1114112;&#1;&nosuch; & &; &#; &#x; &amp;lt; &Eacute;&NotEqualTilde; &#xD800;&#128512;"
+_ODD_TEXT = "é’€A– ©cat ¬it; \ufffd\ufffd&nosuch; & &; &#; &#x; &lt; É≂̸ \ufffd😀"
+
+
+@query(f"SELECT page_id, {S.decode('html')} || '{_ODD_TEXT}' AS decoded FROM pages")
 def html_unescape(spark, sf):
-    return sample.table(spark, sf, "pages").select("page_id", text.unescape_named(F.col("html")).alias("decoded"))
+    odd = F.concat("html", F.lit(_ODD))
+    return sample.table(spark, sf, "pages").select("page_id", text.unescape(odd).alias("decoded"))
 
 
-@query(f"SELECT page_id, {S.html_text('html')} AS plain FROM pages")
+@query(f"SELECT page_id, {S.html_text('html')} || chr(10) || 'Café it’s €5 A–' AS plain FROM pages")
 def html_to_text_all_entities(spark, sf):
     return sample.table(spark, sf, "pages").select(
-        "page_id", text.html_to_text(F.col("html"), full_entities=True).alias("plain"))
+        "page_id", text.html_to_text(F.concat("html", F.lit(sample.PLANTED_HTML))).alias("plain"))
 
 
 @query(S.query(S.MAILBOX, f"SELECT scan_pos, {S.rtf_text('rtf_body')} AS plain FROM mailbox"))
@@ -210,13 +216,14 @@ def host_values(spark, sf):
 
 @query(S.query(S.MAILBOX, f"""SELECT scan_pos,
   CASE WHEN number_of_attachments = 0 THEN '' ELSE number_of_attachments::VARCHAR END AS number,
-  CASE WHEN is_read THEN 'True' ELSE '' END AS flag,
+  CASE WHEN is_read THEN 'True' ELSE '' END AS flag, epoch(delivery_time)::BIGINT || '.0' AS received,
   '[' || array_to_string(list_transform({S.split_list('display_to')}, lambda v: '"' || v || '"'), ', ') || ']' AS list,
   '{{"n": ' || priority || ', "s": "' || subject || '", "x": ' || coalesce('"' || display_cc || '"', 'null') || '}}' AS record
   FROM mailbox"""))
 def csv_value(spark, sf):
     df = sample.mailbox(spark, sf).select(
         "scan_pos", F.col("number_of_attachments").alias("number"), F.col("is_read").alias("flag"),
+        identity.epoch_seconds(F.col("delivery_time")).alias("received"),
         A.split_recipients(F.col("display_to")).alias("list"),
         F.struct(F.col("priority").alias("n"), F.col("subject").alias("s"), F.col("display_cc").alias("x")).alias("record"))
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -263,12 +270,12 @@ def format_size(spark, sf):
     return df.select(k, X.format_size(F.col("s")).alias("shown"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M') END AS parsed FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M') END AS parsed FROM orders""")  # a time alone is no date
 def parse_iso_date(spark, sf):
     k = F.col("o_orderkey") % 3
     given = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(
         k == 1, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).otherwise(
-        F.date_format("o_orderdate", "'on' dd/MM/yy"))
+        F.when(F.col("o_orderkey") % 2 == 0, "10:30").otherwise(F.date_format("o_orderdate", "'on' dd/MM/yy")))
     return sample.table(spark, sf, "orders").select(
         "o_orderkey", F.date_format(identity.parse_iso(given), "yyyy-MM-dd HH:mm").alias("parsed"))
 

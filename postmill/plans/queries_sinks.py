@@ -22,7 +22,9 @@ def query(sql: str | None):
     return add
 
 
-_NAMED = """SELECT scan_pos, "From", "Date_Sent_Timestamp", "Body", "Full_Headers",
+_PLAIN = [f for f in EXPORT_FIELDS if not f.startswith("Attachment_") and f != "Email_ID"]
+_NAMED = f"""SELECT scan_pos, {', '.join(f'"{f}"' for f in _PLAIN)}, "Date_Received_Timestamp", "Date_Sent_Timestamp", "HTML_Body",
+  "Attachment_Count",
   CASE WHEN "Message_ID" = '' THEN 'email_' || (row_number() OVER (ORDER BY scan_pos) - 1) ELSE "Email_ID" END AS "Email_ID" FROM records"""
 
 
@@ -32,7 +34,7 @@ def sink_json(spark, sf):
     df = records(spark, sf).withColumn("Email_ID", blank)
     path = writers.write_json(df, shared_dir(spark, "json"))
     back = spark.read.schema(df.schema).json(path)
-    return back.select("scan_pos", "From", "Date_Sent_Timestamp", "Body", "Full_Headers", "Email_ID")
+    return back.select("scan_pos", *_PLAIN, "Date_Received_Timestamp", "Date_Sent_Timestamp", "HTML_Body", "Attachment_Count", "Email_ID")
 
 
 def _csv_sql() -> str:
@@ -87,11 +89,11 @@ def mbox_message(spark, sf):
 
 
 @query(S.query(_TEXT, r"""SELECT line, count(*) AS n FROM (SELECT unnest(string_split(
-  'From - ' || strftime(make_timestamp((received_at * 1000000)::BIGINT), '%a %b %d %H:%M:%S %Y') || chr(10) || rendered, chr(10))) AS line FROM texts)
-  WHERE regexp_matches(line, '^(From - |Message-ID: |Subject: )') GROUP BY line"""))
+  'From - ' || strftime(make_timestamp((received_at * 1000000)::BIGINT), '%a %b %d %H:%M:%S %Y') || chr(10)
+    || regexp_replace(rendered, '(?m)^From ', '>From ', 'g'), chr(10))) AS line FROM texts) GROUP BY line"""))
 def sink_mbox_text(spark, sf):
     path = writers.write_mbox(records(spark, sf), shared_dir(spark, "mbox"))
-    lines = spark.read.text(path).where(F.col("value").rlike("^(From - |Message-ID: |Subject: )"))
+    lines = spark.read.text(path, lineSep="\n")
     return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -62,12 +62,12 @@ def mask_record(spark, sf):
 # --- dictionaries ------------------------------------------------------------------------------
 
 
-@query(S.query(S.LINES, "SELECT word, freq FROM parsed WHERE source = 'mixed' AND NOT skip AND freq IS NOT NULL"))
+@query(S.query(S.LINES, "SELECT source, word, freq FROM parsed WHERE NOT skip AND freq IS NOT NULL"))
 def scan_dictionary(spark, sf):
     path = shared_dir(spark, "dictionary")
-    lines = sample.dictionary_lines(spark, sf).where("source = 'mixed'")
-    lines.select(F.col("line").alias("value")).write.text(path)
-    return D.parse_lines(readers.read_dictionary_lines(spark, path)).select("word", "freq")
+    sample.dictionary_lines(spark, sf).select("source", F.col("line").alias("value")).write.partitionBy("source").text(path)
+    lines = readers.read_dictionary_lines(spark, *[f"{path}/source={s}" for s in ("good", "bad", "mixed")])
+    return D.parse_lines(lines).select(F.regexp_extract("source", r"/source=(\w+)/", 1).alias("source"), "word", "freq")
 
 
 @query(S.query(S.LINES, "SELECT source, valid, invalid, message = '' AS is_valid, message FROM verdict"))
@@ -120,7 +120,7 @@ def _corrections(table: str, key: str, text: str) -> str:
 pieces AS (SELECT {key} AS id, unnest(regexp_extract_all(t, '<[A-Z][A-Z0-9_]*>|\p{{L}}+|[^\p{{L}}<]+|<')) AS piece,
     generate_subscripts(regexp_extract_all(t, '<[A-Z][A-Z0-9_]*>|\p{{L}}+|[^\p{{L}}<]+|<'), 1) AS n
   FROM (SELECT *, {text} AS t FROM {table})),
-tokens AS (SELECT DISTINCT lower(piece) AS token FROM pieces WHERE regexp_full_match(piece, '\p{{L}}+') AND length(piece) >= 3),
+tokens AS (SELECT DISTINCT lower(piece) AS token FROM pieces WHERE regexp_full_match(piece, '\p{{L}}+')),
 unknown AS (SELECT token FROM tokens WHERE token NOT IN (SELECT word FROM dictionary)),
 letters AS (SELECT token, t, length(t) AS n, {_BITS.format(x='t')} AS bits FROM (SELECT token, {_ASCII.format(x='token')} AS t FROM unknown)),
 entries AS (SELECT word, freq, w, length(w) AS m, {_BITS.format(x='w')} AS bits FROM (SELECT word, freq, {_ASCII.format(x='word')} AS w FROM dictionary)),

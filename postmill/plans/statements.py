@@ -19,10 +19,14 @@ def collapse(x: str) -> str:
             f"lambda l: l <> ''), chr(10))")
 
 
+# References that the sample's bodies get at their end, and what they stand for.
+PLANTED = [("&eacute;", "é"), ("&#8217;", "’"), ("&euro;", "€"), ("&#x41;", "A"), ("&#150;", "–")]
+
+
 def decode(x: str) -> str:
     for entity, char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
                          ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"),
-                         ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")]:
+                         ("&mdash;", "—"), ("&hellip;", "…"), *PLANTED, ("&amp;", "&")]:
         x = f"replace({x}, '{entity}', '{char}')"
     return x
 
@@ -81,7 +85,7 @@ mailbox AS (
     TIMESTAMP '2024-01-01' + to_minutes(c * 60 + t) AS delivery_time,
     CASE WHEN c % 7 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes(c * 60 + t - 1) END AS client_submit_time,
     CASE WHEN t % 2 = 0 THEN text END AS plain_text_body,
-    CASE WHEN t % 2 = 1 AND c % 5 <> 0 THEN html END AS html_body,
+    CASE WHEN t % 2 = 1 AND c % 5 <> 0 THEN html || '<p>Caf&eacute; it&#8217;s &euro;5 &#x41;&#150;</p>' END AS html_body,
     CASE WHEN t % 2 = 1 AND (c % 5 = 0 OR html IS NULL) THEN '{\rtf1 ' || text || '}' END AS rtf_body,
     CASE WHEN role = 'system' THEN 'REPORT.IPM.Note' ELSE 'IPM.Note' END AS message_class,
     'Received: from mx' || (c % 5) || '.example.net' || eol || chr(9) || 'by relay' || (t % 2) || '.example.net' || eol
@@ -170,9 +174,11 @@ att AS (SELECT doc_id, '/Root/Inbox' AS folder_path, k AS message_index, i AS at
     CASE WHEN doc_id % 50 = 7 THEN '200000000' WHEN doc_id % 51 = 0 THEN '-5' WHEN doc_id % 53 = 0 THEN '60000000'
       WHEN doc_id % 59 = 0 THEN 'unknown' ELSE n_chars::VARCHAR END AS size,
     CASE WHEN doc_id % 61 = 0 THEN ''::BLOB WHEN doc_id % 13 = 0 THEN '\x89\x50\x4E\x47\x0D\x0A\x1A\x0A'::BLOB
-      ELSE encode(CASE WHEN doc_id % 11 = 0 THEN '%PDF-' ELSE '' END || text) END AS content,
-    CASE WHEN doc_id % 61 = 0 THEN '' WHEN doc_id % 13 = 0 THEN NULL
-      ELSE CASE WHEN doc_id % 11 = 0 THEN '%PDF-' ELSE '' END || text END AS content_text,
+      ELSE encode(CASE WHEN doc_id % 11 = 0 THEN '%PDF-' WHEN doc_id % 3 = 1 AND k % 8 = 4 OR doc_id % 29 = 0 THEN 'PK' || chr(3) || chr(4)
+        WHEN doc_id % 23 = 0 THEN 'BM' ELSE '' END || text) END AS content,
+    CASE WHEN doc_id % 61 = 0 THEN '' WHEN doc_id % 13 = 0 THEN chr(65533) || 'PNG' || chr(13) || chr(10) || chr(26) || chr(10)
+      ELSE CASE WHEN doc_id % 11 = 0 THEN '%PDF-' WHEN doc_id % 3 = 1 AND k % 8 = 4 OR doc_id % 29 = 0 THEN 'PK' || chr(3) || chr(4)
+        WHEN doc_id % 23 = 0 THEN 'BM' ELSE '' END || text END AS content_text,
     coalesce(nullif(CASE WHEN doc_id % 17 <> 0 THEN fname ELSE '' END, ''),
       nullif(CASE WHEN doc_id % 34 <> 0 THEN fname ELSE '' END, '')) AS given_name
   FROM att1),
@@ -216,9 +222,11 @@ def mime_by_name(n: str) -> str:
 DESCRIBED = STORED + rf""",
 typed AS (SELECT g.*, octet_length(content) AS n_bytes,
     CASE WHEN hex(content) LIKE '89504E470D0A1A0A%' THEN 'image/png' WHEN hex(content) LIKE '25504446%' THEN 'application/pdf'
+      WHEN hex(content) LIKE '504B0304%' AND NOT lower(safe_name) LIKE '%.docx' THEN 'application/zip'
       ELSE {mime_by_name('safe_name')} END AS mime_type FROM guarded g),
 routed AS (SELECT *, CASE WHEN mime_type LIKE 'text/%' THEN 'text' WHEN mime_type LIKE 'image/%' THEN 'image'
-      WHEN mime_type LIKE '%pdf' OR mime_type LIKE '%document' THEN 'document' ELSE 'binary' END AS content_type,
+      WHEN mime_type LIKE '%pdf' OR mime_type LIKE '%document' THEN 'document'
+      WHEN mime_type = 'application/zip' THEN 'archive' ELSE 'binary' END AS content_type,
     CASE WHEN mime_type LIKE 'text/%' THEN 'direct' WHEN mime_type LIKE '%pdf' THEN 'pdf_text_layer'
       WHEN mime_type LIKE '%document' THEN 'docx_native' WHEN mime_type LIKE 'image/%' THEN 'ocr' ELSE 'fallback' END AS method
   FROM typed)"""

@@ -49,12 +49,14 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is chosen and
-    recorded in the session, so later calls agree on it.
+    Only on one machine (a local master) that names none a temporary folder is chosen and recorded in the
+    session, so later calls agree on it. On a cluster that is an error: machines do not see each other's folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("postmill.local.scratch", None)
+    if not root and not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     if not root:
         root = tempfile.mkdtemp(prefix="postmill-")
         spark.conf.set("postmill.local.scratch", root)

@@ -39,5 +39,5 @@ def mbox_text() -> Column:
     """The text as it stands in a mailbox file: a separator line ahead, ``From`` lines escaped."""
     stamp = F.coalesce(_date(F.col("Date_Received_Timestamp"), "EEE MMM dd HH:mm:ss yyyy"),
                        F.lit("Thu Jan 01 00:00:00 1970"))
-    escaped = F.regexp_replace(message_text(), r"(?m)^From ", ">From ")
+    escaped = F.regexp_replace(message_text(), r"(?md)^From ", ">From ")
     return F.concat(F.lit("From - "), stamp, F.lit("\n"), escaped)

@@ -22,7 +22,7 @@ CSV_OPTIONS = {"header": "true", "escape": '"', "multiLine": "true", "ignoreLead
 ROWS_PER_FILE = 1_000_000
 
 
-def _save(df: DataFrame, fmt: str, path: str, compress: bool = False, mode: str = "overwrite", **options: str) -> str:
+def _save(df: DataFrame, fmt: str, path: str, compress: bool = False, mode: str = "errorifexists", **options: str) -> str:
     writer = df.write.mode(mode).options(**options).option("maxRecordsPerFile", ROWS_PER_FILE)
     if compress:
         writer = writer.option("compression", "gzip")
@@ -42,7 +42,7 @@ def formats_of(formats: Sequence[str], allowed: Sequence[str] = FORMATS) -> list
 # --- message records ---------------------------------------------------------------------------
 
 
-def write_json(records: DataFrame, path: str, compress: bool = False, mode: str = "overwrite",
+def write_json(records: DataFrame, path: str, compress: bool = False, mode: str = "errorifexists",
                fill_ids: bool = True) -> str:
     """JSON lines with all fields. Records without an id get one from their place in the scan."""
     keyed = with_fallback_id(records) if fill_ids and "scan_pos" in records.columns else records
@@ -53,7 +53,7 @@ def keyed_document(records: DataFrame, pretty: bool = False) -> DataFrame:
     """One JSON object per record as a ``"id": {...}`` member text, for callers that want the keyed
     form. The members stay rows: a single object cannot be written in parallel."""
     body = F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false", "pretty": str(pretty).lower()})
-    return records.select("Email_ID", F.concat(F.lit('"'), F.col("Email_ID"), F.lit('":'), body).alias("member"))
+    return records.select("Email_ID", F.concat(spaced_json(F.col("Email_ID"), T.StringType()), F.lit(":"), body).alias("member"))
 
 
 def csv_rows(records: DataFrame, fields: Sequence[str] = EXPORT_FIELDS) -> DataFrame:
@@ -64,7 +64,7 @@ def csv_rows(records: DataFrame, fields: Sequence[str] = EXPORT_FIELDS) -> DataF
 
 
 def write_csv(records: DataFrame, path: str, fields: Sequence[str] = EXPORT_FIELDS, compress: bool = False,
-              mode: str = "overwrite") -> str:
+              mode: str = "errorifexists") -> str:
     return _save(csv_rows(records, fields), "csv", path, compress, mode, **CSV_OPTIONS)
 
 
@@ -74,23 +74,24 @@ def read_csv(spark, path: str, fields: Sequence[str] = EXPORT_FIELDS) -> DataFra
     return back.select(*[F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields])
 
 
-def write_eml(records: DataFrame, path: str, compress: bool = False, mode: str = "overwrite") -> str:
+def write_eml(records: DataFrame, path: str, compress: bool = False, mode: str = "errorifexists") -> str:
     """Rendered messages keyed by file name, as table rows: one file per task, not one per message."""
     return _save(rendered(records), "parquet", path, compress, mode)
 
 
-def write_mbox(records: DataFrame, path: str, compress: bool = False, mode: str = "overwrite") -> str:
+def write_mbox(records: DataFrame, path: str, compress: bool = False, mode: str = "errorifexists") -> str:
     """Mailbox text. Each part file is a valid mailbox on its own."""
     return _save(records.select(mbox_text().alias("value")), "text", path, compress, mode)
 
 
-def write_index(index: DataFrame, path: str, mode: str = "overwrite") -> str:
+def write_index(index: DataFrame, path: str, mode: str = "errorifexists") -> str:
     return _save(index, "parquet", path, mode=mode)
 
 
-def write_attachments(stored: DataFrame, path: str, mode: str = "overwrite") -> str:
+def write_attachments(stored: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Path and bytes of stored attachments, written from the tasks that hold them."""
-    kept = [c for c in ("Email_ID", "scan_pos", "attachment_index", "path", "content") if c in stored.columns]
+    kept = [c for c in ("Email_ID", "scan_pos", "folder_path", "message_index", "attachment_index", "stored_name", "path",
+                        "content") if c in stored.columns]
     stored.select(*kept).write.mode(mode).option("maxRecordsPerFile", 100_000).parquet(path)
     return path
 
@@ -100,13 +101,14 @@ _WRITERS: dict[str, Callable[..., str]] = {
 
 
 def fan_out(records: DataFrame, path: str, formats: Sequence[str], compress: bool = False,
-            mode: str = "overwrite", fill_ids: bool = True) -> dict[str, str]:
+            mode: str = "errorifexists", fill_ids: bool = True, keep: bool = True) -> dict[str, str]:
     """Write every format from one computation of the records.
 
-    They are kept on executors' disks for the writes; a lost executor only recomputes its part.
+    They are kept on executors' disks for the writes (unless the caller does so, ``keep=False``); a lost executor only
+    recomputes its part.
     """
     chosen = formats_of(formats)
-    kept = records.persist(StorageLevel.DISK_ONLY) if len(chosen) > 1 else records
+    kept = records.persist(StorageLevel.DISK_ONLY) if keep and len(chosen) > 1 else records
     try:
         out = {}
         for fmt in chosen:

@@ -15,9 +15,6 @@ from postmill.operators import addresses as A
 from postmill.session import STREAM_STATE_CONF
 from postmill.sinks import writers
 
-# fixed values: rows buffered per write in the single-machine form; here files per trigger stand for it
-FLUSH_ROWS = {"json": 500, "csv": 1000, "eml": 50, "mbox": 100}
-
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.parquet",
                 files_per_trigger: int = 64) -> DataFrame:
@@ -43,14 +40,15 @@ def stream_text(texts: DataFrame, out: str, checkpoint: str, column: str = "text
     return _start(texts.withColumn("processed", mask_pii(F.col(column))), out, checkpoint, drain=drain)
 
 
-def stream_dedup(records: DataFrame, key: str, time: str, out: str, checkpoint: str, horizon: str = "30 days",
-                 drain: bool = True) -> StreamingQuery:
-    """One row per key within the horizon. Which of several copies arrives first is not fixed;
-    rows without a key all pass (they are told apart by their own place)."""
+def stream_dedup(records: DataFrame, key: str, out: str, checkpoint: str, drain: bool = True) -> StreamingQuery:
+    """One row per key, whatever its age: archives are not read in the order of time, so no row is ever too late.
+
+    Which of several copies arrives first is not fixed; rows without a key all pass (they are told apart by their own
+    place). The state holds each key once, on disk, in partitions by key.
+    """
     _spill_state(records.sparkSession)
     own = F.coalesce(F.nullif(F.col(key), F.lit("")), F.concat(F.lit("row:"), F.col("scan_pos").cast("string")))
-    once = (records.withColumn("_key", own).withWatermark(time, horizon)
-            .dropDuplicatesWithinWatermark(["_key"]).drop("_key"))
+    once = records.withColumn("_key", own).dropDuplicates(["_key"]).drop("_key")
     return _start(once, out, checkpoint, drain=drain)
 
 
@@ -62,7 +60,7 @@ def stream_export(records: DataFrame, out: str, checkpoint: str, formats: Sequen
     chosen = writers.formats_of(formats)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        writers.fan_out(batch, f"{out}/batch={batch_id}", chosen, fill_ids=False)
+        writers.fan_out(batch, f"{out}/batch={batch_id}", chosen, mode="overwrite", fill_ids=False)
     query = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if drain else query).start()
 
@@ -89,11 +87,18 @@ def latest_counts(spark: SparkSession, out: str) -> DataFrame:
     return changes.groupBy("address").agg(F.max("n").alias("n"), F.bit_or("bits").alias("bits"))
 
 
-def stream_hourly_volume(events: DataFrame, time: str, out: str, checkpoint: str, late: str = "2 hours",
-                         drain: bool = True) -> StreamingQuery:
-    """Rows per hour of event time, each hour written once it is closed by the watermark."""
+def stream_hourly_volume(events: DataFrame, time: str, out: str, checkpoint: str, drain: bool = True) -> StreamingQuery:
+    """Rows per hour of event time. Each batch writes the hours it changed, open ones and late rows included;
+    ``latest_volume`` reads the newest count of each. The state is one row per hour."""
     _spill_state(events.sparkSession)
-    hourly = (events.withWatermark(time, late).groupBy(F.window(time, "1 hour").alias("hour"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    flat = hourly.select(F.col("hour.start").alias("hour_start"), "n")
-    return _start(flat, out, checkpoint, drain=drain)
+    hourly = events.groupBy(F.window(time, "1 hour").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+
+    def write(changed: DataFrame, batch_id: int) -> None:
+        changed.select(F.col("hour.start").alias("hour_start"), "n").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    query = hourly.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (query.trigger(availableNow=True) if drain else query).start()
+
+
+def latest_volume(spark: SparkSession, out: str) -> DataFrame:
+    """Newest count per hour; counts never fall."""
+    return spark.read.parquet(out).groupBy("hour_start").agg(F.max("n").alias("n"))

@@ -79,9 +79,9 @@ def test_clean_utf8(spark):
 def test_entities(spark):
     inputs = ["a &amp; b", "&amp;lt;", "&lt;p&gt; &quot;q&quot; &#39;", "&nbsp;x &copy; &middot;", None]
     want = [html.unescape(s) if s is not None else None for s in inputs]
-    assert values(spark, inputs, text.unescape_named) == want
+    assert values(spark, inputs, text.unescape) == want
     more = ["&#233;&eacute;&copy", "plain"]
-    assert values(spark, more, text.unescape_full_udf) == [html.unescape(s) for s in more]
+    assert values(spark, more, text.unescape) == [html.unescape(s) for s in more]
 
 
 def test_html_to_text(spark):

@@ -51,7 +51,7 @@ def test_attachments_of_equal_ids_do_not_overwrite_each_other(spark):
         [("/Root/A", m, i, "x.txt", "", "", "3", b"abc") for m in range(3) for i in range(2)],
         "folder_path string, message_index long, attachment_index long, long_filename string, file_name string, "
         "name string, size string, content binary")
-    paths = [r["path"] for r in jobs.stored_attachments(records, att).orderBy("scan_pos", "attachment_index").collect()]
+    paths = [r["path"] for r in jobs.stored_attachments(records, records, att).orderBy("scan_pos", "attachment_index").collect()]
     assert paths == ["same/x.txt"] + [f"same/x_{k}.txt" for k in range(2, 7)]
 
 
@@ -126,6 +126,9 @@ def test_intermediates_go_to_the_folder_the_cluster_names():
         conf = Conf({"spark.checkpoint.dir": "hdfs://shared/checkpoints/"})
     assert shared_dir(Session(), "names").startswith("hdfs://shared/checkpoints/names-")
     bare = Session()
-    bare.conf = Conf()
+    bare.conf = Conf({"spark.master": "spark://head:7077"})
+    with pytest.raises(RuntimeError, match="share"):
+        shared_dir(bare, "a")
+    bare.conf = Conf({"spark.master": "local[2]"})
     first, second = shared_dir(bare, "a"), shared_dir(bare, "b")
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]

@@ -156,15 +156,14 @@ def test_folder_page_limits(spark):
     assert messages.folder_page(df, "/Root/A", 0, 0).count() == 0
 
 
-def test_enrichment_splits_very_large_messages(spark, monkeypatch):
-    monkeypatch.setattr(attachments, "PART", 4)
+def test_enrichment_keeps_a_message_in_one_row(spark):
     rows = [(1, i, f"f{i}.txt", f"text {i}".encode()) for i in range(10)] + [(2, 0, "p.pdf", b"%PDF-1")]
     df = spark.createDataFrame(rows, "m long, attachment_index long, safe_name string, content binary")
     described = attachments.describe_content(df).withColumn("stored_name", F.col("safe_name"))
-    out = attachments.enrich(described, ["m"]).orderBy("m", "part").collect()
-    assert [(r["m"], r["part"], len(r["Attachment_Metadata"])) for r in out] == [(1, 0, 4), (1, 1, 4), (1, 2, 2), (2, 0, 1)]
-    assert out[0]["Attachment_Content"] == "text 0\n\ntext 1\n\ntext 2\n\ntext 3"
-    assert out[3]["Attachment_Types"] == ["application/pdf"]
+    out = attachments.enrich(described, ["m"]).orderBy("m").collect()
+    assert [(r["m"], len(r["Attachment_Metadata"])) for r in out] == [(1, 10), (2, 1)]
+    assert out[0]["Attachment_Content"] == "\n\n".join(f"text {i}" for i in range(10))
+    assert out[1]["Attachment_Types"] == ["application/pdf"]
 
 
 def test_content_over_limit_keeps_the_row(spark):
