@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import textwrap
+import re
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
@@ -52,22 +52,27 @@ def prompted(make: Callable[[], Rewriter], prompt: str = PROMPT) -> Callable[[],
     return build
 
 
+def _chunk_pattern(width: int) -> str:
+    """As much as fits from one non-blank to another that a blank follows, else a word that is longer."""
+    return rf"(?s)\S(?:.{{0,{width - 2}}}\S)?(?=\s|$)|\S+"
+
+
 def wrap_chunks(text: str, width: int = CHUNK) -> list[str]:
     """Pieces of at most ``width`` characters, cut at white space; longer words stay whole."""
-    pieces = textwrap.wrap(text, width, break_long_words=False, replace_whitespace=False)
-    return [p for p in pieces if p.strip()]
+    return re.findall(_chunk_pattern(width), text)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunks_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(wrap_chunks, na_action="ignore")
+def chunk_text(df: DataFrame, column: str = "text", width: int = CHUNK) -> DataFrame:
+    """One row per chunk: ``chunk_no`` and ``chunk``, cut in the JVM as by ``wrap_chunks``; the other columns stay."""
+    rest = [c for c in df.columns if c != column]
+    chunks = F.regexp_extract_all(F.col(column), F.lit(f"(?U){_chunk_pattern(width)}"), F.lit(0))
+    return df.select(*rest, F.posexplode(chunks).alias("chunk_no", "chunk"))
 
 
-def chunk_text(df: DataFrame, column: str = "text") -> DataFrame:
-    """One row per chunk: ``chunk_no`` and ``chunk``; the other columns stay."""
-    rest = [c for c in df.columns if c != column]
-    cut = df.select(*rest, chunks_udf(F.col(column)).alias("_chunks"))
-    return cut.select(*rest, F.posexplode("_chunks").alias("chunk_no", "chunk"))
+def join_chunks(chunks: DataFrame, key: str, column: str = "chunk", out: str = "text") -> DataFrame:
+    """The chunks of each ``key`` put together in order, without a gap."""
+    parts = F.sort_array(F.collect_list(F.struct("chunk_no", F.col(column).alias("part"))))
+    return chunks.groupBy(key).agg(F.array_join(parts["part"], "").alias(out))
 
 
 def chunked(make: Callable[[], Rewriter]) -> Callable[[], Rewriter]:

@@ -178,9 +178,15 @@ def polish_hook(spark, sf):
     return documents(spark, sf).select("doc_id", textsteps.rewrite(F.col("text"), _careful_rewriter).alias("polished"))
 
 
-@query(None)
+@query(r"""SELECT doc_id, replace(regexp_replace(text, '\s+', '', 'g'), 'e', 'E') AS joined, TRUE AS fits FROM documents
+  WHERE regexp_matches(text, '\S')""")
 def chunk_text(spark, sf):
-    return textsteps.chunk_text(documents(spark, sf))
+    """Chunks are cut, worked on and joined again; blanks aside nothing is lost, and each fits or is one word."""
+    chunks = textsteps.chunk_text(documents(spark, sf)).withColumn("done", F.replace("chunk", F.lit("e"), F.lit("E")))
+    joined = textsteps.join_chunks(chunks, "doc_id", "done", "joined")
+    fits = (F.length("chunk") <= textsteps.CHUNK) | ~F.rlike("chunk", F.lit(r"\s"))
+    checked = chunks.groupBy("doc_id").agg(F.every(fits).alias("fits"))
+    return joined.join(checked, "doc_id").select("doc_id", F.regexp_replace("joined", r"\s+", "").alias("joined"), "fits")
 
 
 def _prompt_rewriter():

@@ -84,9 +84,13 @@ def mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
         (t % 3).cast("int").alias("number_of_attachments"),
         (c % 3 - 1).cast("int").alias("priority"),
         (t % 2 == 0).alias("is_read"))
-    archived = base.where(F.col("conv_id") % 10 == 0).withColumns({
-        "folder_path": F.lit("/Root/Archive"), "scan_pos": F.lit(1 << 44) + F.col("pos")})
-    return base.unionByName(archived).drop("conv_id", "turn")
+    # Every tenth conversation is filed twice; the joins above run once.
+    filings = F.when(c % 10 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    filed = base.withColumn("_archived", F.explode(filings))
+    return filed.withColumns({
+        "folder_path": F.when(F.col("_archived"), "/Root/Archive").otherwise(F.col("folder_path")),
+        "scan_pos": F.when(F.col("_archived"), F.lit(1 << 44) + F.col("pos")).otherwise(F.col("scan_pos"))}) \
+        .drop("conv_id", "turn", "_archived")
 
 
 def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
