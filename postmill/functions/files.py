@@ -149,7 +149,7 @@ def size_rejection(size: Column, actual: Column) -> Column:
 
 
 def content_limit_error(size: Column, max_mb: int = MAX_CONTENT_MB) -> Column:
-    """Error text for content too large to be read for text; null otherwise."""
+    """Error text (a fixed value) for content too large to be read for text; null otherwise."""
     return F.when(size > max_mb * 1024 * 1024, F.concat(
         F.lit("Attachment too large ("), size.cast("string"), F.lit(f" bytes > {max_mb}MB)")))
 

@@ -41,6 +41,7 @@ def validate(lines: DataFrame, checked: int = CHECKED_LINES) -> DataFrame:
         F.count_if(good).alias("valid"), F.count_if(~good).alias("invalid"))
     all_files = lines.groupBy("source").agg(F.count(F.lit(1)).alias("lines"))
     v, i = F.coalesce("valid", F.lit(0)), F.coalesce("invalid", F.lit(0))
+    # fixed values: the messages
     verdict = (F.when(v == 0, "No valid word-frequency pairs found")
                .when(i > v * MAX_BAD_SHARE, F.concat(
                    F.lit("Too many invalid lines: "), i.cast("string"), F.lit("/"), (v + i).cast("string")))

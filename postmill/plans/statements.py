@@ -48,7 +48,7 @@ def last_header(text: str, name: str) -> str:
 
 
 def mask(x: str) -> str:
-    for key, pattern in [
+    for key, pattern in [  # fixed values: masking patterns
         ("EMAIL", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}(?:\.[a-zA-Z]{2,})?"),
         ("PHONE", r"(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"),
         ("IP", r"(?:\b(?:\d{1,3}\.){3}\d{1,3}\b)|(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}"),
@@ -208,6 +208,7 @@ given AS (
     FROM given g JOIN queue q ON q.folder_path = g.folder_path AND q.message_index = g.message_index AND q.turn = g.turn + 1) step),
 stored AS (SELECT folder_path, message_index, attachment_index, stored_name FROM given)"""
 
+# fixed values: types by extension
 MIME_BY_NAME = r"""CASE lower(regexp_extract({n}, '\.([^.]*)$', 1))
     WHEN 'pdf' THEN 'application/pdf'
     WHEN 'docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'
