@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.operators import addresses as A
 from postmill.operators import attachments as T
-from postmill.operators import dedup, index, messages, spelling
+from postmill.functions.masking import mask_pii
+from postmill.operators import dedup, index, messages, spelling, textsteps
 from postmill.operators.numbering import numbered
 from postmill.schema import MASKED_FIELDS
 from postmill.sinks import writers
@@ -25,6 +26,8 @@ class Options:
     mask_all_text: bool = False
     custom_patterns: dict[str, str] | None = None
     dictionary: DataFrame | None = None
+    grammar: Callable[[], textsteps.Rewriter] | None = None
+    neural: Callable[[], textsteps.Rewriter] | None = None
     index: bool = False
     compress: bool = False
     attachment_text: bool = False
@@ -42,7 +45,7 @@ class Result:
 
 
 def records_of(raw: DataFrame, options: Options) -> DataFrame:
-    """Records of a mailbox after duplicate removal, masking and spelling, as one plan."""
+    """Records of a mailbox after duplicate removal, masking, spelling and the user's rewriters, as one plan."""
     records = messages.build_records(readable(raw))
     if options.deduplicate:
         records = dedup.keep_first(records, dedup.record_key())
@@ -50,6 +53,10 @@ def records_of(raw: DataFrame, options: Options) -> DataFrame:
         records = messages.mask_records(records, options.custom_patterns, options.mask_all_text)
     if options.dictionary is not None:
         records = spelling.correct_columns(records, options.dictionary, "scan_pos", {f: f for f in MASKED_FIELDS})
+    steps = [textsteps.chunked(options.grammar)] if options.grammar else []
+    steps += [textsteps.prompted(options.neural)] if options.neural else []
+    for step in steps:
+        records = records.withColumns({f: textsteps.rewrite(F.col(f), step) for f in MASKED_FIELDS})
     return records
 
 
@@ -86,6 +93,15 @@ def with_attachment_text(records: DataFrame, saved: DataFrame, attachments: Data
     return T.enrich_messages(records, T.enrich(of_records, ["scan_pos"]), "scan_pos")
 
 
+def masked_attachment_text(records: DataFrame, custom: dict[str, str] | None) -> DataFrame:
+    """Attachment texts masked like the other text fields, in the record's text and in its metadata."""
+    def masked(m: Column) -> Column:
+        text = m["extracted_text"]
+        return m.withField("extracted_text", F.when(text.isNotNull(), mask_pii(text, custom)))
+    return records.withColumns({"Attachment_Content": mask_pii(F.col("Attachment_Content"), custom),
+                                "Attachment_Metadata": F.transform("Attachment_Metadata", masked)})
+
+
 def extract(spark: SparkSession, raw: DataFrame, out: str, options: Options,
             attachments: DataFrame | None = None) -> Result:
     """Write the mailbox in every chosen format; with ``attachments`` also their bytes.
@@ -106,6 +122,8 @@ def extract(spark: SparkSession, raw: DataFrame, out: str, options: Options,
         records = T.with_saved_paths(records, saved.select("scan_pos", "attachment_index", "path"), "scan_pos")
         if options.attachment_text:
             records = with_attachment_text(records, saved, attachments)
+            if options.mask and options.mask_all_text:
+                records = masked_attachment_text(records, options.custom_patterns)
     base = f"{out}/{options.run_id}"
     kept = records.persist(StorageLevel.DISK_ONLY)  # for all formats, the index and the totals
     try:

@@ -70,6 +70,16 @@ def test_a_message_with_many_files_stays_one_message(spark, sf_dir, tmp_path):
     assert spark.read.parquet(result.paths["index"]).count() == 2
 
 
+def test_attachment_texts_are_masked_and_rewriters_run(spark, sf_dir, tmp_path):
+    raw = raw_message(spark, sf_dir, [(0, "<a>")]).withColumn("subject", F.lit("plain words"))
+    att = spark.createDataFrame([("/Root/A", 0, 0, "a.txt", "", "", "1", b"write to me@mill.example.org")], ATT)
+    options = jobs.Options(mask=True, mask_all_text=True, attachment_text=True, grammar=lambda: lambda t: t.replace("plain", "PLAIN"),
+                           neural=lambda: lambda p: p.removeprefix("improve grammar: ") + ".")
+    row = spark.read.json(jobs.extract(spark, raw, str(tmp_path), options, att).paths["json"]).first()
+    assert row["Attachment_Content"] == row["Attachment_Metadata"][0]["extracted_text"] == "write to <EMAIL>"
+    assert row["Subject"] == "PLAIN words."
+
+
 def test_bytes_cross_one_exchange(spark, sf_dir):
     """Names are settled on written tables of names; a table that held the bytes would show as a wider schema."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
