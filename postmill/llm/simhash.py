@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -176,9 +176,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3, crowd: int
     repeated rows. A null doc_id is passed through and is never a component_id unless its component has no
     other. Null, empty and blank texts share the fingerprint 0. An empty table gives an empty result.
     """
-    signed = written(fingerprints(docs, shingle), "fingerprints")
+    return grouped(written(fingerprints(docs, shingle), "fingerprints"), lambda nodes: links(nodes, most, crowd, block))
+
+
+def grouped(signed: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, fingerprint, component_id) per row of (doc_id, fp); ``linked`` gives the edges between the fps."""
     nodes = written(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = components(links(nodes, most, crowd, block))
+    roots = components(linked(nodes))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.select("fp", "root").join(firsts, "root").select("fp", "component_id")
@@ -192,13 +196,18 @@ def keep_one(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
     The document with the smallest doc_id stays; of rows that repeat a doc_id and its text one stays. Rows without
     a doc_id stay, since nothing names them. Columns and their order are those of ``docs``.
     """
-    found = written(near_duplicates(docs, shingle, most).filter(F.col("doc_id").isNotNull()), "groups")
+    return firsts(docs, near_duplicates(docs, shingle, most), _fingerprint_column(shingle))
+
+
+def firsts(docs: DataFrame, groups: DataFrame, fingerprint_of: Callable[[Column], Column]) -> DataFrame:
+    """The rows of ``docs`` that ``keep_one`` keeps, by ``groups`` (doc_id, fingerprint, component_id)."""
+    found = written(groups.filter(F.col("doc_id").isNotNull()), "groups")
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti")
     if not twice.isEmpty():
         stay = found.filter("doc_id = component_id").select("doc_id", F.col("fingerprint").alias("_fp")).distinct()
-        again = docs.join(twice, "doc_id", "left_semi").withColumn("_fp", _fingerprint_column(shingle)("text")) \
+        again = docs.join(twice, "doc_id", "left_semi").withColumn("_fp", fingerprint_of(F.col("text"))) \
             .join(stay, ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"]).drop("_fp")
         kept = kept.join(twice, "doc_id", "left_anti").unionByName(again.select(*kept.columns))
     return kept.select(*docs.columns)
