@@ -1,4 +1,4 @@
-"""Benchmark decontamination by template windows: numbers, names and units become typed placeholders."""
+"""Benchmark decontamination by template windows: numbers, names and units become typed placeholders, names also small words."""
 
 from __future__ import annotations
 
@@ -46,28 +46,44 @@ def template(token: str) -> str:
     return "@" if token[0].isupper() else token.lower()
 
 
+def folded(token: str) -> str:
+    """As ``template``, but a capitalised word is the word itself in small letters."""
+    form = template(token)
+    return token.lower() if form == "@" else form
+
+
+# Forms of a token that windows are hashed in, by number; the hashes of different forms differ.
+FORMS = (template, folded)
+
+
 class Templates:
-    """Hashes of the template windows of texts, and the values of their slots."""
+    """Hashes of the windows of texts in each form, and the values of their slots."""
 
     def __init__(self, windows: Windows) -> None:
         self.windows = windows
         self.known: dict[str, int] = {}
+        self.table = np.zeros((len(FORMS), 1 << 12), dtype=np.uint64)
 
-    def hashes(self, tokens: list[str]) -> np.ndarray:
+    def places(self, tokens: list[str]) -> np.ndarray:
+        """The columns of ``table`` that hold the tokens."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         for token in set(tokens).difference(self.known):
-            form = template(token)
-            # The lowest bit tells literals from slots.
-            self.known[token] = xxhash.xxh64_intdigest(form) & ~1 | (form not in "#@%")
-        return np.fromiter(map(self.known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-
-    def of(self, tokens: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, hashes) of the windows of ``width`` tokens with enough literals."""
-        n = len(tokens) - width + 1
-        if n < 1:
+            at = self.known[token] = len(self.known)
+            if at == self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+            for kind, form_of in enumerate(FORMS):
+                form = form_of(token)
+                # The lowest bit tells literals from slots.
+                self.table[kind, at] = xxhash.xxh64_intdigest(form, kind) & ~1 | (form not in "#@%")
+        return np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+
+    def of(self, places: np.ndarray, width: int, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the windows of ``width`` tokens with enough literals in the form of that number."""
+        n = len(places) - width + 1
+        if n < 1 or not width:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        each = self.hashes(tokens)
+        each = self.table[kind][places]
         literals = np.concatenate([[0], np.cumsum((each & np.uint64(1)).astype(np.int64))])
         total = np.full(n, width, dtype=np.uint64)
         for k in range(width):
@@ -78,9 +94,9 @@ class Templates:
         starts = np.nonzero(literals[width:] - literals[:n] >= min(self.windows.literals, width))[0]
         return starts, total[starts]
 
-    def slots(self, tokens: list[str], start: int, width: int) -> list[str]:
+    def slots(self, tokens: list[str], start: int, width: int, kind: int = 0) -> list[str]:
         """Type and value of each slot of a window, in order."""
-        return [f + t for t in tokens[start:start + width] if (f := template(t)) in ("#", "@", "%")]
+        return [f + t for t in tokens[start:start + width] if (f := FORMS[kind](t)) in ("#", "@", "%")]
 
 
 def _spots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +104,15 @@ def _spots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
 
 
-ITEM_SCHEMA = "h long, item_id long, item_at long, item_slots array<string>, n_windows long"
+ITEM_SCHEMA = "h long, item_id long, item_at long, item_slots array<string>, kind long, inner boolean, n_inner long, n_windows long"
 HIT_SCHEMA = "doc_id long, row_hash long, h long, at long, slots array<string>"
 
 
 def item_windows(benchmark: DataFrame, windows: Windows) -> DataFrame:
-    """ITEM_SCHEMA per template window of each item; an item shorter than a window is one window."""
+    """ITEM_SCHEMA per window and form of each item; an item shorter than a window is one window.
+
+    ``inner`` tells windows that have enough literals as templates too; n_inner and n_windows count those and all.
+    """
     ship(benchmark.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,13 +122,17 @@ def item_windows(benchmark: DataFrame, windows: Windows) -> DataFrame:
             for item, text in zip(part.column("item_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 tokens = TOKEN.findall(text or "")
                 width = min(windows.tokens, len(tokens))
-                starts, hashes = templates.of(tokens, width) if width else ((), np.zeros(0, np.uint64))
-                rows += [(h, item, at, templates.slots(tokens, at, width), len(starts), width)
-                         for at, h in zip(map(int, starts), hashes.view(np.int64).tolist(), strict=True)]
+                places = templates.places(tokens)
+                found = [(kind, *templates.of(places, width, kind)) for kind in range(len(FORMS))]
+                inner = set(found[0][1].tolist())
+                count = len(set().union(*(starts.tolist() for _, starts, _ in found)))
+                rows += [(h, item, at, templates.slots(tokens, at, width, kind), kind, at in inner, len(inner), count, width)
+                         for kind, starts, hashes in found
+                         for at, h in zip(starts.tolist(), hashes.view(np.int64).tolist(), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    zip(*rows, strict=True), [*[pa.int64()] * 3, pa.list_(pa.string()), pa.int64(), pa.int64()], strict=True)],
-                    ["h", "item_id", "item_at", "item_slots", "n_windows", "width"])
+                    zip(*rows, strict=True), [*[pa.int64()] * 3, pa.list_(pa.string()), pa.int64(), pa.bool_(), *[pa.int64()] * 3], strict=True)],
+                    ["h", "item_id", "item_at", "item_slots", "kind", "inner", "n_inner", "n_windows", "width"])
 
     rows = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, f"{ITEM_SCHEMA}, width long")
@@ -142,7 +165,8 @@ def window_hits(docs: DataFrame, items: DataFrame, windows: Windows) -> DataFram
     spark = docs.sparkSession
     ship(spark)
     bits = spark.sparkContext.broadcast(_filter_of(items))
-    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most the tokens of a window
+    # At most the tokens of a window times the forms.
+    widths = sorted((r["width"], r["kind"]) for r in items.select("width", "kind").distinct().collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(windows)
@@ -151,12 +175,13 @@ def window_hits(docs: DataFrame, items: DataFrame, windows: Windows) -> DataFram
             rows = []
             for doc, text, row_hash in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "row_hash")), strict=True):
                 tokens = TOKEN.findall(text or "")
-                for width in widths:
-                    starts, hashes = templates.of(tokens, width)
+                places = templates.places(tokens)
+                for width, kind in widths:
+                    starts, hashes = templates.of(places, width, kind)
                     one, two = _spots(hashes)
                     for k in np.nonzero(table[one] & table[two])[0].tolist():
                         at = int(starts[k])
-                        rows.append((doc, row_hash, int(hashes[k:k + 1].view(np.int64)[0]), at, templates.slots(tokens, at, width)))
+                        rows.append((doc, row_hash, int(hashes[k:k + 1].view(np.int64)[0]), at, templates.slots(tokens, at, width, kind)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                     zip(*rows, strict=True), [pa.int64()] * 4 + [pa.list_(pa.string())], strict=True)],
@@ -168,27 +193,29 @@ def window_hits(docs: DataFrame, items: DataFrame, windows: Windows) -> DataFram
 def matches(docs: DataFrame, benchmark: DataFrame, windows: Windows | None = None) -> DataFrame:
     """(doc_id, row_hash, item_id, coverage) of each document row and item that shares enough consistent windows.
 
-    Windows are hash-joined on their templates. Windows of one document and item at the same distance are one placement;
-    it counts if its slots agree: the same value of the item always stands for the same value of the document, of the
-    same type. coverage is the share of the item's windows that such placements meet.
+    Windows are hash-joined in two forms, as templates and with names as words whatever their case. Windows of one document,
+    item and form at the same distance are one placement; it counts if its slots agree: the same value of the item always
+    stands for the same value of the document, of the same type. coverage is the share of the item's windows that such
+    placements meet, of those with enough literals as templates or of all, whichever is larger.
     """
     windows = windows or Windows()
     items = written(item_windows(benchmark, windows), "items")
     hits = window_hits(docs, items, windows)
     met = hits.join(items.drop("width"), "h").filter(F.size("slots") == F.size("item_slots"))
+    item = ["doc_id", "row_hash", "item_id", "n_inner", "n_windows"]
     placed = met.withColumn("place", F.col("at") - F.col("item_at")) \
         .withColumn("pairs", F.array_distinct(F.arrays_zip("item_slots", "slots"))) \
-        .select("doc_id", "row_hash", "item_id", "n_windows", "place", "item_at", "pairs")
+        .select(*item, "kind", "place", F.struct("item_at", "inner").alias("spot"), "pairs")
     # Of bounded size: a placement has at most one row per window of the item.
-    placements = placed.groupBy("doc_id", "row_hash", "item_id", "n_windows", "place").agg(
-        F.collect_set("item_at").alias("spots"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    placements = placed.groupBy(*item, "kind", "place").agg(
+        F.collect_set("spot").alias("spots"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     agree = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
     typed = F.forall("pairs", lambda p: F.substring(p["item_slots"], 1, 1) == F.substring(p["slots"], 1, 1))
     good = placements.filter(agree & typed)
-    return good.select("doc_id", "row_hash", "item_id", "n_windows", F.explode("spots").alias("spot")).distinct() \
-        .groupBy("doc_id", "row_hash", "item_id", "n_windows").agg(F.count("*").alias("n")) \
-        .filter(F.col("n") >= windows.coverage * F.col("n_windows")) \
-        .groupBy("doc_id", "row_hash", "item_id").agg(F.max(F.col("n") / F.col("n_windows")).alias("coverage"))
+    share = F.greatest(F.try_divide(F.count_if("spot.inner"), F.col("n_inner")), F.count("*") / F.col("n_windows"))
+    return good.select(*item, F.explode("spots").alias("spot")).distinct() \
+        .groupBy(*item).agg(share.alias("share")).filter(F.col("share") >= windows.coverage) \
+        .groupBy("doc_id", "row_hash", "item_id").agg(F.max("share").alias("coverage"))
 
 
 def checked(docs: DataFrame, benchmark: DataFrame, windows: Windows | None = None) -> DataFrame:

@@ -76,3 +76,10 @@ def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(i for i, bad in want if not bad)
     assert decontaminate.keep(odd_docs, items.limit(0)).count() == odd_docs.count()
     assert decontaminate.checked(no_docs, items).collect() == []
+
+
+def test_copies_in_capitals_and_title_case_are_found(spark):
+    docs = [(1, f"{prose(1, 30)} {QUESTION.upper()} {prose(2, 30)}", 0, 0), (2, QUESTION.title(), 0, 0), (3, QUESTION.lower(), 0, 0),
+            (4, prose(4, 60).upper(), 0, 0)]
+    got = check(spark, docs, [(7, QUESTION)])
+    assert [got[i][:2] for i in (1, 2, 3)] == [(True, [7])] * 3 and not got[4][0]
