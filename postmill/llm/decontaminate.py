@@ -52,8 +52,10 @@ def folded(token: str) -> str:
     return token.lower() if form == "@" else form
 
 
-# Forms of a token that windows are hashed in, by number; the hashes of different forms differ.
-FORMS = (template, folded)
+# Forms of a token that windows are hashed in, by number; the hashes of different forms differ. The last keeps all values
+# and has no slots; it is for items without an eligible window in the others.
+FORMS = (template, folded, str.lower)
+EXACT = len(FORMS) - 1
 
 
 class Templates:
@@ -75,7 +77,7 @@ class Templates:
             for kind, form_of in enumerate(FORMS):
                 form = form_of(token)
                 # The lowest bit tells literals from slots.
-                self.table[kind, at] = xxhash.xxh64_intdigest(form, kind) & ~1 | (form not in "#@%")
+                self.table[kind, at] = xxhash.xxh64_intdigest(form, kind) & ~1 | (kind == EXACT or form not in "#@%")
         return np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
     def of(self, places: np.ndarray, width: int, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +125,9 @@ def item_windows(benchmark: DataFrame, windows: Windows) -> DataFrame:
                 tokens = TOKEN.findall(text or "")
                 width = min(windows.tokens, len(tokens))
                 places = templates.places(tokens)
-                found = [(kind, *templates.of(places, width, kind)) for kind in range(len(FORMS))]
+                found = [(kind, *templates.of(places, width, kind)) for kind in range(EXACT)]
+                if not any(len(starts) for _, starts, _ in found):
+                    found.append((EXACT, *templates.of(places, width, EXACT)))
                 inner = set(found[0][1].tolist())
                 count = len(set().union(*(starts.tolist() for _, starts, _ in found)))
                 rows += [(h, item, at, templates.slots(tokens, at, width, kind), kind, at in inner, len(inner), count, width)
@@ -223,7 +227,8 @@ def checked(docs: DataFrame, benchmark: DataFrame, windows: Windows | None = Non
 
     item_ids are the items found in the row's text, ascending (an empty list if none); coverage is the best share (0 if
     none). Null and empty texts and items hold nothing. Rows without a doc_id and rows that repeat a doc_id are told apart
-    by their text; equal rows get equal results. Items none of whose windows has enough literals cannot be found.
+    by their text; equal rows get equal results. Items none of whose windows has enough literals are found by windows of
+    their exact words and numbers; only items without a letter or digit hold nothing.
     """
     found = written(matches(docs, benchmark, windows).groupBy("doc_id", "row_hash").agg(
         F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage")), "contaminated")

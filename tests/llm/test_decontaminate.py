@@ -83,3 +83,11 @@ def test_copies_in_capitals_and_title_case_are_found(spark):
             (4, prose(4, 60).upper(), 0, 0)]
     got = check(spark, docs, [(7, QUESTION)])
     assert [got[i][:2] for i in (1, 2, 3)] == [(True, [7])] * 3 and not got[4][0]
+
+
+def test_items_without_eligible_windows_are_found(spark):
+    items = {1: "What is photosynthesis?", 2: "7 times 8 is 56", 3: "3 kg", 4: "1 2 3 4 5 6 7 8 9 10 11 12", 5: "Who wrote Hamlet?"}
+    docs = [(k, f"{prose(k, 20)} {t.lower()} {prose(k + 50, 20)}", 0, 0) for k, t in items.items()]
+    docs += [(6, "7 times 8 is 57 and 4 kg of 1 2 3 5 who wrote Macbeth", 0, 0)]
+    got = check(spark, docs, [*items.items(), (6, "?!")])
+    assert {k: (r[0], r[1]) for k, r in got.items()} == {**{k: (True, [k]) for k in items}, 6: (False, [])}
