@@ -199,7 +199,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, windows: Windows | None = Non
 
     Windows are hash-joined in two forms, as templates and with names as words whatever their case. Windows of one document,
     item and form at the same distance are one placement; it counts if its slots agree: the same value of the item always
-    stands for the same value of the document, of the same type. coverage is the share of the item's windows that such
+    stands for the same value of the document, of the same type. Of a placement whose slots do not agree, the windows with
+    the item's own values count. coverage is the share of the item's windows that such
     placements meet, of those with enough literals as templates or of all, whichever is larger.
     """
     windows = windows or Windows()
@@ -209,13 +210,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, windows: Windows | None = Non
     item = ["doc_id", "row_hash", "item_id", "n_inner", "n_windows"]
     placed = met.withColumn("place", F.col("at") - F.col("item_at")) \
         .withColumn("pairs", F.array_distinct(F.arrays_zip("item_slots", "slots"))) \
-        .select(*item, "kind", "place", F.struct("item_at", "inner").alias("spot"), "pairs")
+        .select(*item, "kind", "place", F.struct("item_at", "inner").alias("spot"), "pairs",
+                (F.col("slots") == F.col("item_slots")).alias("same"))
     # Of bounded size: a placement has at most one row per window of the item.
     placements = placed.groupBy(*item, "kind", "place").agg(
-        F.collect_set("spot").alias("spots"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+        F.collect_set("spot").alias("spots"), F.collect_set(F.when(F.col("same"), F.col("spot"))).alias("equal"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     agree = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
     typed = F.forall("pairs", lambda p: F.substring(p["item_slots"], 1, 1) == F.substring(p["slots"], 1, 1))
-    good = placements.filter(agree & typed)
+    good = placements.withColumn("spots", F.when(agree & typed, F.col("spots")).otherwise(F.col("equal")))
     share = F.greatest(F.try_divide(F.count_if("spot.inner"), F.col("n_inner")), F.count("*") / F.col("n_windows"))
     return good.select(*item, F.explode("spots").alias("spot")).distinct() \
         .groupBy(*item).agg(share.alias("share")).filter(F.col("share") >= windows.coverage) \

@@ -91,3 +91,11 @@ def test_items_without_eligible_windows_are_found(spark):
     docs += [(6, "7 times 8 is 57 and 4 kg of 1 2 3 5 who wrote Macbeth", 0, 0)]
     got = check(spark, docs, [*items.items(), (6, "?!")])
     assert {k: (r[0], r[1]) for k, r in got.items()} == {**{k: (True, [k]) for k in items}, 6: (False, [])}
+
+
+def test_one_changed_value_does_not_undo_equal_windows(spark):
+    parts = [prose(60 + k, 14) for k in range(3)]
+    item = f"{parts[0]} 12 {parts[1]} 12 {parts[2]}"
+    docs = [(1, item.replace("12", "13", 1), 0, 0), (2, item.replace("12", "14"), 0, 0), (3, BROKEN, 0, 0)]
+    got = check(spark, docs, [(1, item), (2, QUESTION)])
+    assert got[1][:2] == (True, [1]) and 0.5 < got[1][2] < 1 and got[2] == (True, [1], 1.0) and not got[3][0]
