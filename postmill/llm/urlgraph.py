@@ -16,7 +16,7 @@ DAMPING = 0.85
 ROUNDS = 8
 # Share of a host's pages that block (allow) rules must decide for the host to be a blocked (trusted) seed.
 SEED_SHARE = 0.5
-# A host is blocked if its share of distrust in trust and distrust is above this.
+# A host is blocked if its share of distrust in trust and distrust is above this, and its distrust above its baseline.
 SPAM_SHARE = 0.5
 # Weight of the edges between a host and its parent domain, in links.
 DOMAIN_LINKS = 1.0
@@ -91,7 +91,9 @@ def _weighted(edges: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust): personalised PageRank of trust along the edges and of distrust against them.
+    """(host, trust, distrust, base): personalised PageRank of trust along the edges and of distrust against them.
+
+    ``base`` is what a host gets of distrust if all hosts are equal seeds.
 
     ``seeds`` is (host, trusted, blocked), masses that are normalised to 1 each. Hosts without a way on keep
     what they have. A round joins the ranks to the edges by host and sums by host; its result is written to the
@@ -100,8 +102,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     hosts = edges.select(F.explode(F.array("src", "dst")).alias("host")).union(seeds.select("host")).distinct()
     total = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
     trusted, blocked = float(total["t"] or 0.0) or 1.0, float(total["b"] or 0.0) or 1.0
+    hosts = written(hosts, "all-hosts")
+    each = 1.0 / max(hosts.count(), 1)
     start = written(hosts.join(seeds, "host", "left").select(
-        "host", (F.coalesce("trusted", F.lit(0.0)) / trusted).alias("s_trust"),
+        "host", F.lit(each).alias("s_base"), (F.coalesce("trusted", F.lit(0.0)) / trusted).alias("s_trust"),
         (F.coalesce("blocked", F.lit(0.0)) / blocked).alias("s_distrust")), "hosts")
     out, back = _weighted(edges, "src", "dst"), _weighted(edges, "dst", "src")
     kinds = [w.withColumn("kind", F.lit(kind)) for kind, w in (("trust", out), ("distrust", back))]
@@ -110,14 +114,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
         F.col("host").alias("start"), F.col("host").alias("end"), F.lit(1.0).alias("weight"), F.lit(kind).alias("kind"))
         for kind, w in (("trust", out), ("distrust", back))]
     ways = written(kinds[0].unionByName(kinds[1]).unionByName(loops[0]).unionByName(loops[1]), "ways")
-    ranks = start.select("host", F.col("s_trust").alias("trust"), F.col("s_distrust").alias("distrust"))
+    ranks = start.select("host", *(F.col(f"s_{k}").alias(k) for k in ("trust", "distrust", "base")))
     for _ in range(rounds):
         moved = ways.join(ranks.withColumnRenamed("host", "start"), "start") \
             .groupBy(F.col("end").alias("host")).agg(
                 F.sum(F.when(F.col("kind") == "trust", F.col("trust") * F.col("weight"))).alias("m_trust"),
-                F.sum(F.when(F.col("kind") == "distrust", F.col("distrust") * F.col("weight"))).alias("m_distrust"))
+                F.sum(F.when(F.col("kind") == "distrust", F.col("distrust") * F.col("weight"))).alias("m_distrust"),
+                F.sum(F.when(F.col("kind") == "distrust", F.col("base") * F.col("weight"))).alias("m_base"))
         step = lambda k: ((1 - damping) * F.col(f"s_{k}") + damping * F.coalesce(f"m_{k}", F.lit(0.0))).alias(k)
-        ranks = written(start.join(moved, "host", "left").select("host", step("trust"), step("distrust")), "ranks")
+        ranks = written(start.join(moved, "host", "left").select(
+            "host", step("trust"), step("distrust"), step("base")), "ranks")
     return ranks
 
 
@@ -126,7 +132,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, ro
 
     The longest rule that fits a url decides it. Otherwise its host does: hosts most of whose pages are allowed
     (blocked) by rules are trusted (blocked) seeds, trust goes along links and distrust against them, and a host whose
-    part of distrust is above SPAM_SHARE is blocked. Edges are the absolute links of the pages and those between a host
+    part of distrust is above SPAM_SHARE is blocked if it also has more distrust than it would if all hosts were blocked
+    alike, so that a domain's hub does not hand the verdict on one host to all others. Edges are the absolute links of the pages and those between a host
     and its parent domain. Hosts that neither reaches are allowed, and so are urls without a host (trust and
     distrust null). Null and malformed urls have empty host and path; repeated rows give repeated rows.
     """
@@ -141,6 +148,6 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, ro
     edges = written(host_edges(pages).unionByName(_domain_edges(per_host.select("host"), DOMAIN_LINKS))
                     .groupBy("src", "dst").agg(F.sum("links").alias("links")), "links")
     ranks = propagate(edges, seeds, rounds)
-    spam = F.col("distrust") > SPAM_SHARE * (F.col("trust") + F.col("distrust"))
+    spam = (F.col("distrust") > SPAM_SHARE * (F.col("trust") + F.col("distrust"))) & (F.col("distrust") > F.col("base"))
     verdict = F.when(F.col("said").isNotNull(), F.col("said")).when(spam, "block").otherwise("allow")
     return urls.join(ranks, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")

@@ -109,3 +109,10 @@ def test_odd_rows(spark):
     assert got == [(0, "a.b.c.net", "block"), (1, "", "allow"), (1, "", "allow"), (2, "", "allow"), (3, "a.com", "allow")]
     assert urlgraph.judged(pages(spark, rows).limit(0)).collect() == []
     assert {r.rule for r in urlgraph.judged(pages(spark, rows), []).collect()} == {None}
+
+
+def test_one_blocked_host_does_not_block_its_siblings(spark):
+    rows = [(1, "http://m.bets.example.com/de/", None), (2, "http://m.bets.example.com/de/2", None)]
+    rows += [(10 + k, f"http://w{k}.example.com/a", None) for k in range(30)]
+    got = {r.page_id: r.verdict for r in urlgraph.judged(pages(spark, rows)).collect()}
+    assert got.pop(1) == got.pop(2) == "block" and set(got.values()) == {"allow"}
