@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import bpe, decontaminate, nearcopies, rules, toxicity
+from postmill.llm import bpe, decontaminate, rules, simhash, toxicity
 from postmill.session import written
 
 
@@ -24,8 +24,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word similarity of 0.8 or more."""
-    return nearcopies.keep_one(docs)
+    """One document of each SimHash component, by three-word shingles and three bits."""
+    return simhash.keep_one(docs, shingle=3, most=3)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
