@@ -42,6 +42,11 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
+def one_row_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, text): of the rows with equal keys the text of the least hash, so that a repeated id is one row."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def rowwise(docs: DataFrame, run) -> DataFrame:
     """mapInArrow with the columns of ``docs`` as they are."""
     ship(docs.sparkSession)

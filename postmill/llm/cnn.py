@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.batches import held_out, pieces, texts
+from postmill.llm.batches import held_out, one_row_each, pieces, texts
 
 THRESHOLD = 0.7
 STRIDE = 8            # a filter sees 16 bytes and moves by 8
@@ -18,6 +18,8 @@ BLOCK = 128           # pooled first; a chunk is two neighbouring blocks, so chu
 GRAM = 8              # bytes that count as a repetition
 NEAR = (16, 64, 256, 1024)  # distances to the last equal gram that are told apart
 WIDTH, FILTERS, HIDDEN = 8, 16, 16
+# Blocks of a text that are held at a time; longer texts are read in such runs.
+RUN_BLOCKS = 2048
 
 
 @dataclass(frozen=True)
@@ -52,7 +54,7 @@ class Packed:
 
 
 def pack(raws: list[bytes]) -> Packed:
-    sizes = np.array([-(-(len(r) + STRIDE) // BLOCK) for r in raws])
+    sizes = np.array([blocks_of(len(r)) for r in raws])
     ends = np.cumsum(sizes)
     first = ends - sizes
     data = np.zeros(int(ends[-1]) * BLOCK, dtype=np.uint8)
@@ -64,6 +66,10 @@ def pack(raws: list[bytes]) -> Packed:
     return Packed(codes, first, after)
 
 
+def blocks_of(size: int) -> int:
+    return -(-(size + STRIDE) // BLOCK)
+
+
 def _distances(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """0, or 1 to 4 by the distance to the last equal run of GRAM bytes in the same text."""
     n = len(data) - GRAM + 1
@@ -114,8 +120,45 @@ class Network:
         return {"rows": rows, "following": following, "conv": conv, "per": per, "top": top, "mean": mean, "chunk": chunk,
                 "hidden": hidden, "best": best, "average": average, "logit": logit}
 
+    def hidden(self, raw: bytes, first: int, after: int) -> np.ndarray:
+        """The hidden layer of a text's chunks from block ``first`` to before ``after``.
+
+        Read are those blocks, the one that the last chunk ends in with the bytes its filters reach into, and before
+        them the bytes in which a repetition is near enough to count.
+        """
+        total = blocks_of(len(raw))
+        low, high = max(0, first * BLOCK - (max(NEAR) + GRAM)), min(total, after + 2) * BLOCK
+        data = np.zeros(high - low, dtype=np.uint8)
+        here = np.frombuffer(raw, dtype=np.uint8)[low:high]
+        data[:len(here)] = here
+        codes = (data.astype(np.int32) + 256 * _distances(data, np.zeros(len(data), np.int32)))[first * BLOCK - low:]
+        p = self.p
+        rows = p["table"][codes].reshape(-1, STRIDE * WIDTH)
+        conv = np.maximum(rows @ p["a"] + np.vstack([rows[1:], rows[-1:]]) @ p["b"] + p["c"], 0)
+        per = conv.reshape(-1, BLOCK // STRIDE, FILTERS)
+        top, mean = per.max(1), per.mean(1)
+        here = np.arange(after - first)
+        nxt = np.minimum(here + 1, total - 1 - first)
+        chunk = np.hstack([np.maximum(top[here], top[nxt]), (mean[here] + mean[nxt]) / 2])
+        return np.maximum(chunk @ p["v"] + p["w"], 0)
+
+    def long_logit(self, raw: bytes) -> float:
+        """The logit of one text, run of blocks by run of blocks, keeping a maximum and a sum."""
+        total = blocks_of(len(raw))
+        best, mass = np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN)
+        for first in range(0, total, RUN_BLOCKS):
+            hidden = self.hidden(raw, first, min(total, first + RUN_BLOCKS))
+            best, mass = np.maximum(best, hidden.max(0)), mass + hidden.sum(0, dtype=np.float64)
+        return float(np.hstack([best, (mass / total).astype(np.float32)]) @ self.p["u"] + self.p["z"][0])
+
     def score(self, raws: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward(pack(raws))["logit"].astype(np.float64), -40, 40)))
+        logits = np.empty(len(raws))
+        short = [k for k, raw in enumerate(raws) if blocks_of(len(raw)) <= RUN_BLOCKS]
+        if short:
+            logits[short] = self.forward(pack([raws[k] for k in short]))["logit"]
+        for k in set(range(len(raws))).difference(short):
+            logits[k] = self.long_logit(raws[k])
+        return 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
 
     def gradients(self, packed: Packed, y: np.ndarray) -> tuple[float, dict]:
         p, s = self.p, self.forward(packed)
@@ -191,8 +234,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: Sample) -> tuple[Network |
     rows = texts(docs).filter(F.octet_length("text") <= sample.most_bytes)
     known = marks.join(rows.select("doc_id"), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample.documents)
-    # The sample's size bounds the side that is broadcast and what comes back.
-    got = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").orderBy("doc_id", "text").toArrow()
+    # The sample's size bounds the side that is broadcast and, with one row for each of its ids, what comes back.
+    got = one_row_each(rows.join(F.broadcast(chosen), "doc_id"), "doc_id", "quality").orderBy("doc_id").toArrow()
     y = np.array(got.column("quality").to_pylist(), dtype=np.int64)
     return fit([t.encode() for t in got.column("text").to_pylist()], y, sample), float(y.mean()) if len(y) else 0.5
 

@@ -129,9 +129,10 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     joined = b" %s " % b" ".join(words)
     out = []
     for phrase, label in BASE.items():
-        at = joined.find(b" %s " % phrase.encode())
+        at, before, seen = joined.find(b" %s " % phrase.encode()), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            before, seen = before + joined.count(b" ", seen, at), at
+            out.append((before, label))
             at = joined.find(b" %s " % phrase.encode(), at + 1)
     return out
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.batches import held_out, pieces, rowwise, texts
+from postmill.llm.batches import held_out, one_row_each, pieces, rowwise, texts
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -71,7 +71,7 @@ def _first(frame: DataFrame, n: int) -> DataFrame:
 def training_rows(docs: DataFrame, labels: DataFrame, sample: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(is_positive per text, buckets of all texts end to end, number of buckets per text, class prior).
 
-    All come from rows that are not held out. Positives are documents with a confirmed label; the unlabelled ones are taken from all documents, whatever
+    All come from rows that are not held out; of rows that share a doc_id the one with the least hash of its text counts. Positives are documents with a confirmed label; the unlabelled ones are taken from all documents, whatever
     their label. The prior is the share of toxic ones among the labelled documents.
     """
     marks = labels.filter(~held_out(labels["doc_id"])).select("doc_id", "toxic").dropna() \
@@ -89,14 +89,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: Sample) -> tuple[n
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("positive"),
                                               pa.array(found, pa.list_(pa.int32()))], ["doc_id", "positive", "buckets"])
 
-    # The sample's size bounds the side that is broadcast and what comes back.
-    picked = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, positive boolean, buckets array<int>")
+    # The sample's size bounds the side that is broadcast and, with one row for each of its ids, what comes back.
+    picked = one_row_each(rows.join(F.broadcast(chosen), "doc_id"), "doc_id", "positive").mapInArrow(run, "doc_id long, positive boolean, buckets array<int>")
     got = picked.orderBy("doc_id", "positive").toArrow()
     lists = got.column("buckets").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     return got.column("positive").to_numpy(), lists.flatten().to_numpy(), sizes, prior
 
 
+def risk(f: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """(value, slope by logit) of the non-negative PU risk of the logits ``f``.
+
+    Where the unlabelled part falls below zero, the slope is that of its negative alone, so that a step goes against it.
+    """
+    n_pos, n_unl = int(positive.sum()), int((~positive).sum())
+    up = 1 / (1 + np.exp(-np.clip(f, -40, 40)))  # slope of loss(f, -); that of loss(f, +) is up - 1
+    loss_neg = np.logaddexp(0, f)
+    rest = loss_neg[~positive].mean() - prior * loss_neg[positive].mean()
+    slope_rest = np.where(positive, -prior * up / n_pos, up / n_unl)
+    slope = np.where(positive, prior * (up - 1) / n_pos, 0.0) + slope_rest if rest >= 0 else -slope_rest
+    return float(prior * (loss_neg[positive] - f[positive]).mean() + max(0.0, rest)), slope
+
+
 def fit(positive: np.ndarray, bucket: np.ndarray, sizes: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-3, least_z: float = 5.0) -> Model:
     """Logistic weights of the least non-negative PU risk.
 
@@ -127,11 +141,7 @@ def fit(positive: np.ndarray, bucket: np.ndarray, sizes: np.ndarray, prior: floa
     m, v = np.zeros(len(use) + 1), np.zeros(len(use) + 1)
     for step in range(1, steps + 1):
         f = bias + np.bincount(doc, weights=theta[col], minlength=len(sizes))
-        up = 1 / (1 + np.exp(-np.clip(f, -40, 40)))  # slope of loss(f, -); that of loss(f, +) is up - 1
-        loss_neg = np.logaddexp(0, f)
-        rest = loss_neg[~positive].mean() - prior * loss_neg[positive].mean()
-        slope_rest = np.where(positive, -prior * up / n_pos, up / n_unl)
-        slope = np.where(positive, prior * (up - 1) / n_pos, 0.0) + slope_rest if rest >= 0 else -slope_rest
+        _, slope = risk(f, positive, prior)
         grad = np.append(np.bincount(col, weights=slope[doc], minlength=len(use)) + l2 * theta, slope.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)

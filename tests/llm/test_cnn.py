@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -88,3 +89,58 @@ def test_odd_rows(odd_docs, no_docs, labels, no_labels):
     assert len({r.score for r in got if r.doc_id in (4, 5)}) == 1
     assert {r.score for r in cnn.scored(odd_docs, no_labels, quick).collect()} == {0.5}
     assert cnn.scored(no_docs, labels, quick).collect() == []
+
+
+def plain_logit(net, raw):
+    """The forward pass by its definition, a filter place at a time."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    blocks = -(-(len(raw) + 8) // 128)
+    data = raw + bytes(blocks * 128 - len(raw))
+    vectors = []
+    for i, byte in enumerate(data):
+        gram = data[i:i + 8]
+        last = data.rfind(gram, 0, i + 7) if byte and len(gram) == 8 else -1
+        near = next((k + 1 for k, d in enumerate(cnn.NEAR) if i - last <= d), 0) if last >= 0 else 0
+        vectors.append(p["table"][byte + 256 * near])
+    spots = [np.concatenate(vectors[i:i + 8]) for i in range(0, len(data), 8)]
+    conv = [np.maximum(s @ p["a"] + spots[min(k + 1, len(spots) - 1)] @ p["b"] + p["c"], 0) for k, s in enumerate(spots)]
+    top = [np.max(conv[k:k + 16], axis=0) for k in range(0, len(conv), 16)]
+    mean = [np.mean(conv[k:k + 16], axis=0) for k in range(0, len(conv), 16)]
+    hidden = []
+    for k in range(blocks):
+        n = min(k + 1, blocks - 1)
+        chunk = np.concatenate([np.maximum(top[k], top[n]), (mean[k] + mean[n]) / 2])
+        hidden.append(np.maximum(chunk @ p["v"] + p["w"], 0))
+    return float(np.concatenate([np.max(hidden, axis=0), np.mean(hidden, axis=0)]) @ p["u"] + p["z"][0])
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 120, 121, 128, 500, 1500])
+def test_forward_equals_plain_loops(size):
+    r = random.Random(size)
+    raw = "".join(r.choice("abc") for _ in range(size)).encode()
+    net = cnn.Network(5)
+    want = plain_logit(net, raw)
+    assert net.forward(cnn.pack([raw]))["logit"][0] == pytest.approx(want, rel=1e-4, abs=1e-5)
+    assert net.long_logit(raw) == pytest.approx(want, rel=1e-4, abs=1e-5)
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 7, 1000])
+def test_runs_of_blocks_give_what_the_whole_gives(monkeypatch, run):
+    r = random.Random(1)
+    words = ["".join(r.choice("etaoin") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    raw = " ".join(r.choice(words) for _ in range(3000)).encode()
+    net = cnn.Network(5)
+    whole = net.forward(cnn.pack([raw]))["logit"][0]
+    monkeypatch.setattr(cnn, "RUN_BLOCKS", run)
+    assert net.long_logit(raw) == pytest.approx(whole, rel=1e-4, abs=1e-5)
+    assert net.score([b"short", raw, b""])[1] == pytest.approx(1 / (1 + np.exp(-whole)), rel=1e-4)
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    raw = random.Random(3).randbytes(1 << 20) * 64
+    net = cnn.Network(2)
+    tracemalloc.start()
+    score = net.score([raw])[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= score <= 1 and most < 100 << 20

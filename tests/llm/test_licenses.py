@@ -48,3 +48,16 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     got = sorted((tuple(r)[:7] for r in licenses.scan(odd_docs).collect()), key=str)
     assert got == sorted(((r[0], *plain(r[1])) for r in odd_rows), key=str)
     assert licenses.scan(no_docs).collect() == []
+
+
+def test_time_grows_with_the_text():
+    """A phrase on every second word: places are counted on from the last one."""
+    import time
+    def seconds(n):
+        words = b"cc by x".split() * n
+        t0 = time.perf_counter()
+        assert len(licenses.base_places(words)) == n
+        return time.perf_counter() - t0
+    seconds(1000)
+    assert seconds(80_000) < 40 * max(seconds(8_000), 0.002)
+    assert [at for at, _ in licenses.base_places(b"cc by cc by x general public license cc by".split())] == [0, 2, 8, 5]

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -79,3 +80,38 @@ def test_odd_rows(odd_docs, no_docs, labels, no_labels):
     assert toxicity.scored(no_docs, labels).collect() == []
     kept = toxicity.keep(odd_docs, no_labels)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
+
+
+def plain_risk(f, positive, prior):
+    """(prior * loss(P, +), loss(U, -) - prior * loss(P, -)) by loops over the texts."""
+    loss = lambda x, sign: math.log1p(math.exp(-sign * x))
+    mean = lambda values: sum(values) / len(values)
+    pos, unl = [x for x, p in zip(f, positive, strict=True) if p], [x for x, p in zip(f, positive, strict=True) if not p]
+    return prior * mean([loss(x, 1) for x in pos]), mean([loss(x, -1) for x in unl]) - prior * mean([loss(x, -1) for x in pos])
+
+
+@pytest.mark.parametrize(("shift", "negative"), [(0.0, False), (3.0, True)])
+def test_risk_and_slope_equal_plain_loops(shift, negative):
+    r = np.random.default_rng(4)
+    positive = np.arange(30) % 3 == 0
+    f = r.normal(size=30) + np.where(positive, shift, -shift)
+    prior = 0.6
+    first, rest = plain_risk(f, positive, prior)
+    value, slope = toxicity.risk(f, positive, prior)
+    assert (rest < 0) == negative and value == pytest.approx(first + max(0.0, rest))
+    for k in range(30):
+        up, down = f.copy(), f.copy()
+        up[k] += 1e-6
+        down[k] -= 1e-6
+        goal = [(-b if negative else a + b) for a, b in (plain_risk(up, positive, prior), plain_risk(down, positive, prior))]
+        assert slope[k] == pytest.approx((goal[0] - goal[1]) / 2e-6, abs=1e-6)
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    """An id on a third of all rows brings one of them, the same whatever the order of the rows."""
+    rows = [(1, f"word{i} loser trashy") for i in range(3000)] + [(i, f"text{i}") for i in range(2, 40)]
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    found = [toxicity.training_rows(spark.createDataFrame(some, "doc_id long, text string"), labels, toxicity.Sample())
+             for some in (rows, rows[::-1])]
+    assert found[0][0].sum() == 1 and len(found[0][0]) < 50
+    assert all((a == b).all() for a, b in zip(found[0][:3], found[1][:3], strict=True))
