@@ -26,10 +26,12 @@ class Bands:
     texts: tuple[tuple[int, float, float], ...] = field(default=(
         (0, 0.0, 9.0), (100, 0.40, 1.10), (250, 0.45, 0.95), (1000, 0.43, 0.85), (2000, 0.41, 0.80),
         (4000, 0.39, 0.75), (8000, 0.37, 0.75), (16000, 0.34, 0.75)))
-    # Fixed chunks, the last one at least half as long as the others: limits, and the share of chunks that may miss them.
-    chunk_bytes: int = 2048
-    chunk_least: float = 0.38
-    chunk_most: float = 0.80
+    # (text bytes from, chunk bytes, least ratio, greatest ratio): texts of that length are cut into fixed chunks, the last of
+    # which ends with the text. Small chunks carry the frame's own bytes and share less. Shorter texts are a chunk by themselves
+    # and held to the limits above.
+    chunks: tuple[tuple[int, int, float, float], ...] = field(default=(
+        (256, 256, 0.50, 0.90), (1024, 512, 0.46, 0.78), (16384, 2048, 0.38, 0.70)))
+    # Share of the chunks that may miss their limits.
     chunks_outside: float = 0.2
 
 
@@ -66,6 +68,22 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(marks)[:-1] > 0).sum())
 
 
+def chunks_outside(raw: bytes, bands: Bands, pack: zstandard.ZstdCompressor) -> tuple[int, int]:
+    """Number of fixed chunks of a text, and of those whose ratio is outside the limits of their size.
+
+    Each byte is in a chunk: the last chunk ends with the text and may overlap the one before.
+    """
+    held = [row for row in bands.chunks if len(raw) >= row[0]]
+    if not held:
+        return 0, 0
+    _, size, least, most = held[-1]
+    starts = [*range(0, len(raw) - size + 1, size)]
+    if starts[-1] + size < len(raw):
+        starts.append(len(raw) - size)
+    view = memoryview(raw)
+    return len(starts), sum(not least * size <= len(pack.compress(view[a:a + size])) <= most * size for a in starts)
+
+
 def judge(text: str | None, bands: Bands, pack: zstandard.ZstdCompressor) -> tuple:
     """The columns of SCHEMA after doc_id for one text; null is the empty text."""
     raw = (text or "").encode()
@@ -77,12 +95,10 @@ def judge(text: str | None, bands: Bands, pack: zstandard.ZstdCompressor) -> tup
     failed = len(words) < 20 or 100 * n_repeat > 30 * len(words)
     ratio = len(pack.compress(raw)) / len(raw) if raw else 0.0
     _, least, most = [row for row in bands.texts if len(raw) >= row[0]][-1]
-    size = bands.chunk_bytes
-    chunks = [raw[a:a + size] for a in range(0, max(1, len(raw) - size // 2 + 1), size)] if len(raw) >= size else []
-    outside = sum(not bands.chunk_least <= len(pack.compress(c)) / len(c) <= bands.chunk_most for c in chunks)
-    kept = not failed and least <= ratio <= most and outside <= bands.chunks_outside * len(chunks)
+    n_chunks, outside = chunks_outside(raw, bands, pack)
+    kept = not failed and least <= ratio <= most and outside <= bands.chunks_outside * n_chunks
     return (len(words), len(text or "") - blanks, n_symbols, len(lines) - len(set(lines)), n_repeat, failed, ratio,
-            len(chunks), outside, kept)
+            n_chunks, outside, kept)
 
 
 def judged(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
