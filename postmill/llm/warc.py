@@ -6,6 +6,7 @@ import base64
 import bisect
 import hashlib
 import json
+import math
 import re
 import uuid
 import zlib
@@ -108,10 +109,22 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 @dataclass(frozen=True)
 class Archive:
-    """A written archive: its folder, and one line per index file (first and last key, name, place of its directory)."""
+    """A written archive: its folder, and one line per index file.
+
+    A line has the first and the last (key, page) of the file, its name, and the place and size of its directory.
+    """
 
     root: str
-    files: tuple[tuple[str, str, str, int, int], ...]
+    files: tuple[tuple[str, int, str, int, str, int, int], ...]
+
+
+# The page of a capture without a page_id in the order of captures.
+NO_PAGE = -1 << 63
+
+
+def place_of(capture: list | tuple) -> tuple[str, int]:
+    """(key, page) of an index line, by which captures are sorted."""
+    return capture[0], NO_PAGE if capture[1] is None else capture[1]
 
 
 def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -177,7 +190,7 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0, date: str = "1970-0
         def flush() -> None:
             nonlocal at, held
             data = zlib.compress("\n".join(map(json.dumps, held)).encode(), 6)
-            directory.append([held[0][0], held[-1][0], at, len(data)])
+            directory.append([*place_of(held[0]), *place_of(held[-1]), at, len(data)])
             out.write(data)
             at, held = at + len(data), []
 
@@ -193,12 +206,13 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0, date: str = "1970-0
             data = zlib.compress(json.dumps(directory).encode(), 6)
             out.write(data)
             out.close()
-            yield pa.RecordBatch.from_pylist([{"first": directory[0][0], "last": directory[-1][1], "name": name,
-                                               "at": at, "size": len(data)}])
+            yield pa.RecordBatch.from_pylist([dict(zip(FILE_NAMES, (*directory[0][:2], *directory[-1][2:4], name, at, len(data)),
+                                                       strict=True))])
 
-    # Salted by place, so that one key with many captures is spread over ranges.
-    ranged = table.repartitionByRange("key", "archive", "at").sortWithinPartitions("key", "archive", "at")
-    found = ranged.mapInArrow(index, "first string, last string, name string, at long, size long")
+    # By page within a key, and by place within a page, so that one key with many captures is spread over ranges.
+    order = ["key", "page_id", "archive", "at"]
+    ranged = table.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = ranged.mapInArrow(index, FILE)
     parts = f"{root}/files"
     found.write.parquet(parts)
     rows = spark.read.schema(found.schema).parquet(parts).collect()
@@ -208,14 +222,16 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0, date: str = "1970-0
 SCHEMA = "key string, page_id long, archive string, at long, size long"
 NAMES = ["key", "page_id", "archive", "at", "size"]
 KINDS = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+FILE = "first string, first_page long, last string, last_page long, name string, at long, size long"
+FILE_NAMES = [column.split()[0] for column in FILE.split(", ")]
 
 
 class Reader:
-    """Finds captures by key: the index file, its block and the line by binary search, then ranges are read."""
+    """Finds captures by key and page: the index file, its block and the line by binary search, then ranges are read."""
 
     def __init__(self, archive: Archive) -> None:
         self.store, self.files = Store(archive.root), archive.files
-        self.lasts = [f[1] for f in archive.files]
+        self.lasts = [f[2:4] for f in archive.files]
         self.directories: OrderedDict[str, list] = OrderedDict()
         self.blocks: OrderedDict[tuple, list] = OrderedDict()
 
@@ -233,18 +249,19 @@ class Reader:
                 self.blocks.popitem(last=False)
         return self.blocks[name, at]
 
-    def find(self, key: str) -> Iterator[list]:
-        """All captures of ``key``, over as many blocks and index files as they fill."""
-        for first, _, name, at, size in self.files[bisect.bisect_left(self.lasts, key):]:
-            if first > key:
+    def find(self, key: str, page: int | None = None) -> Iterator[list]:
+        """All captures of ``key``, or those of the page alone, over as many blocks and index files as they fill."""
+        low, high = (key, NO_PAGE if page is None else page), (key, math.inf if page is None else page)
+        for first, first_page, _, _, name, at, size in self.files[bisect.bisect_left(self.lasts, low):]:
+            if (first, first_page) > high:
                 return
             directory = self.directory(name, at, size)
-            for low, _, offset, length in directory[bisect.bisect_left(directory, key, key=lambda d: d[1]):]:
-                if low > key:
+            for *ends, offset, length in directory[bisect.bisect_left(directory, low, key=lambda d: (d[2], d[3])):]:
+                if (ends[0], ends[1]) > high:
                     break
                 lines = self.block(name, offset, length)
-                for line in lines[bisect.bisect_left(lines, key, key=lambda c: c[0]):]:
-                    if line[0] != key:
+                for line in lines[bisect.bisect_left(lines, low, key=place_of):]:
+                    if place_of(line) > high:
                         break
                     yield line
 
@@ -255,14 +272,14 @@ class Reader:
 def captures(spark: SparkSession, archive: Archive) -> DataFrame:
     """All captures (SCHEMA), read from the blocks of the index files."""
     ship(spark)
-    rows = spark.createDataFrame(archive.files, "first string, last string, name string, at long, size long")
+    rows = spark.createDataFrame(archive.files, FILE)
     rows = rows.repartition(max(1, len(archive.files)), "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(archive)
         for batch in batches:
             for row in batch.to_pylist():
-                for _, _, at, size in reader.directory(row["name"], row["at"], row["size"]):
+                for *_, at, size in reader.directory(row["name"], row["at"], row["size"]):
                     lines = reader.block(row["name"], at, size)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*lines, strict=True), KINDS, strict=True)], NAMES)
@@ -278,7 +295,7 @@ def read(spark: SparkSession, archive: Archive, payloads: bool = True) -> DataFr
     """READ per record of the archive, in no order; payload is null unless asked for.
 
     Captures come from the index and are put into the order of the archives, so that neighbours are read with one range.
-    A revisit's payload is that of the record it refers to, which is looked up by its url; both the size and the digest
+    A revisit's payload is that of the record it refers to, which is looked up by its url and page; both the size and the digest
     are those of the bytes read. A record whose payload does not have the digest of its header ends the job.
     """
 
@@ -289,13 +306,12 @@ def read(spark: SparkSession, archive: Archive, payloads: bool = True) -> DataFr
         def original(headers: dict[str, str]) -> bytes:
             wanted = headers["warc-refers-to"]
             if wanted not in originals:
-                url = headers["warc-refers-to-target-uri"]
-                for capture in reader.find(key_of(url)):
-                    if capture[1] is not None and record_id(str(capture[1])) == wanted:
-                        found, payload = reader.record(capture)
-                        if found["warc-type"] == "response":
-                            originals[wanted] = payload
-                            break
+                # Equal page_ids may stand on one url, of which one is the response.
+                for capture in reader.find(key_of(headers["warc-refers-to-target-uri"]), int(headers["x-refers-to-page-id"])):
+                    found, payload = reader.record(capture)
+                    if found["warc-type"] == "response" and found["warc-payload-digest"] == headers["warc-payload-digest"]:
+                        originals[wanted] = payload
+                        break
                 if len(originals) > 64:
                     originals.popitem(last=False)
             return originals[wanted]

@@ -58,6 +58,25 @@ def test_lookup_by_binary_search(spark, pages, tmp_path):
         assert sorted(c[3] for c in reader.find(key)) == sorted(r.at for r in want)
 
 
+def test_a_hot_url_is_searched_by_page(spark, tmp_path):
+    """One url on nearly all rows, null urls on many, one payload shared by all: a lookup reads a block or two."""
+    rows = [(i, "http://hot.org/" if i % 3 else None, "shared" if i % 2 else f"own {i}") for i in range(6000)] + [(6001, "http://hot.org/", "")] * 40
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    archive = warc.write(docs, f"file://{tmp_path}", block_lines=50)
+    reader = warc.Reader(archive)
+    reads = []
+    block = reader.block
+    reader.block = lambda *a: reads.append(a) or block(*a)
+    for page in (1, 2, 2999, 5999):
+        key = warc.key_of("http://hot.org/" if page % 3 else None)
+        assert [c[1] for c in reader.find(key, page)] == [page]
+    assert len(reads) <= 8
+    assert list(reader.find(warc.key_of("http://hot.org/"), 3)) == []
+    assert len(list(reader.find(warc.key_of("http://hot.org/")))) == sum(r[1] is not None for r in rows)
+    got = sorted((tuple(r)[:1] + tuple(r)[2:6] for r in warc.read(spark, archive, payloads=False).collect()), key=str)
+    assert got == plain(rows)
+
+
 def test_records_are_whole_gzip_members(spark, pages, tmp_path):
     warc.write(pages, f"file://{tmp_path}")
     for file in Path(tmp_path, "archives").iterdir():
