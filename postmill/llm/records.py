@@ -1,8 +1,8 @@
 """Token ids as length-delimited binary records with an offset index.
 
 A data file is a row of frames: payload length (u64), masked CRC-32 of those eight bytes (u32), payload, masked CRC-32 of
-the payload (u32), all little-endian. A payload is a flag (1: has a doc_id), the doc_id (i64) and the ids (u32 each). The
-index file beside it has sixteen bytes per record: the frame's offset and the ids before it in the file.
+the payload (u32), all little-endian. A payload is flags (1: has a doc_id, 2: wide ids), the doc_id (i64) and the ids (u16
+each, or u32 if the vocabulary has more ids than that). The index file beside it has sixteen bytes per record: the frame's offset and the ids before it in the file.
 ``dataset.json`` names the files in order, with the ids before each.
 """
 
@@ -14,7 +14,7 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,8 +48,9 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
-    payload = _ID.pack(doc_id is not None, doc_id or 0) + ids
+def frame(doc_id: int | None, ids: bytes, width: int = 4) -> bytes:
+    """A record of ids of ``width`` bytes each."""
+    payload = _ID.pack((doc_id is not None) | (2 if width == 4 else 0), doc_id or 0) + ids
     size = struct.pack("<Q", len(payload))
     return size + struct.pack("<I", masked(size)) + payload + struct.pack("<I", masked(payload))
 
@@ -58,8 +59,13 @@ def entry(offset: int, before: int) -> bytes:
     return _ENTRY.pack(offset, before)
 
 
-def unframe(data: memoryview, at: int = 0) -> tuple[int | None, memoryview, int]:
-    """(doc_id, ids, place after the frame); a wrong checksum or a cut frame raises."""
+def widened(ids: bytes | memoryview, width: int) -> bytes:
+    """Ids of ``width`` bytes as little-endian u32."""
+    return bytes(ids) if width == 4 else np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
+
+
+def unframe(data: memoryview, at: int = 0) -> tuple[int | None, bytes, int]:
+    """(doc_id, ids as u32, place after the frame); a wrong checksum or a cut frame raises."""
     size, check = _HEAD.unpack_from(data, at)
     if masked(data[at:at + 8]) != check:
         raise ValueError(f"length of the record at {at} does not have its checksum")
@@ -67,12 +73,12 @@ def unframe(data: memoryview, at: int = 0) -> tuple[int | None, memoryview, int]
     end = at + _HEAD.size + size + 4
     if end > len(data) or masked(body) != struct.unpack_from("<I", data, end - 4)[0]:
         raise ValueError(f"record at {at} does not have its checksum")
-    known, doc_id = _ID.unpack_from(body)
-    return doc_id if known else None, body[_ID.size:], end
+    flags, doc_id = _ID.unpack_from(body)
+    return doc_id if flags & 1 else None, widened(body[_ID.size:], 4 if flags & 2 else 2), end
 
 
 class Encoder:
-    """Text -> ids by the tokenizers library, as little-endian u32.
+    """Text -> ids by the tokenizers library, as little-endian numbers of ``width`` bytes.
 
     The vocabulary drops white space and no token spans it, so that what stands between ASCII blanks is encoded by
     itself, and frequent chunks once per task.
@@ -82,6 +88,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
@@ -92,7 +100,7 @@ class Encoder:
             some = new[at:at + 4096]
             found = self.library.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
             for chunk, one in zip(some, found, strict=True):
-                self.known[chunk] = np.array(one.ids, dtype="<u4").tobytes()
+                self.known[chunk] = np.array(one.ids, dtype=self.kind).tobytes()
 
     def ids(self, raws: list[bytes]) -> Iterator[bytes]:
         """Ids of each text, the texts being small together."""
@@ -138,7 +146,7 @@ class Dataset:
 REPORT = "part int, number int, name string, records long, ids long, bytes long"
 
 
-def write(docs: DataFrame, root: str, encoder: Callable[[], Encoder], end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> Dataset:
+def write(docs: DataFrame, root: str, path: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> Dataset:
     """Encodes ``docs`` (doc_id, text) and writes a record per row below ``root``, a folder all machines see.
 
     Records ascend by doc_id over all files; rows without one come first, equal doc_ids are ordered by their texts'
@@ -146,10 +154,9 @@ def write(docs: DataFrame, root: str, encoder: Callable[[], Encoder], end_id: in
     are part of the dataset. ``end_id`` closes each record's ids; a null text has no other.
     """
     spark = docs.sparkSession
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, encode, part = Store(root), encoder(), TaskContext.get().partitionId()
+        store, encode, part = Store(root), Encoder(path), TaskContext.get().partitionId()
+        end = np.array([end_id], dtype=encode.kind).tobytes()
         done: list[dict] = []
         out = index = None
         n = ids = at = 0
@@ -171,10 +178,10 @@ def write(docs: DataFrame, root: str, encoder: Callable[[], Encoder], end_id: in
                     name = uuid.uuid4().hex
                     out, index = store.create(f"data/{name}.rec"), store.create(f"data/{name}.idx")
                 found += end
-                data = frame(doc_id, found)
+                data = frame(doc_id, found, encode.width)
                 out.write(data)
                 index.write(entry(at, ids))
-                n, ids, at = n + 1, ids + len(found) // 4, at + len(data)
+                n, ids, at = n + 1, ids + len(found) // encode.width, at + len(data)
         close()
         yield pa.RecordBatch.from_pylist(done, REPORT_SCHEMA)
 
@@ -216,7 +223,7 @@ class Reader:
         data = self.store.read(f"data/{name}.idx", low * _ENTRY.size, (min(high + 1, records) - low) * _ENTRY.size)
         return [*_ENTRY.iter_unpack(data), *([(size, 0)] if high == records else [])]
 
-    def records(self, name: str, entries: list[tuple[int, int]]) -> Iterator[tuple[int | None, memoryview, int]]:
+    def records(self, name: str, entries: list[tuple[int, int]]) -> Iterator[tuple[int | None, bytes, int]]:
         """(doc_id, ids, ids before it in the file) of each entry but the last, neighbours read together."""
         first = 0
         while first < len(entries) - 1:
@@ -257,7 +264,7 @@ def _reading(root: str, with_ids: bool):
                 entries = reader.entries(s["name"], s["low"], s["high"], s["records"], s["bytes"])
                 rows, held = [], 0
                 for doc_id, ids, before in reader.records(s["name"], entries):
-                    rows.append((doc_id, s["before"] + before, len(ids) // 4, zlib.crc32(ids), bytes(ids) if with_ids else None))
+                    rows.append((doc_id, s["before"] + before, len(ids) // 4, zlib.crc32(ids), ids if with_ids else None))
                     held += len(ids) if with_ids else 0
                     if held > READ_BYTES:
                         yield _batch(rows)
@@ -295,5 +302,5 @@ def round_trip(docs: DataFrame, path: str, end_id: int = END_ID, file_bytes: int
     side, ordered by their texts' hashes. An empty table gives an empty dataset.
     """
     spark = docs.sparkSession
-    data = write(docs, shared_dir(spark, "records"), lambda: Encoder(path), end_id, file_bytes)
+    data = write(docs, shared_dir(spark, "records"), path, end_id, file_bytes)
     return read(spark, data, with_ids=False).drop("ids")
