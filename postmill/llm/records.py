@@ -16,6 +16,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,11 @@ FILE_BYTES = 256 << 20
 SLICE = 2048
 # Neighbouring frames are read together up to this size.
 READ_BYTES = 4 << 20
-# Chunks whose ids a task remembers, and their greatest size; beyond the number it forgets all and starts anew.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 64
+# Chunks whose ids a worker remembers, and their greatest size; beyond the number it keeps those of the texts at hand.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 64
+# Chunks that the library gets as one text, and the token that is put between them.
+TOGETHER = 512
+BETWEEN = b"\x01"
 # Bytes of a text that are cut into chunks at a time.
 PART_BYTES = 1 << 20
 END_ID = 2
@@ -81,7 +85,8 @@ class Encoder:
     """Text -> ids by the tokenizers library, as little-endian numbers of ``width`` bytes.
 
     The vocabulary drops white space and no token spans it, so that what stands between ASCII blanks is encoded by
-    itself, and frequent chunks once per task.
+    itself, and frequent chunks once per worker. New chunks go to the library many at a time, as one text with a token
+    between them that none of them holds.
     """
 
     def __init__(self, path: str) -> None:
@@ -91,16 +96,27 @@ class Encoder:
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.known: dict[bytes, bytes] = {}
+        (self.between,) = self.whole(BETWEEN)
+
+    def whole(self, raw: bytes) -> list[int]:
+        return self.library.encode_batch_fast([raw.decode()], add_special_tokens=False)[0].ids
 
     def learn(self, chunks: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known = {c: self.known[c] for c in chunks if c in self.known}
         new = [c for c in chunks if c not in self.known]
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            found = self.library.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-            for chunk, one in zip(some, found, strict=True):
-                self.known[chunk] = np.array(one.ids, dtype=self.kind).tobytes()
+        odd = [c for c in new if BETWEEN in c]
+        for chunk in odd:
+            self.known[chunk] = np.array(self.whole(chunk), dtype=self.kind).tobytes()
+        new = [c for c in new if BETWEEN not in c] if odd else new
+        for at in range(0, len(new), TOGETHER):
+            some = new[at:at + TOGETHER]
+            ids = np.array(self.whole((b" " + BETWEEN + b" ").join(some)), dtype=self.kind)
+            ends = np.append(np.nonzero(ids == self.between)[0], len(ids)) * self.width
+            starts = np.append(0, ends[:-1] + self.width)
+            data = ids.tobytes()
+            for chunk, start, end in zip(some, starts.tolist(), ends.tolist(), strict=True):
+                self.known[chunk] = data[start:end]
 
     def ids(self, raws: list[bytes]) -> Iterator[bytes]:
         """Ids of each text, the texts being small together."""
@@ -135,6 +151,12 @@ def _parts(raw: bytes) -> Iterator[bytes]:
         at = end
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; it remembers chunks from task to task."""
+    return Encoder(path)
+
+
 @dataclass(frozen=True)
 class Dataset:
     """Written records: their folder, and per data file, in order: name, records, ids, bytes, ids in the files before."""
@@ -155,7 +177,7 @@ def write(docs: DataFrame, root: str, path: str, end_id: int = END_ID, file_byte
     """
     spark = docs.sparkSession
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, encode, part = Store(root), Encoder(path), TaskContext.get().partitionId()
+        store, encode, part = Store(root), encoder(path), TaskContext.get().partitionId()
         end = np.array([end_id], dtype=encode.kind).tobytes()
         done: list[dict] = []
         out = index = None
