@@ -1,6 +1,9 @@
+import random
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from postmill.llm import decontaminate, queries
 from helpers import prose
@@ -99,3 +102,54 @@ def test_one_changed_value_does_not_undo_equal_windows(spark):
     docs = [(1, item.replace("12", "13", 1), 0, 0), (2, item.replace("12", "14"), 0, 0), (3, BROKEN, 0, 0)]
     got = check(spark, docs, [(1, item), (2, QUESTION)])
     assert got[1][:2] == (True, [1]) and 0.5 < got[1][2] < 1 and got[2] == (True, [1], 1.0) and not got[3][0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("aBzİßé١²Ⅷ_09.,. \n"), st.characters(codec="utf-8")), max_size=60))
+def test_tokens_are_those_of_the_pattern(text):
+    want = [(m.start(), m.end()) for m in decontaminate.TOKEN.finditer(text)]
+    got = decontaminate.tokens_of(text)
+    assert list(zip(got.start.tolist(), got.end.tolist(), strict=True)) == want
+    forms = {decontaminate.LITERAL: None, **decontaminate.SLOTS}
+    for (a, b), kind in zip(want, got.types.tolist(), strict=True):
+        form = decontaminate.template(text[a:b])
+        assert forms[kind] == (form if form in "#@%" else None)
+
+
+def test_hashes_tell_words_apart_wherever_they_stand(monkeypatch):
+    words = sorted({w.lower() for k in range(40) for w in prose(k, 200).split()} | {"a", "aa", "ab", "ba", "b"})
+    text = " ".join(words + [w.upper() for w in words])
+    found = decontaminate.tokens_of(text).hashes
+    assert len(set(found.tolist())) == len(words) and (found[:len(words)] == found[len(words):]).all()
+    monkeypatch.setattr(decontaminate, "CHARS", 50)
+    assert (decontaminate.tokens_of(text).hashes == found).all()
+
+
+@pytest.mark.parametrize("k", range(10))
+def test_lists_of_other_names_are_clean(spark, k):
+    """Names agree with any names; what few words stand between them are no item."""
+    r = random.Random(k)
+    name = lambda: "".join(r.choice("aeiou") + r.choice("bdklmnrst") for _ in range(r.randint(2, 3))).title()
+    names = lambda n: " ".join(name() for _ in range(n))
+    words = ["met in the hall", "were all seen there", "lived by that river", "won it once more"][k % 4]
+    item = f"{names(8)} {words} {names(3 + k)}"
+    docs = [(1, f"Last week {names(8)} {words} {names(9)} and we all went home", 0, 0), (2, f"{prose(k, 9)} {item} {prose(k + 20, 9)}", 0, 0),
+            (3, item.upper(), 0, 0)]
+    got = check(spark, docs, [(1, item)])
+    assert not got[1][0] and got[2] == (True, [1], 1.0) and got[3][0]
+
+
+def test_a_piece_of_many_texts_gives_what_each_gives(spark, monkeypatch):
+    parts = QUESTION.split()
+    docs = [(i, " ".join(parts[i % 5:i % 5 + 12]), 0, 0) for i in range(20)] + [(30, QUESTION, 0, 0), (31, "", 0, 0), (32, None, 0, 0)]
+    items = decontaminate.item_windows(spark.createDataFrame([(1, QUESTION)], "item_id long, text string"), decontaminate.Windows())
+    for size in (1 << 19, 5):
+        monkeypatch.setattr(decontaminate, "TOKENS", size)
+        frame = spark.createDataFrame(docs, "doc_id long, text string, h long, item_id long").coalesce(1)
+        hits = decontaminate.window_hits(frame, items, decontaminate.Windows()).join(items, "h").filter("kind = 0").collect()
+        assert {(r.doc_id, r.at, r.item_at) for r in hits} == {
+            (i, *hit) for i, text, _, _ in docs for hit in plain_hits(text, [QUESTION], decontaminate.Windows())}
+
+
+def test_filter_grows_with_the_windows():
+    assert [decontaminate.filter_bits(n) for n in (0, 1, 10_000, 1 << 30)] == [16, 16, 19, 28]
