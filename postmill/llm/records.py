@@ -35,10 +35,16 @@ SLICE = 2048
 # Neighbouring frames are read together up to this size.
 READ_BYTES = 4 << 20
 # Chunks whose ids a worker remembers, and their greatest size; beyond the number it keeps those of the texts at hand.
-REMEMBERED, REMEMBERED_BYTES = 600_000, 64
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64
+# What special tokens of the vocabulary begin with.
+SPECIAL = b"<|"
+# Marks behind a letter or digit that are a pre-token of their own.
+MARKS = b".,;:!?)\""
 # Chunks that the library gets as one text, and the token that is put between them.
 TOGETHER = 512
 BETWEEN = b"\x01"
+# Bytes of texts that are encoded together.
+PIECE_BYTES = 8 << 20
 # Bytes of a text that are cut into chunks at a time.
 PART_BYTES = 1 << 20
 END_ID = 2
@@ -81,11 +87,22 @@ def unframe(data: memoryview, at: int = 0) -> tuple[int | None, bytes, int]:
     return doc_id if flags & 1 else None, widened(body[_ID.size:], 4 if flags & 2 else 2), end
 
 
+def stem_of(chunk: bytes) -> tuple[bytes, bytes]:
+    """(stem, marks) whose ids one after another are those of the chunk.
+
+    Marks behind an ASCII letter or digit start a pre-token. Chunks that may hold a special token stay as they are.
+    """
+    stem = chunk.rstrip(MARKS)
+    if SPECIAL in chunk or not stem[-1:].isalnum():
+        return chunk, b""
+    return stem, chunk[len(stem):]
+
+
 class Encoder:
     """Text -> ids by the tokenizers library, as little-endian numbers of ``width`` bytes.
 
     The vocabulary drops white space and no token spans it, so that what stands between ASCII blanks is encoded by
-    itself, and frequent chunks once per worker. New chunks go to the library many at a time, as one text with a token
+    itself, and frequent chunks once per worker. New stems go to the library many at a time, as one text with a token
     between them that none of them holds.
     """
 
@@ -101,31 +118,52 @@ class Encoder:
     def whole(self, raw: bytes) -> list[int]:
         return self.library.encode_batch_fast([raw.decode()], add_special_tokens=False)[0].ids
 
-    def learn(self, chunks: set[bytes]) -> None:
+    def learn(self, chunks: set[bytes]) -> list[bytes]:
+        """Puts the ids of all ``chunks``, and of their stems and marks, into ``known``; the new ones too long to be kept."""
         if len(self.known) > REMEMBERED:
-            self.known = {c: self.known[c] for c in chunks if c in self.known}
-        new = [c for c in chunks if c not in self.known]
-        odd = [c for c in new if BETWEEN in c]
+            self.known = {c: self.known[c] for c in chunks.intersection(self.known)}
+        known, made = self.known, []
+        new, wanted = chunks.difference(known), set()
+        for chunk in new:
+            if not chunk.isalpha():
+                stem, marks = stem_of(chunk)
+                if stem != chunk:
+                    made.append(chunk)
+                    wanted.add(marks)
+                    wanted.add(stem)
+                    continue
+            wanted.add(chunk)
+        asked = wanted.difference(known)
+        self.ask(list(asked))
+        for chunk in made:
+            stem, marks = stem_of(chunk)
+            known[chunk] = known[stem] + known[marks]
+        return [c for c in new | asked if len(c) > REMEMBERED_BYTES]
+
+    def ask(self, chunks: list[bytes]) -> None:
+        odd = [c for c in chunks if BETWEEN in c]
         for chunk in odd:
             self.known[chunk] = np.array(self.whole(chunk), dtype=self.kind).tobytes()
-        new = [c for c in new if BETWEEN not in c] if odd else new
-        for at in range(0, len(new), TOGETHER):
-            some = new[at:at + TOGETHER]
+        plain = [c for c in chunks if BETWEEN not in c] if odd else chunks
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at:at + TOGETHER]
             ids = np.array(self.whole((b" " + BETWEEN + b" ").join(some)), dtype=self.kind)
             ends = np.append(np.nonzero(ids == self.between)[0], len(ids)) * self.width
-            starts = np.append(0, ends[:-1] + self.width)
             data = ids.tobytes()
-            for chunk, start, end in zip(some, starts.tolist(), ends.tolist(), strict=True):
+            start = 0
+            for chunk, end in zip(some, ends.tolist(), strict=True):
                 self.known[chunk] = data[start:end]
+                start = end + self.width
 
     def ids(self, raws: list[bytes]) -> Iterator[bytes]:
         """Ids of each text, the texts being small together."""
-        split = [raw.split() for raw in raws]
-        self.learn(set(itertools.chain.from_iterable(split)))
-        for chunks in split:
-            yield b"".join(map(self.known.__getitem__, chunks))
-        for chunk in [c for chunks in split for c in chunks if len(c) > REMEMBERED_BYTES]:
-            self.known.pop(chunk, None)
+        # The vocabulary lower-cases; a special token, which is known as it is written, has a mark that few texts hold.
+        split = [(raw if SPECIAL in raw else raw.lower()).split() for raw in raws]
+        long = self.learn(set(itertools.chain.from_iterable(split)))
+        for parts in split:
+            yield b"".join(map(self.known.__getitem__, parts))
+        for chunk in long:
+            del self.known[chunk]
 
     def encode(self, raws: list[bytes]) -> Iterator[bytes]:
         """As ``ids``, but long texts are taken part by part, cut where a blank stands."""
@@ -191,7 +229,7 @@ def write(docs: DataFrame, root: str, path: str, end_id: int = END_ID, file_byte
                 done.append({"part": part, "number": len(done), "name": name, "records": n, "ids": ids, "bytes": at})
             out, n, ids, at = None, 0, 0, 0
 
-        for some in pieces(batches, "text"):
+        for some in pieces(batches, "text", PIECE_BYTES):
             raws = [(t or "").encode() for t in some.column("text").to_pylist()]
             for doc_id, found in zip(some.column("doc_id").to_pylist(), encode.encode(raws), strict=True):
                 if out and at >= file_bytes:

@@ -54,12 +54,17 @@ BLANKS = "".join(map(chr, [*range(9, 14), 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aAİIıΣςß'’sd́̇é12<|>\x01" + BLANKS), st.characters(codec="utf-8")), max_size=40), max_size=3))
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aAİIıΣςß'’sd́̇é12<|>.,;!)\"\x01" + BLANKS), st.characters(codec="utf-8")), max_size=40), max_size=3))
 def test_chunks_give_what_whole_texts_give(texts):
     got = encoded(ENCODER, texts)
     assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "<|ENDOFTEXT|>.", "Don't, DON'T! 'Stop'. it's). a-, a.-. É.\"", "x.,;:!?)\".", "E\u0301. e\u0301."])
+def test_stems_and_marks(text):
+    assert encoded(ENCODER, [text]) == [LIBRARY.encode(text, add_special_tokens=False).ids]
+
+
 def test_long_texts_are_cut_at_blanks(monkeypatch):
     texts = [prose(3, 3000) + "\t" + "x" * 5000 + " end", "y" * 4000, "", "a b"]
     monkeypatch.setattr(records, "PART_BYTES", 1000)
