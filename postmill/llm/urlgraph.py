@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,10 @@ from postmill.session import written
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 DAMPING = 0.85
-ROUNDS = 8
+# Rounds go on until the three ranks, each of which sums to 1 over all hosts, change by less than this in sum.
+TOLERANCE = 1e-6
+# Rounds that are planned together; their result is written and its last change looked at.
+TOGETHER = 8
 # Share of a host's pages that block (allow) rules must decide for the host to be a blocked (trusted) seed.
 SEED_SHARE = 0.5
 # A host is blocked if its share of distrust in trust and distrust is above this, and its distrust above its baseline.
@@ -90,14 +94,16 @@ def _weighted(edges: DataFrame, start: str, end: str) -> DataFrame:
                                            (F.col("links") / F.col("total")).alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust, base): personalised PageRank of trust along the edges and of distrust against them.
 
     ``base`` is what a host gets of distrust if all hosts are equal seeds.
 
     ``seeds`` is (host, trusted, blocked), masses that are normalised to 1 each. Hosts without a way on keep
-    what they have. A round joins the ranks to the edges by host and sums by host; its result is written to the
-    shared folder, so that plans stay short and a lost executor costs one round.
+    what they have. A round joins the ranks to the edges by host and sums by host; every few rounds are written to the
+    shared folder, so that plans stay short and a lost executor costs few. Rounds end when the summed absolute change of all
+    ranks in one of them is below ``tolerance``. Changes shrink by the damping each round, which bounds the rounds;
+    ranks that have not settled by then are an error.
     """
     hosts = edges.select(F.explode(F.array("src", "dst")).alias("host")).union(seeds.select("host")).distinct()
     total = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
@@ -114,20 +120,32 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
         F.col("host").alias("start"), F.col("host").alias("end"), F.lit(1.0).alias("weight"), F.lit(kind).alias("kind"))
         for kind, w in (("trust", out), ("distrust", back))]
     ways = written(kinds[0].unionByName(kinds[1]).unionByName(loops[0]).unionByName(loops[1]), "ways")
-    ranks = start.select("host", *(F.col(f"s_{k}").alias(k) for k in ("trust", "distrust", "base")))
-    for _ in range(rounds):
-        moved = ways.join(ranks.withColumnRenamed("host", "start"), "start") \
+    names = ("trust", "distrust", "base")
+    ranks = start.select("host", *(F.col(f"s_{k}").alias(k) for k in names))
+
+    def one_round(ranks: DataFrame) -> DataFrame:
+        moved = ways.join(ranks.select(F.col("host").alias("start"), *names), "start") \
             .groupBy(F.col("end").alias("host")).agg(
                 F.sum(F.when(F.col("kind") == "trust", F.col("trust") * F.col("weight"))).alias("m_trust"),
                 F.sum(F.when(F.col("kind") == "distrust", F.col("distrust") * F.col("weight"))).alias("m_distrust"),
                 F.sum(F.when(F.col("kind") == "distrust", F.col("base") * F.col("weight"))).alias("m_base"))
         step = lambda k: ((1 - damping) * F.col(f"s_{k}") + damping * F.coalesce(f"m_{k}", F.lit(0.0))).alias(k)
-        ranks = written(start.join(moved, "host", "left").select(
-            "host", step("trust"), step("distrust"), step("base")), "ranks")
-    return ranks
-
-
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+        return start.join(moved, "host", "left").select("host", *map(step, names))
+
+    # Two ranks that both sum to 1 differ by 2 at most; three of them change, and each round leaves ``damping`` of it.
+    most = 1 + math.ceil(math.log(max(tolerance, 1e-300) / 6) / math.log(damping))
+    for _ in range(-(-most // TOGETHER)):
+        for _ in range(TOGETHER - 1):
+            ranks = one_round(ranks)
+        now = one_round(ranks).join(ranks.select("host", *(F.col(k).alias(f"b_{k}") for k in names)), "host")
+        change = sum((F.abs(F.col(k) - F.col(f"b_{k}")) for k in names), F.lit(0.0))
+        ranks = written(now.select("host", *names, change.alias("change")), "ranks")
+        if (ranks.agg(F.sum("change")).first()[0] or 0.0) < tolerance:
+            return ranks.drop("change")
+    raise RuntimeError(f"ranks did not settle to {tolerance} in {most} rounds")
+
+
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) per row of ``pages``.
 
     The longest rule that fits a url decides it. Otherwise its host does: hosts most of whose pages are allowed
@@ -147,7 +165,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, ro
         F.when(F.col("blocked") > SEED_SHARE * F.col("n"), 1.0).otherwise(0.0).alias("blocked"))
     edges = written(host_edges(pages).unionByName(_domain_edges(per_host.select("host"), DOMAIN_LINKS))
                     .groupBy("src", "dst").agg(F.sum("links").alias("links")), "links")
-    ranks = propagate(edges, seeds, rounds)
+    ranks = propagate(edges, seeds, tolerance)
     spam = (F.col("distrust") > SPAM_SHARE * (F.col("trust") + F.col("distrust"))) & (F.col("distrust") > F.col("base"))
     verdict = F.when(F.col("said").isNotNull(), F.col("said")).when(spam, "block").otherwise("allow")
     return urls.join(ranks, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
