@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmill.functions.masking import mask_pii as mask
-from postmill.operators import dedup, messages, spelling, textsteps
+from postmill.operators import compound, dedup, messages, spelling, textsteps
 from postmill.operators import dictionary as D
 from postmill.plans import statements as S
 from postmill.plans.queries_messages import records
@@ -146,6 +146,60 @@ def spell_correct(spark, sf):
     return df.select("doc_id", "corrected")
 
 
+def run_together(text):
+    """Texts with some words run together and some cut in two, by what letters they have there."""
+    glued = F.regexp_replace(text, r"([aeiou]) ([bcdlmt])", "$1$2")
+    return F.regexp_replace(glued, r"([a-z]{2}[sn])(e[rn])", "$1 $2")
+
+
+# Every way to cut a word in two or three is tried, and every pair of neighbours. Doubles are multiplied in the same order.
+_COMPOUND = S.query(_corrections("""(SELECT conv_id || '.' || turn AS turn_id, regexp_replace(regexp_replace(text, '([aeiou]) ([bcdlmt])', '\\1\\2', 'g'),
+    '([a-z]{2}[sn])(e[rn])', '\\1 \\2', 'g') AS text FROM conversations)""", "turn_id", "coalesce(text, '')") + rf""",
+total AS (SELECT CAST(sum(freq) AS DOUBLE) AS n, max(length(word)) AS longest FROM dictionary),
+single AS (SELECT token, distance AS edits, CAST(freq AS DOUBLE) AS estimate, word AS replacement FROM near),
+cut AS (SELECT token, substr(token, 1, i) AS l, substr(token, i + 1) AS r FROM (
+  SELECT token, unnest(range(1, length(token))) AS i FROM unknown)),
+two AS (SELECT token, 1 AS edits, x.freq::DOUBLE * y.freq::DOUBLE / n AS estimate, l || ' ' || r AS replacement
+  FROM cut JOIN dictionary x ON x.word = l JOIN dictionary y ON y.word = r, total),
+three AS (SELECT token, 2 AS edits, (x.freq::DOUBLE * m.freq::DOUBLE / n) * y.freq::DOUBLE / n AS estimate,
+    l || ' ' || m.word || ' ' || y.word AS replacement
+  FROM cut JOIN dictionary x ON x.word = l, unnest(range(1, length(r))) AS u(k)
+  JOIN dictionary m ON m.word = substr(r, 1, k) JOIN dictionary y ON y.word = substr(r, k + 1), total),
+halves AS (SELECT DISTINCT r AS part FROM cut JOIN dictionary ON word = l UNION SELECT l FROM cut JOIN dictionary ON word = r),
+parts AS (SELECT part, p, length(p) AS k, {_BITS.format(x='p')} AS bits FROM (
+  SELECT part, {_ASCII.format(x='part')} AS p FROM halves WHERE part NOT IN (SELECT word FROM dictionary))),
+close AS (SELECT part, word, freq FROM parts, entries
+  WHERE abs(k - m) <= 1 AND bit_count(xor(parts.bits, entries.bits)) <= 2 AND damerau_levenshtein(p, w) = 1),
+rough AS (SELECT token, 2 AS edits, x.freq::DOUBLE * c.freq::DOUBLE / n AS estimate, l || ' ' || c.word AS replacement
+  FROM cut JOIN dictionary x ON x.word = l JOIN close c ON c.part = r, total
+  UNION ALL SELECT token, 2, c.freq::DOUBLE * y.freq::DOUBLE / n, c.word || ' ' || r
+  FROM cut JOIN dictionary y ON y.word = r JOIN close c ON c.part = l, total),
+reading AS (SELECT * FROM (FROM single UNION ALL FROM two UNION ALL FROM three UNION ALL FROM rough)
+  QUALIFY row_number() OVER (PARTITION BY token ORDER BY edits, estimate DESC, replacement) = 1
+  UNION ALL SELECT word, 0, freq::DOUBLE, word FROM dictionary),
+spots AS (SELECT a.id, a.n AS i, a.piece || b.piece AS shown, d.word AS joined
+  FROM pieces a JOIN pieces s ON s.id = a.id AND s.n = a.n + 1 AND regexp_full_match(s.piece, ' +')
+  JOIN pieces b ON b.id = a.id AND b.n = a.n + 2 AND regexp_full_match(b.piece, '\p{{L}}+')
+  JOIN dictionary d ON d.word = lower(a.piece) || lower(b.piece)
+  LEFT JOIN reading x ON x.token = lower(a.piece) LEFT JOIN reading y ON y.token = lower(b.piece), total
+  WHERE regexp_full_match(a.piece, '\p{{L}}+')
+  AND (coalesce(x.edits, 3) + coalesce(y.edits, 3) > 1
+    OR coalesce(x.edits, 3) + coalesce(y.edits, 3) = 1 AND d.freq > x.estimate * y.estimate / total.n)),
+taken AS (SELECT *, row_number() OVER (PARTITION BY id, run ORDER BY i) AS nth FROM (
+  SELECT *, i - 2 * row_number() OVER (PARTITION BY id ORDER BY i) AS run FROM spots)),
+marks AS (SELECT id, i, joined FROM taken WHERE nth % 2 = 1),
+shown AS (SELECT pieces.id, n, CASE WHEN EXISTS (FROM marks m WHERE m.id = pieces.id AND (m.i = n - 1 OR m.i = n - 2)) THEN ''
+    ELSE coalesce((SELECT joined FROM marks m WHERE m.id = pieces.id AND m.i = n),
+      (SELECT replacement FROM reading WHERE token = lower(piece) AND edits > 0), piece) END AS piece FROM pieces)""",
+    "SELECT id AS turn_id, string_agg(piece, '' ORDER BY n) AS corrected FROM shown GROUP BY id")
+
+
+@query(_COMPOUND)
+def spell_compound(spark, sf):
+    rows = turns(spark, sf).withColumn("text", run_together(F.col("text")))
+    return compound.spell_compound(rows, sample.dictionary(spark, sf), "turn_id").select("turn_id", "corrected")
+
+
 # --- steps -------------------------------------------------------------------------------------
 
 
