@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,8 +159,8 @@ def with_stored_name(att: DataFrame, keys: Sequence[str] = tuple(MESSAGE), index
 
 
 def describe_content(att: DataFrame, name: str = "safe_name", max_mb: int = X.MAX_CONTENT_MB,
-                     size: str | None = None, **options) -> DataFrame:
-    """Per attachment: size, type, category, text, route and error.
+                     size: str | None = None, decode: Callable[[Column], Column] = X.decode_text, **options) -> DataFrame:
+    """Per attachment: size, type, category, text, route and error. ``decode`` gives the text of bytes that are read directly.
 
     Bytes are dropped here, ahead of any shuffle. The type depends on the name's extension only, so
     stored names can be joined afterwards. ``size`` names a column to use in place of the content's
@@ -177,7 +177,7 @@ def describe_content(att: DataFrame, name: str = "safe_name", max_mb: int = X.MA
     return routed.select(
         *extra, F.col("_size").alias("size"), "mime_type",
         F.when(ok, X.content_category(F.col("mime_type"))).otherwise("binary").alias("content_type"),
-        F.when(F.col("text_extraction_method") == "direct", X.decode_text(c)).alias("extracted_text"),
+        decode(F.when(F.col("text_extraction_method") == "direct", c)).alias("extracted_text"),
         "text_extraction_method", F.lit(None).cast("int").alias("page_count"), "error_message")
 
 

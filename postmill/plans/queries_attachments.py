@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from postmill.functions import files as X
 from postmill.operators import attachments as T
+from postmill.operators import charsets as CS
 from postmill.operators import messages
 from postmill.plans import jobs
 from postmill.plans import statements as S
 from postmill.plans.queries_messages import records
-from postmill.session import shared_dir
+from postmill.session import shared_dir, written
 from postmill.sinks import writers
 from postmill.sources import sample
 
@@ -54,6 +55,22 @@ def attachment_size_guard(spark, sf):
     return guarded(spark, sf).select("doc_id", "rejection")
 
 
+# What was written is to be read again; texts that are all ASCII are UTF-8 in any of the single-byte charsets.
+_WRITTEN = rf"""SELECT doc_id, CASE WHEN k = 5 THEN 'utf-16-le' WHEN k = 0 OR NOT regexp_matches(t, '[^\x00-\x7F]') THEN 'utf-8'
+    ELSE ['{"', '".join(CS.CHARSETS)}'][k] END AS charset, t AS text
+  FROM (SELECT doc_id, k, CASE k WHEN 1 THEN regexp_replace(x, '[^\x00-\x7FÀ-ÿ]', '?', 'g') WHEN 2 THEN translate(a, '{sample.CENTRAL[0]}', '{sample.CENTRAL[1]}')
+    WHEN 3 THEN translate(a, '{sample.CYRILLIC[0]}', '{sample.CYRILLIC[1]}') WHEN 4 THEN translate(a, '{sample.KATAKANA[0]}', '{sample.KATAKANA[1]}')
+    ELSE x END AS t
+  FROM (SELECT doc_id, doc_id % 6 AS k, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g') AS a FROM documents))"""
+
+
+@query(_WRITTEN)
+def decode_guess(spark, sf):
+    """Documents in six encodings, read by a model that was learned from all of them."""
+    contents = written(sample.reencoded(spark, sf).select("doc_id", "charset", "content"), "contents")
+    return CS.decode_guess(contents.select("doc_id", "content"), CS.learn(contents)).select("doc_id", "charset", "text")
+
+
 @query(S.query(S.ATTACHMENTS, """SELECT doc_id, CASE WHEN s > 52428800 THEN 'Attachment too large (' || s || ' bytes > 50MB)' END AS error_message
   FROM (SELECT doc_id, try_cast(size AS BIGINT) AS s FROM att)"""))
 def content_size_limit(spark, sf):

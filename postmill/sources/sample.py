@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.operators import charsets as CS
 from postmill.operators import dictionary as D
 from postmill.operators import folders as FO
 from postmill.session import apply_runtime_conf, written
@@ -178,3 +179,25 @@ def dictionary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(words.select(F.lit("bad").alias("source"), w.alias("line_no"), bad.alias("line")))
             .unionByName(docs.select(F.lit("mixed").alias("source"), w.alias("line_no"), mixed.alias("line"))))
     return written(lines, "dictionary-lines")
+
+
+# Letters that stand for the small ASCII ones in texts of other alphabets.
+CENTRAL = ("aeosz", "ąęóšž")
+CYRILLIC = ("abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшыжз")
+KATAKANA = ("abcdefghijklmnopqrstuvwxyz", "アブクデエフガヒイジカルマノオパキラサタウヴワシヤズ")
+
+
+def reencoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bytes: (doc_id, charset, written, content), in six encodings by their number, with letters of each."""
+    text, kind = F.coalesce("text", F.lit("")), F.col("doc_id") % 6
+    ascii_only = F.regexp_replace(text, r"[^\x00-\x7F]", "?")
+    latin = F.regexp_replace(text, r"[^\x00-\x7FÀ-ÿ]", "?")
+    shown = (F.when(kind == 1, latin).when(kind == 2, F.translate(ascii_only, *CENTRAL))
+             .when(kind == 3, F.translate(ascii_only, *CYRILLIC)).when(kind == 4, F.translate(ascii_only, *KATAKANA)).otherwise(text))
+    charset = F.when(kind == 5, "utf-16-le").when(kind == 0, "utf-8")
+    for number, name in enumerate(CS.CHARSETS, 1):
+        charset = charset.when(kind == number, name)
+    rows = table(spark, sf_dir, "documents").select("doc_id", charset.alias("charset"), shown.alias("written"))
+    content = CS.encoded(F.col("written"), F.col("charset"))
+    marked = F.when(F.col("doc_id") % 12 == 5, F.concat(F.lit(b"\xff\xfe"), F.col("content"))).otherwise(F.col("content"))
+    return rows.withColumn("content", content).withColumn("content", marked)

@@ -6,7 +6,7 @@ import __spark_entry__ as entry_module
 from tools.check_queries import rows_of
 
 NAMES = sorted(entry_module.queries())
-PYTHON_QUERIES = {"polish_hook", "prompt_rewrite"}
+PYTHON_QUERIES = {"decode_guess", "polish_hook", "prompt_rewrite"}
 
 
 def check_plan(name, df):
