@@ -42,9 +42,13 @@ def index_view(df: DataFrame) -> DataFrame:
         label.alias("Shown_Attachments"))
 
 
+def haystack() -> F.Column:
+    """The searched fields in small letters, joined by blanks."""
+    return F.lower(F.concat_ws(" ", *[text_or_empty(F.col(c)) for c in SEARCHED_FIELDS]))
+
+
 def matches(term: str) -> F.Column:
-    haystack = F.lower(F.concat_ws(" ", *[text_or_empty(F.col(c)) for c in SEARCHED_FIELDS]))
-    return F.contains(haystack, F.lower(F.lit(term)))
+    return F.contains(haystack(), F.lower(F.lit(term)))
 
 
 def index_search(df: DataFrame, term: str) -> DataFrame:

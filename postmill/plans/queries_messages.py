@@ -9,10 +9,10 @@ from postmill.functions import address as A
 from postmill.functions import display as D
 from postmill.functions import flat, headers, identity, text
 from postmill.functions import files as X
-from postmill.operators import dedup, folders, health, index, messages
+from postmill.operators import dedup, folders, health, index, messages, search
 from postmill.plans import statements as S
 from postmill.schema import MESSAGES
-from postmill.session import shared_dir
+from postmill.session import shared_dir, written
 from postmill.sources import readers, sample
 
 Q: dict[str, tuple] = {}
@@ -295,6 +295,23 @@ def index_search_counts(spark, sf):
     return index.search_counts(records(spark, sf), "2024-01-02")
 
 
+# A hundred searches: subjects, addresses, dates, several fields at once, one and two letters, and some that find nothing.
+TERMS = [*(f"conversation {k}" for k in range(40)), *(f"User{k}@Dept{k % 3}" for k in range(17)), *(f"2024-01-0{k}" for k in range(1, 10)),
+         *(f"team {k}" for k in range(5)), *(f"<user{k}@" for k in range(1, 8)), *(f"0:{k}" for k in range(10, 15)), "u", "@", "zq", "é", "00",
+         "RE: CONV", "none; user", "example.org; team 3, none; 2024", "example.com user", "re: conversation 1 user 1", "no such text at all",
+         "conversation 999999", "com>", "00:00", "e", ";", "17"]
+
+
+@query(S.query(S.RECORDS + f""",
+terms AS (SELECT DISTINCT unnest([{", ".join(f"'{t}'" for t in TERMS)}]) AS term)""", f"""SELECT term, count(*) AS shown,
+  CAST(sum(scan_pos % 1000003) AS BIGINT) AS places FROM records JOIN terms ON contains({_HAY}, lower(term)) GROUP BY term"""))
+def index_lookup(spark, sf):
+    """What each of the searches shows, found by the index of three-letter pieces."""
+    rows = written(records(spark, sf).select("scan_pos", *index.SEARCHED_FIELDS), "indexed")
+    found = search.lookup(rows, search.build(rows), TERMS)
+    return found.groupBy("term").agg(F.count("*").alias("shown"), F.sum(F.col("scan_pos") % 1000003).alias("places"))
+
+
 @query(S.query(S.RECORDS, """SELECT "Subject", "From", "Sender_Email", "To", "CC", "BCC", "Date_Received", "Date_Sent",
   "Attachment_Count", '' AS "Attachment_Paths", "Email_ID", "Subject" AS "Shown_Subject", "From" AS "Shown_Sender",
   "To" || CASE WHEN "CC" <> '' THEN ', ' || "CC" ELSE '' END || CASE WHEN "BCC" <> '' THEN ', ' || "BCC" ELSE '' END AS "Shown_Recipients",
