@@ -110,10 +110,14 @@ _REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
 def unescape(c: Column) -> Column:
-    """Decode every named and numeric character reference. ``c`` is named once, so nested calls stay small."""
-    pieces = F.transform(F.split(c, "&"), lambda p: F.struct(
-        p.alias("rest"), F.regexp_extract(p, _REFERENCE, 1).alias("ref")))
-    return F.array_join(F.transform(pieces, lambda q, i: F.when(i == 0, q["rest"]).otherwise(_decoded(q))), "")
+    """Decode every named and numeric character reference; a text without ``&`` is not cut. ``c`` is named once, so nested
+    calls stay small."""
+    def cut(x: Column) -> Column:
+        pieces = F.transform(F.split(x, "&"), lambda p: F.struct(
+            p.alias("rest"), F.regexp_extract(p, _REFERENCE, 1).alias("ref")))
+        return F.array_join(F.transform(pieces, lambda q, i: F.when(i == 0, q["rest"]).otherwise(_decoded(q))), "")
+
+    return F.get(F.transform(F.array(c), lambda x: F.when(F.contains(x, F.lit("&")), cut(x)).otherwise(x)), 0)
 
 
 def html_to_text(c: Column) -> Column:
