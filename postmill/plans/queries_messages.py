@@ -9,7 +9,7 @@ from postmill.functions import address as A
 from postmill.functions import display as D
 from postmill.functions import flat, headers, identity, text
 from postmill.functions import files as X
-from postmill.operators import dedup, folders, health, index, messages, search
+from postmill.operators import dedup, folders, foldertree, health, index, messages, search
 from postmill.plans import statements as S
 from postmill.schema import MESSAGES
 from postmill.session import shared_dir, written
@@ -322,6 +322,20 @@ def index_view(spark, sf):
     return index.index_view(records(spark, sf)).withColumn("Attachment_Paths", F.array_join("Attachment_Paths", "|"))
 
 
+@query("""WITH RECURSIVE folders AS (SELECT doc_id AS folder, CASE WHEN doc_id = 0 THEN NULL WHEN doc_id % 5 = 0 THEN doc_id - 5 WHEN doc_id % 7 = 3 THEN 0
+    WHEN doc_id % 5 = 4 THEN doc_id - 1 ELSE doc_id - doc_id % 5 END AS parent, doc_id * 7919 % 1009 AS place, n_chars % 11 AS messages FROM documents),
+visited AS (SELECT folder, messages, 0 AS depth, [(place, folder)] AS path FROM folders WHERE parent IS NULL
+  UNION ALL SELECT f.folder, f.messages, depth + 1, list_append(path, (f.place, f.folder)) FROM visited v JOIN folders f ON f.parent = v.folder),
+placed AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS preorder,
+  coalesce(sum(messages) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_index FROM visited),
+below AS (SELECT unnest(path)[2] AS folder, messages FROM visited)
+SELECT folder, preorder, depth::BIGINT AS depth, subtree_size, first_index::BIGINT AS first_index, subtree_messages
+FROM placed JOIN (SELECT folder, count(*) AS subtree_size, sum(messages)::BIGINT AS subtree_messages FROM below GROUP BY folder) USING (folder)""")
+def scan_tree_order(spark, sf):
+    """Depth-first order, depth, size and first message of every folder, from parents and places alone."""
+    return foldertree.tree_order(sample.folder_tree(spark, sf))
+
+
 @query(S.query(S.MAILBOX, f"""SELECT scan_pos, r AS entry FROM (
   SELECT scan_pos, unnest({S.split_list('display_to')}) AS r FROM mailbox) WHERE lower(r) <> 'none'"""))
 def valid_address(spark, sf):
