@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,46 +81,64 @@ def _links(att: DataFrame, keys: list[str], index: str, name: str) -> DataFrame
 
 
 def _settle(links: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """For parents with ``taken`` known: the numbers they skip, and each child's own ``taken``.
+    """(keys, name, child, number, skip, nth) of ``links`` with ``taken`` of the parents known.
 
-    Children are visited by number; the s-th skip happens where the parent has not had enough
-    conflicts by then: number - 1 - conflicts > skips so far.
+    Children are visited by number; the s-th skip happens where the parent has not had enough conflicts by then:
+    number - 1 - conflicts > skips so far, which ``nth`` counts. A parent's children stream through a task that keeps
+    nothing but that count.
     """
-    per_parent = links.groupBy(*keys, name, "taken").agg(
-        F.sort_array(F.collect_list(F.struct("number", "earlier", "child"))).alias("kids"))
-    own_base = F.when(F.col("taken"), 0).otherwise(1)
-
-    def visit(state: Column, kid: Column) -> Column:
-        conflicts = F.greatest(kid["earlier"] - own_base, F.lit(0))
-        skip = kid["number"] - 1 - conflicts > F.size(state["skipped"])
-        return F.struct(
-            F.when(skip, F.concat(state["skipped"], F.array(kid["number"]))).otherwise(state["skipped"]).alias("skipped"),
-            F.concat(state["children"], F.array(F.struct(
-                kid["child"].alias("child"), (~skip).alias("taken")))).alias("children"))
-    start = F.struct(
-        F.array().cast("array<bigint>").alias("skipped"),
-        F.array().cast("array<struct<child:string,taken:boolean>>").alias("children"))
-    done = per_parent.withColumn("state", F.aggregate("kids", start, visit))
-    return done.select(*keys, name, "taken", "state.skipped", "state.children")
-
-
-def _rules(links: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``taken`` and ``skipped`` of every linked name, parents before children, to any depth."""
-    parents = links.select(*keys, name).distinct()
+    parent = [*keys, name]
+    rows = links.select(*parent, "child", "number", "earlier", "taken")
+    fields = rows.select(*parent, "child", "number").schema.simpleString()[len("struct<"):-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, skips = None, 0
+        for batch in batches:
+            found: list[tuple[bool, int]] = []
+            of = zip(*(batch.column(c).to_pylist() for c in parent), strict=True)
+            facts = zip(*(batch.column(c).to_pylist() for c in ("number", "earlier", "taken")), strict=True)
+            for key, (number, earlier, taken) in zip(of, facts, strict=True):
+                last, skips = key, skips if key == last else 0
+                skip = number - 1 - max(earlier - (0 if taken else 1), 0) > skips
+                skips += skip
+                found.append((skip, skips))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in (*parent, "child", "number")), pa.array([f[0] for f in found], pa.bool_()),
+                 pa.array([f[1] for f in found], pa.int64())], [*parent, "child", "number", "skip", "nth"])
+
+    ordered = rows.repartition(*parent).sortWithinPartitions(*parent, "number")
+    return ordered.mapInArrow(run, f"{fields},skip:boolean,nth:bigint")
+
+
+def _rules(links: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """(keys, name) of the linked names that are taken from their first file on, and (keys, name, number, nth) of all
+    skips; parents before children, to any depth."""
     as_child = links.select(*keys, F.col("child").alias(name)).distinct()
     level = links.join(as_child, keys + [name], "left_anti").withColumn("taken", F.lit(False))
-    rules = None
+    taken = skips = None
     while True:
         done = written(_settle(level, keys, name), "settled")
-        heirs = done.select(*keys, F.explode("children").alias("c")).select(
-            *keys, F.col("c.child").alias(name), "c.taken")
-        # Children without children of their own still need their flag.
-        leaves = heirs.join(parents, keys + [name], "left_anti").withColumn("skipped", F.array().cast("array<bigint>"))
-        found = done.select(*keys, name, "taken", "skipped").unionByName(leaves)
-        rules = found if rules is None else rules.unionByName(found)
+        heirs = done.select(*keys, F.col("child").alias(name), (~F.col("skip")).alias("taken"))
+        found = heirs.where("taken").drop("taken"), done.where("skip").select(*keys, name, "number", "nth")
+        taken, skips = found if taken is None else (taken.unionByName(found[0]), skips.unionByName(found[1]))
         level = links.join(heirs, keys + [name])
         if level.isEmpty():
-            return rules
+            return taken, skips
+
+
+def _numbers(rows: DataFrame, skips: DataFrame, keys: list[str], index: str, name: str) -> DataFrame:
+    """(keys, index, _skipped): how many of its name's skips lie below each file's number.
+
+    The n-th skip of a name lies below the number of a file with that many conflicts or more as the skipped number
+    exceeds n: files and skips are counted together in that order, the files before are taken away.
+    """
+    some = rows.join(skips.select(*keys, name).distinct(), keys + [name], "left_semi").select(
+        *keys, name, index, "_place", F.col("_conflict").alias("_value"), F.lit(1).alias("_kind"))
+    marks = skips.select(*keys, name, F.lit(None).cast(dict(rows.dtypes)[index]).alias(index), F.lit(None).cast("long").alias("_place"),
+                         (F.col("number") - F.col("nth")).alias("_value"), F.lit(0).alias("_kind"))
+    both = some.withColumn("_place", F.col("_place").cast("long")).unionByName(marks)
+    counted = numbered(both, keys + [name], [F.col("_value"), F.col("_kind")], [F.expr(f"_value div {BLOCK}")], "_at")
+    return counted.where("_kind = 1").select(*keys, index, (F.col("_at") - (F.col("_place") - 1)).alias("_skipped"))
 
 
 def stored_names(att: DataFrame, keys: Sequence[str] = tuple(MESSAGE), index: str = "attachment_index",
@@ -135,16 +154,14 @@ def stored_names(att: DataFrame, keys: Sequence[str] = tuple(MESSAGE), index: st
     placed = numbered(att, keys + [name], [F.col(index)], [F.expr(f"{index} div {BLOCK}")], "_place", first=1)
     links = _links(att, keys, index, name)
     if links is None:
-        none = {"taken": F.lit(False), "skipped": F.array().cast("array<bigint>")}
-        rows = placed.withColumns(none)
+        rows = placed.withColumn("_conflict", F.col("_place").cast("bigint") - 1).withColumn("_skipped", F.lit(0))
     else:
-        rows = placed.join(_rules(written(links, "numbered-links"), keys, name), keys + [name], "left")
-    conflict = F.col("_place").cast("bigint") - F.when(F.coalesce(F.col("taken"), F.lit(False)), 0).otherwise(1)
-    skipped = F.coalesce(F.col("skipped"), F.array().cast("array<bigint>"))
-    rows = rows.withColumns({"_conflict": conflict, "_number": F.aggregate(
-        skipped, conflict + 1, lambda k, s: F.when(s <= k, k + 1).otherwise(k))})
-    numbered_name = F.concat(X.name_stem(F.col(name)), F.lit("_"), F.col("_number").cast("string"),
-                             X.name_suffix(F.col(name)))
+        taken, skips = _rules(written(links, "numbered-links"), keys, name)
+        known = placed.join(taken.withColumn("_taken", F.lit(True)), keys + [name], "left")
+        rows = written(known.withColumn("_conflict", F.col("_place").cast("bigint") - F.when(F.col("_taken"), 0).otherwise(1)).drop("_taken"), "conflicts")
+        rows = rows.join(_numbers(rows, skips, keys, index, name), [*keys, index], "left")
+    number = F.col("_conflict") + 1 + F.coalesce("_skipped", F.lit(0))
+    numbered_name = F.concat(X.name_stem(F.col(name)), F.lit("_"), number.cast("string"), X.name_suffix(F.col(name)))
     return rows.select(*keys, index, F.when(F.col("_conflict") == 0, F.col(name)).otherwise(numbered_name)
                        .alias("stored_name"))
 

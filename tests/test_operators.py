@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, hot groups included."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,29 @@ def test_stored_names_of_a_hot_message(spark):
     assert got[0] == "same.bin" and all(got[i] == f"same_{i + 1}.bin" for i in range(1, 10_000))
 
 
+def test_stored_names_of_a_message_with_a_hundred_thousand_literal_names(spark):
+    """Files of one name among literal numbered ones, before and after them: the rule by the free numbers as they go."""
+    rng = random.Random(11)
+    names = ["a.txt"] * 30_000 + [f"a_{k}.txt" for k in range(2, 100_002)]
+    rng.shuffle(names)
+    want, used, free = [], set(), 2
+    for n in names:
+        if n in used or (n == "a.txt" and want and "a.txt" in used):
+            if n != "a.txt":  # a literal name that is taken gets a number of its own; its first is free
+                n = f"{n[:-4]}_2.txt"
+            else:
+                while f"a_{free}.txt" in used:
+                    free += 1
+                n = f"a_{free}.txt"
+        used.add(n)
+        want.append(n)
+    t0 = time.perf_counter()
+    df = spark.createDataFrame([(7, i, n) for i, n in enumerate(names)], "m long, i long, safe_name string")
+    got = {r["i"]: r["stored_name"] for r in attachments.stored_names(df, ["m"], "i").collect()}
+    assert [got[i] for i in range(len(names))] == want
+    assert time.perf_counter() - t0 < 120
+
+
 def edits_within_two(a):
     letters = "abcdeé"
 
