@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from postmill.functions import address as A
 from postmill.functions import display as D
 from postmill.functions import flat, headers, identity, text
 from postmill.functions import files as X
-from postmill.operators import dedup, folders, foldertree, health, index, messages, search
+from postmill.operators import dedup, folders, foldertree, health, index, messages, pages, search
 from postmill.plans import statements as S
 from postmill.schema import MESSAGES
 from postmill.session import shared_dir, written
@@ -84,6 +86,23 @@ def folder_first_page(spark, sf):
     return page.select("folder_path", "message_index", "subject")
 
 
+# Folder, start and length of some pages, one of them empty.
+PAGES = [("/Root/Inbox", 0, 20), ("/Root/Inbox", 50, 64), ("/Root/Sent", 130, 40), ("/Root/Archive", 7, 5), ("/Root/Sent", 10**9, 9)]
+_PAGED = [f"""(SELECT folder_path, message_index, subject, {number} AS page FROM indexed
+  WHERE folder_path = '{folder}' AND pos % 5 <> 0 AND message_index >= {start} ORDER BY message_index LIMIT {limit})"""
+          for number, (folder, start, limit) in enumerate(PAGES)]
+
+
+@query(S.query(S.MAILBOX + """,
+indexed AS (SELECT *, row_number() OVER (PARTITION BY folder_path ORDER BY pos) - 1 AS message_index FROM mailbox)""", " UNION ALL ".join(_PAGED)))
+def folder_pages(spark, sf):
+    """Pages here and there in the folders, read from clustered messages by their directory."""
+    marked = sample.mailbox(spark, sf).select("folder_path", "pos", "subject", (F.col("pos") % 5 != 0).alias("parsed"))
+    stored = pages.build(marked, block_rows=64)
+    found = [pages.page(spark, stored, *asked).withColumn("page", F.lit(number)) for number, asked in enumerate(PAGES)]
+    return functools.reduce(DataFrame.unionByName, found).select("folder_path", "message_index", "subject", "page")
+
+
 @query("""SELECT conv_id, turn, '/' || CASE WHEN conv_id % 4 = 0 THEN 'Root' ELSE 'Top' END
   || '/' || 'F' || (conv_id % 7) || '/' || CASE WHEN turn % 3 = 0 THEN '(Unnamed)' ELSE 'S' || turn END AS path FROM conversations""")
 def folder_paths(spark, sf):

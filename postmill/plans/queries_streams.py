@@ -56,6 +56,18 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(out).select("Email_ID")
 
 
+@query(S.query(S.RECORDS, 'SELECT "Email_ID", "Subject", scan_pos FROM records QUALIFY row_number() OVER (PARTITION BY "Email_ID" ORDER BY scan_pos) = 1'))
+def stream_keep_first(spark, sf):
+    """The last rows come first: two files in falling order of place, one per batch."""
+    out, state = places(spark)
+    path = shared_dir(spark, "stream-in")
+    df = records(spark, sf).select("Email_ID", "Subject", "scan_pos")
+    df.withColumn("part", F.pmod(-F.expr("scan_pos div 65536"), F.lit(2))).repartition("part").write.partitionBy("part").parquet(path)
+    df = streams.file_stream(spark, f"{path}/part=*", df.schema, files_per_trigger=1)
+    streams.stream_keep_first(df, "Email_ID", out, state).awaitTermination()
+    return streams.first_rows(spark.read.parquet(out))
+
+
 @query(S.query(S.RECORDS, f"""SELECT f AS format, "Email_ID", {S.mask('"Body"')} AS "Body" FROM records, (SELECT unnest(['csv', 'json']) AS f)"""))
 def stream_export(spark, sf):
     out, state = places(spark)

@@ -3,12 +3,14 @@ decide between draining what is there and running on."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from postmill.functions.masking import mask_pii
 from postmill.operators import addresses as A
@@ -47,11 +49,55 @@ def stream_dedup(records: DataFrame, key: str, out: str, checkpoint: str, drain:
     place). The state holds each key once, on disk, in partitions by key.
     """
     _spill_state(records.sparkSession)
-    own = F.coalesce(F.nullif(F.col(key), F.lit("")), F.concat(F.lit("row:"), F.col("scan_pos").cast("string")))
-    once = records.withColumn("_key", own).dropDuplicates(["_key"]).drop("_key")
+    once = records.withColumn("_key", _row_key(key)).dropDuplicates(["_key"]).drop("_key")
     return _start(once, out, checkpoint, drain=drain)
 
 
+def _row_key(key: str) -> Column:
+    """The key; rows without one are told apart by their place."""
+    return F.coalesce(F.nullif(F.col(key), F.lit("")), F.concat(F.lit("row:"), F.col("scan_pos").cast("string")))
+
+
+def stream_keep_first(records: DataFrame, key: str, out: str, checkpoint: str, drain: bool = True) -> StreamingQuery:
+    """The row of the least ``scan_pos`` per key, whatever the order in which rows arrive.
+
+    The output are changes: a row with ``change`` 1, and later, if a row of a lesser place comes, one of -1 that takes it back
+    (its key and place alone) beside the new one. ``first_rows`` puts them together. The state holds a place per key.
+    """
+    _spill_state(records.sparkSession)
+    keyed = records.withColumn("_key", _row_key(key))
+    names = records.columns
+    out_schema = T.StructType([*records.schema.fields, T.StructField("_key", T.StringType()), T.StructField("change", T.IntegerType())])
+    for field in out_schema.fields:
+        field.nullable = True
+
+    def least(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.get[0] if state.exists else None
+        best = None
+        for batch in batches:
+            row = batch.loc[[batch["scan_pos"].idxmin()]]
+            if best is None or row["scan_pos"].iat[0] < best["scan_pos"].iat[0]:
+                best = row
+        place = int(best["scan_pos"].iat[0])
+        if known is not None and place >= known:
+            return
+        state.update((place,))
+        if known is not None:
+            gone = {n: None for n in names} | {"scan_pos": known, "_key": of[0], "change": -1}
+            yield pd.DataFrame([gone], columns=[*names, "_key", "change"]).astype({"scan_pos": "int64"})
+        yield best[names].assign(_key=of[0], change=1)
+
+    changes = keyed.groupBy("_key").applyInPandasWithState(
+        least, out_schema, "place long", "append", "NoTimeout")
+    return _start(changes, out, checkpoint, drain=drain)
+
+
+def first_rows(changes: DataFrame) -> DataFrame:
+    """The rows that the changes of ``stream_keep_first`` leave, one per key."""
+    gone = changes.where("change < 0").select("_key", "scan_pos")
+    return changes.where("change > 0").join(gone, ["_key", "scan_pos"], "left_anti").drop("_key", "change")
+
+
 def stream_export(records: DataFrame, out: str, checkpoint: str, formats: Sequence[str],
                   drain: bool = True) -> StreamingQuery:
     """Each micro-batch goes to every format. A batch owns the folder of its number, so a batch that
