@@ -8,16 +8,18 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.session import written
+from postmill.session import shuffle_width, written
 
 # Fixed values of the contract: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 DAMPING = 0.85
 # Rounds go on until the three ranks, each of which sums to 1 over all hosts, change by less than this in sum.
-TOLERANCE = 1e-6
+TOLERANCE = 1e-3
 # Rounds that are planned together; their result is written and its last change looked at.
-TOGETHER = 8
+TOGETHER = 3
+# Rows of the graph that a task gets at least: a small graph is not dealt to more tasks than it keeps busy.
+TASK_ROWS = 200_000
 # Share of a host's pages that block (allow) rules must decide for the host to be a blocked (trusted) seed.
 SEED_SHARE = 0.5
 # A host is blocked if its share of distrust in trust and distrust is above this, and its distrust above its baseline.
@@ -120,17 +122,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
         F.col("host").alias("start"), F.col("host").alias("end"), F.lit(1.0).alias("weight"), F.lit(kind).alias("kind"))
         for kind, w in (("trust", out), ("distrust", back))]
     ways = written(kinds[0].unionByName(kinds[1]).unionByName(loops[0]).unionByName(loops[1]), "ways")
+    tasks = max(1, min(shuffle_width(edges.sparkSession), math.ceil(ways.count() / TASK_ROWS)))
+    ways, start = ways.coalesce(tasks), start.coalesce(tasks)
     names = ("trust", "distrust", "base")
     ranks = start.select("host", *(F.col(f"s_{k}").alias(k) for k in names))
+    restart = start.select("host", *(((1 - damping) * F.col(f"s_{k}")).alias(k) for k in names))
+    part = damping * F.col("weight")
+    ahead = F.col("kind") == "trust"
 
     def one_round(ranks: DataFrame) -> DataFrame:
-        moved = ways.join(ranks.select(F.col("host").alias("start"), *names), "start") \
-            .groupBy(F.col("end").alias("host")).agg(
-                F.sum(F.when(F.col("kind") == "trust", F.col("trust") * F.col("weight"))).alias("m_trust"),
-                F.sum(F.when(F.col("kind") == "distrust", F.col("distrust") * F.col("weight"))).alias("m_distrust"),
-                F.sum(F.when(F.col("kind") == "distrust", F.col("base") * F.col("weight"))).alias("m_base"))
-        step = lambda k: ((1 - damping) * F.col(f"s_{k}") + damping * F.coalesce(f"m_{k}", F.lit(0.0))).alias(k)
-        return start.join(moved, "host", "left").select("host", *map(step, names))
+        moved = ways.join(ranks.select(F.col("host").alias("start"), *names), "start").select(
+            F.col("end").alias("host"), F.when(ahead, F.col("trust") * part).alias("trust"),
+            *(F.when(~ahead, F.col(k) * part).alias(k) for k in names[1:]))
+        return moved.unionByName(restart).groupBy("host").agg(*(F.sum(k).alias(k) for k in names)).coalesce(tasks)
 
     # Two ranks that both sum to 1 differ by 2 at most; three of them change, and each round leaves ``damping`` of it.
     most = 1 + math.ceil(math.log(max(tolerance, 1e-300) / 6) / math.log(damping))

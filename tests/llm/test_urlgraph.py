@@ -72,7 +72,7 @@ GRAPH = [
 
 
 def test_ranks_equal_brute_force(spark):
-    got = {r.host: (r.trust, r.distrust) for r in urlgraph.judged(pages(spark, GRAPH)).collect()}
+    got = {r.host: (r.trust, r.distrust) for r in urlgraph.judged(pages(spark, GRAPH), tolerance=1e-6).collect()}
     edges = {("good.org", "friend.com"): 3, ("friend.com", "pal.com"): 1, ("pal.com", "good.org"): 1, ("bad.net", "worse.com"): 1,
              ("fan.com", "bad.net"): 2, ("fan.com", "bad.net:80"): 1, ("both.com", "good.org"): 1, ("both.com", "bad.net"): 1,
              ("sub.fan.com", "fan.com"): 1, ("fan.com", "sub.fan.com"): 1}
@@ -109,7 +109,7 @@ def test_odd_rows(spark):
     got = sorted((r.page_id or 0, r.host, r.verdict) for r in urlgraph.judged(pages(spark, rows)).collect())
     assert got == [(0, "a.b.c.net", "block"), (1, "", "allow"), (1, "", "allow"), (2, "", "allow"), (3, "a.com", "allow")]
     assert urlgraph.judged(pages(spark, rows).limit(0)).collect() == []
-    assert {r.rule for r in urlgraph.judged(pages(spark, rows), []).collect()} == {None}
+    assert {r.rule for r in urlgraph.judged(pages(spark, rows), [], 0.1).collect()} == {None}
 
 
 def test_one_blocked_host_does_not_block_its_siblings(spark):
@@ -134,7 +134,7 @@ def solved(n, seed, damping=urlgraph.DAMPING):
 def test_chains_have_the_ranks_of_the_solved_system(spark, n):
     rows = [(k, f"http://c{k}.com/", link(f"c{k + 1}.com")) for k in range(n - 2)]
     rows += [(n - 2, f"http://c{n - 2}.com/", '<a href="http://bad.net/">x</a>'), (n - 1, "http://bad.net/", None)]
-    got = {r.page_id: r for r in urlgraph.judged(pages(spark, rows)).collect()}
+    got = {r.page_id: r for r in urlgraph.judged(pages(spark, rows), tolerance=1e-6).collect()}
     distrust, base = solved(n, n - 1)
     for k in range(n):
         assert got[k].distrust == pytest.approx(distrust[k], abs=1e-5)
@@ -148,7 +148,7 @@ def test_a_front_of_unfinished_mass_blocks_no_host(spark):
     rows += [(11, "http://c11.com/", link("bad.net")), (12, "http://bad.net/", None)]
     got = {r.page_id: r for r in urlgraph.judged(pages(spark, rows)).collect()}
     assert all(got[k].distrust > 0 for k in range(13))
-    assert got[4].distrust == pytest.approx(0.15 * 0.85**8, abs=1e-5)
+    assert got[4].distrust == pytest.approx(0.15 * 0.85**8, abs=2e-3)
 
 
 def test_ranks_that_cannot_settle_are_an_error(spark):
