@@ -24,8 +24,10 @@ def query(sql: str | None):
 
 
 def table_stream(spark, sf: str, name: str):
+    """A sample table as a stream, whether it is one file or a folder of files."""
     schema = sample.table(spark, sf, name).schema
-    return streams.file_stream(spark, sf, schema, f"{name}.parquet")
+    # A path without a pattern must be a folder; the pattern finds the table alone.
+    return streams.file_stream(spark, f"{sf}/{name}.parque[t]", schema, "*")
 
 
 def record_stream(spark, sf: str, *columns: str):
@@ -45,7 +47,7 @@ def stream_text(spark, sf):
     out, state = places(spark)
     texts = table_stream(spark, sf, "documents").select("doc_id", "text")
     streams.stream_text(texts, out, state).awaitTermination()
-    return spark.read.parquet(out).select("doc_id", "processed")
+    return spark.read.schema("doc_id long, processed string").parquet(out)
 
 
 @query(S.query(S.RECORDS, 'SELECT DISTINCT "Email_ID" FROM records'))
