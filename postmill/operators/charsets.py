@@ -2,12 +2,14 @@
 
 Bytes with a mark of their encoding, with the zero bytes of two-byte text, or that are valid UTF-8 are known for sure. The
 rest is told apart by how likely its pairs of bytes are in each charset; pairs of two ASCII bytes say nothing and are left
-out. Nearly all content is valid UTF-8 and is decoded in the JVM; only the rest goes through Arrow.
+out. How many pairs tell is learned too and counts once: a lone accent in ASCII text is likelier in a charset whose texts
+have few. Nearly all content is valid UTF-8 and is decoded in the JVM; only the rest goes through Arrow.
 """
 
 from __future__ import annotations
 
 import codecs
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,6 +28,9 @@ LEAST_CONFIDENCE = 0.7  # fixed value
 # Counts that every pair has before any is seen, and the bytes of a content whose pairs are counted at a time.
 PRIOR = 0.02
 PART = 1 << 20
+# Classes of the share of pairs that tell, by halves, and the count that each has before any is seen.
+SHARES = 16
+SHARE_PRIOR = 0.5
 MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 
 
@@ -43,12 +48,18 @@ def telling_pairs(data: bytes) -> np.ndarray:
     return out
 
 
+def share_class(counts: np.ndarray, size: int) -> int:
+    """The class of a content of ``size`` bytes by its share of telling pairs: 0 for over a half, 1 for over a quarter and so on."""
+    return min(SHARES - 1, int(math.log2(max(size - 1, 1) / max(int(counts.sum()), 1))))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihoods of byte pairs, a row per charset; of fixed size."""
+    """Log-likelihoods of byte pairs and of classes of their share, a row per charset; of fixed size."""
 
     charsets: tuple[str, ...]
     scores: np.ndarray
+    shares: np.ndarray | None = None
 
     def likely(self, data: bytes) -> tuple[str, float] | None:
         """(charset, its share of the likelihood of all); None if no charset can hold the bytes or no pair tells."""
@@ -57,7 +68,10 @@ class Model:
         fits = [k for k, charset in enumerate(self.charsets) if _holds(data, charset)]
         if not fits or not len(used):
             return None
-        logs = self.scores[fits][:, used].astype(np.float64) @ counts[used]
+        # A pair that comes again says less than a new one: a text may be one word over and over.
+        logs = self.scores[fits][:, used].astype(np.float64) @ np.log2(1 + counts[used])
+        if self.shares is not None:
+            logs += self.shares[fits, share_class(counts, len(data))]
         shares = np.exp(logs - logs.max())
         best = int(shares.argmax())
         return self.charsets[fits[best]], float(shares[best] / shares.sum())
@@ -109,28 +123,35 @@ def guess(data: bytes, model: Model) -> tuple[str, float, str]:
 def learn(contents: DataFrame, charsets: tuple[str, ...] = CHARSETS) -> Model:
     """The model of ``contents`` (content binary, charset string), from the byte pairs of all rows.
 
-    Tasks add up their pairs before they are shuffled; at most 65,536 counts per charset come back. Contents of other
-    charsets are left out; a charset without any is never likely.
+    Tasks add up their pairs before they are shuffled; at most 65,536 counts per charset, and SHARES, come back. Contents of
+    other charsets are left out; a charset without any is never likely.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(charsets), 1 << 16), dtype=np.int64)
+        # Behind the pairs, the contents of each class.
+        total = np.zeros((len(charsets), (1 << 16) + SHARES), dtype=np.int64)
         for batch in batches:
             for data, charset in zip(batch.column("content").to_pylist(), batch.column("charset").to_pylist(), strict=True):
                 if data and charset in charsets:
-                    total[charsets.index(charset)] += telling_pairs(data)
+                    pairs = telling_pairs(data)
+                    own = total[charsets.index(charset)]
+                    own[:1 << 16] += pairs
+                    if pairs.any():
+                        own[(1 << 16) + share_class(pairs, len(data))] += 1
         number, pair = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(total[number, pair])],
                                          ["number", "pair", "n"])
 
     rows = contents.select("content", "charset").mapInArrow(run, "number int, pair int, n long")
     counted = rows.groupBy("number", "pair").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.full((len(charsets), 1 << 16), PRIOR)
-    counts[counted.column("number").to_numpy(), counted.column("pair").to_numpy()] += counted.column("n").to_numpy()
+    both = np.zeros((len(charsets), (1 << 16) + SHARES))
+    both[counted.column("number").to_numpy(), counted.column("pair").to_numpy()] = counted.column("n").to_numpy()
+    counts, classes = both[:, :1 << 16] + PRIOR, both[:, 1 << 16:] + SHARE_PRIOR
     scores = np.log(counts / counts.sum(1, keepdims=True))
+    shares = np.log(classes / classes.sum(1, keepdims=True))
     seen = np.isin(np.arange(len(charsets)), counted.column("number").to_numpy())
     kept = tuple(c for c, s in zip(charsets, seen.tolist(), strict=True) if s)
-    return Model(kept, scores[seen].astype(np.float32))
+    return Model(kept, scores[seen].astype(np.float32), shares[seen])
 
 
 def reader(spark: SparkSession, model: Model) -> Callable[[Column], Column]:

@@ -104,3 +104,19 @@ def test_attachments_are_read_with_it(spark, model):
         att, decode=lambda c: read(c)["text"]).collect()}
     assert "�" in plain[1] and "хоусе" in guessed[1]
     assert plain[2] is guessed[2] is None and plain[3] == guessed[3] == "ü"
+
+
+def test_a_lone_accent_in_ascii_text_is_of_a_charset_with_few(spark):
+    """In iso-8859-2 each e is learned as an ogonek, so its pairs are the likelier ones, but no such text has only one."""
+    dense = "dęs lęs ęquę nęq tęrrę"
+    sparse = "des les equipes de la terre sont venues par la route et la ville "
+    rows = [(i, (dense if i % 2 else sparse + ("anêque" if i % 20 == 0 else "fête")).encode("iso-8859-2" if i % 2 else "cp1252"), "iso-8859-2" if i % 2 else "windows-1252")
+            for i in range(200)]
+    model = CS.learn(spark.createDataFrame(rows, SCHEMA))
+    data = "la ville et la route des gens de la terre et anêque chpation le des le la".encode("cp1252")
+    bare = CS.Model(model.charsets, model.scores)
+    assert CS.guess(data, bare)[0] == "iso-8859-2"
+    assert CS.guess(data, model)[0] == "windows-1252"
+    # The share counts once, so many pairs outweigh it.
+    mixed = b"a line of plain text here\n" * 400 + dense.encode("iso-8859-2") * 5
+    assert CS.guess(mixed, model)[0] == "iso-8859-2"
