@@ -43,10 +43,16 @@ class Index:
 
 def _pieces(text: Column) -> Column:
     """All runs of SIZE letters, each once; none for a shorter text."""
-    letters = F.split(text, "")
-    n = F.length(text)
-    runs = F.transform(F.sequence(F.lit(0), n - SIZE), lambda i: F.concat(*[F.get(letters, i + k) for k in range(SIZE)]))
-    return F.when(n >= SIZE, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    def runs(letters: Column) -> Column:
+        # The letters beside each other, shifted against themselves: one pass, however long the text is.
+        out = letters
+        for k in range(2, SIZE + 1):
+            out = F.zip_with(out, F.slice(letters, F.lit(k), F.size(letters)), lambda a, b: F.concat(a, b))
+        return F.array_distinct(F.slice(out, F.lit(1), F.size(letters) - (SIZE - 1)))
+
+    # Bound to a name, or the text would be cut again for each of its letters.
+    cut = F.get(F.transform(F.array(F.split(text, "")), runs), 0)
+    return F.when(F.length(text) >= SIZE, cut).otherwise(F.array().cast("array<string>"))
 
 
 def grams(text: Column) -> Column:

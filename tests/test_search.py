@@ -1,6 +1,7 @@
 """The index of three-letter pieces against a scan of all rows."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,15 @@ def test_empty_tables_and_terms(spark, frame):
     built = search.build(none)
     assert search.lookup(none, built, ["a", "abc", ""]).collect() == []
     assert search.lookup(frame, search.build(frame), []).collect() == []
+
+
+def test_pieces_of_a_long_text_take_one_pass(spark):
+    """Cutting the text anew for each letter took minutes here."""
+    n = 200_000
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(n // 6)), lambda i: F.lpad((i * 7919 % 99_991).cast("string"), 5, "0")))
+    rows = spark.range(1).select(text.alias("t")).localCheckpoint()
+    start = time.time()
+    got = set(rows.select(F.explode(search.grams(F.col("t"))).alias("g")).toPandas()["g"])
+    assert time.time() - start < 60
+    whole = rows.first()["t"] + search.END * 2
+    assert got == {whole[k:k + 3] for k in range(len(whole) - 2)}
