@@ -65,7 +65,7 @@ def stream_keep_first(records: DataFrame, key: str, out: str, checkpoint: str, d
     (its key and place alone) beside the new one. ``first_rows`` puts them together. The state holds a place per key.
     """
     _spill_state(records.sparkSession)
-    keyed = records.withColumn("_key", _row_key(key))
+    keyed = records.withColumn("_key", _row_key(key)).withColumn("change", F.lit(1))
     names = records.columns
     out_schema = T.StructType([*records.schema.fields, T.StructField("_key", T.StringType()), T.StructField("change", T.IntegerType())])
     for field in out_schema.fields:
@@ -73,19 +73,22 @@ def stream_keep_first(records: DataFrame, key: str, out: str, checkpoint: str, d
 
     def least(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         known = state.get[0] if state.exists else None
-        best = None
+        best = place = None
         for batch in batches:
-            row = batch.loc[[batch["scan_pos"].idxmin()]]
-            if best is None or row["scan_pos"].iat[0] < best["scan_pos"].iat[0]:
-                best = row
-        place = int(best["scan_pos"].iat[0])
+            if len(batch) > 1:
+                at = int(batch["scan_pos"].to_numpy().argmin())
+                batch = batch.iloc[at:at + 1]
+            here = int(batch["scan_pos"].iat[0])
+            if place is None or here < place:
+                best, place = batch, here
         if known is not None and place >= known:
             return
         state.update((place,))
         if known is not None:
             gone = {n: None for n in names} | {"scan_pos": known, "_key": of[0], "change": -1}
             yield pd.DataFrame([gone], columns=[*names, "_key", "change"]).astype({"scan_pos": "int64"})
-        yield best[names].assign(_key=of[0], change=1)
+        # Most keys come once, so their row passes as it came.
+        yield best
 
     changes = keyed.groupBy("_key").applyInPandasWithState(
         least, out_schema, "place long", "append", "NoTimeout")
