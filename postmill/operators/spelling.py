@@ -62,6 +62,11 @@ def _distance(token: Column, word: Column, lev: Column) -> Column:
             .when((lev >= 3) & two_swaps, 2))
 
 
+def letter_bits(column: str) -> Column:
+    """The letters of a word as a set of 61 bits. An edit changes two of them at most, a swap none."""
+    return F.expr(f"aggregate(split({column}, ''), 0L, (bits, letter) -> bits | shiftleft(1L, ascii(letter) % 61))")
+
+
 def _keys(w: Column, distance: int, prefix: int) -> Column:
     return F.explode(delete_keys(F.substring(w, 1, prefix), distance)).alias("key")
 
@@ -70,21 +75,30 @@ def candidates(tokens: DataFrame, dictionary: DataFrame, distance: int, prefix:
     """(token, word, freq, distance) for all pairs within ``distance``.
 
     ``tokens`` has distinct ``token``s, ``dictionary`` distinct ``word``s. Tokens no dictionary word is near to in length
-    are dropped first. A pair usually shares several keys, so equal pairs are merged before the check. The vocabulary is
+    are dropped first. Pairs that share a key but differ in more letters than the edits can change are dropped as they are
+joined. A pair usually shares several keys, so equal pairs are merged before the check. The vocabulary is
     small in bytes but costly per word, so it is spread to the full width by number, which the runtime does not undo.
     """
     width = shuffle_width(tokens.sparkSession)
     lengths = dictionary.select(F.length("word").alias("n")).distinct().select(
         F.explode(F.sequence(F.col("n") - distance, F.col("n") + distance)).alias("n")).distinct()
-    t = tokens.withColumn("n", F.length("token")).join(lengths, "n", "left_semi").drop("n").repartition(width, "token")
-    t = t.select("token", _keys(F.col("token"), distance, prefix))
-    w = dictionary.select("word", "freq", _keys(F.col("word"), distance, prefix))
-    near = F.abs(F.length("token") - F.length("word")) <= distance
+    t = tokens.withColumn("n", F.length("token")).join(lengths, "n", "left_semi").drop("n")
+    t = t.select("token", letter_bits("token").alias("t_bits")).repartition(width, "token")
+    t = t.select("token", "t_bits", _keys(F.col("token"), distance, prefix))
+    w = dictionary.select("word", "freq", letter_bits("word").alias("w_bits"), _keys(F.col("word"), distance, prefix))
+    differing = F.bit_count(F.col("t_bits").bitwiseXOR(F.col("w_bits")))
+    near = (F.abs(F.length("token") - F.length("word")) <= distance) & (differing <= 2 * distance)
     shared = t.join(w, (t["key"] == w["key"]) & near)
-    pairs = shared.groupBy("token", "word").agg(F.first("freq").alias("freq"))
-    measured = pairs.withColumn("lev", F.levenshtein("token", "word", 2 * distance)).where("lev >= 0")
-    checked = measured.withColumn("distance", _distance(F.col("token"), F.col("word"), F.col("lev")))
-    return checked.where(F.col("distance") <= distance).drop("lev")
+    pairs = shared.groupBy("token", "word").agg(F.first("freq").alias("freq"), F.first(differing).alias("differing"))
+
+    def measured(lev: Column) -> Column:
+        # Beyond two plain edits only swaps come near, one with an edit or two alone; these change few letters.
+        possible = (lev >= 0) & ((lev <= 2) | ((lev == 3) & (F.col("differing") <= 2)) | (F.col("differing") == 0))
+        return F.when(possible, _distance(F.col("token"), F.col("word"), lev))
+
+    # Measured once: a condition on a column would be worked out again where it is filtered.
+    found = F.transform(F.array(F.levenshtein("token", "word", 2 * distance)), measured)
+    return pairs.select("token", "word", "freq", F.explode(F.filter(found, lambda d: d <= distance)).alias("distance"))
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -149,7 +163,8 @@ def correct_columns(texts: DataFrame, dictionary: DataFrame, key: str, columns:
     def fix(piece: Column) -> Column:
         word = F.lower(piece)
         own = F.get(F.col("_slots"), _slot(word, F.size("_slots")))
-        return F.coalesce(F.try_element_at(own, word), piece)
+        # Every other piece is a blank, as a rule.
+        return F.when(piece == " ", piece).otherwise(F.coalesce(F.try_element_at(own, word), piece))
 
     def fixed(column: str) -> Column:
         as_is = F.coalesce(F.col(column), F.lit(""))
@@ -167,6 +182,15 @@ def _slotted(entries: Column) -> Column:
 
     A map is searched from its start, so one map per text would cost its size for every word.
     """
-    slots = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(entries))).cast("int"))
-    return F.transform(F.sequence(F.lit(0), slots - 1), lambda s: F.map_from_entries(
-        F.filter(entries, lambda e: _slot(e["token"], slots) == s)))
+    def maps(numbered: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), _slots(numbered) - 1), lambda s: F.map_from_entries(
+            F.transform(F.filter(numbered, lambda x: x["slot"] == s), lambda x: x["entry"])))
+
+    # Numbers are worked out once for each entry and bound to names, not again for each slot.
+    numbered = F.get(F.transform(F.array(_slots(entries)), lambda n: F.transform(
+        entries, lambda e: F.struct(_slot(e["token"], n).alias("slot"), e.alias("entry")))), 0)
+    return F.get(F.transform(F.array(numbered), maps), 0)
+
+
+def _slots(entries: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(entries))).cast("int"))
