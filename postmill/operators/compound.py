@@ -18,7 +18,6 @@ from postmill.session import written
 MOST_EDITS = 2
 # Edits that a word counts for which no correction is known.
 HOPELESS = MOST_EDITS + 1
-BLANK = r"^ +$"
 
 
 def _sizes(dictionary: DataFrame) -> tuple[float, int]:
@@ -51,38 +50,64 @@ def _nearest(parts: DataFrame, dictionary: DataFrame) -> DataFrame:
     return best.select(F.col("token").alias("part"), F.col("b.word").alias("word"), (-F.col("b.rank")).alias("freq"))
 
 
-def splits(unknown: DataFrame, dictionary: DataFrame, solved: DataFrame | None = None) -> DataFrame:
-    """(token, edits, estimate, replacement): the best ways to read each token as two words or as three.
+def _exact_splits(unknown: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(heads, tails, splits): beginnings and ends of each token that are words, and the tokens that are two words."""
+    total, longest = _sizes(dictionary)
+    words = dictionary.select(F.col("word").alias("part"), F.col("freq").cast("double").alias("freq"))
+    heads, tails = _ends(unknown, longest)
+    heads = written(heads.join(words, "part").select("token", "i", F.col("part").alias("left"), F.col("freq").alias("f_left")), "heads")
+    tails = written(tails.join(words, "part").select("token", "i", F.col("part").alias("right"), F.col("freq").alias("f_right")), "tails")
+    return heads, tails, written(_read(heads.join(tails, ["token", "i"]), 1, total), "exact-splits")
+
+
+def _read(rows: DataFrame, edits: int, total: float) -> DataFrame:
+    return rows.select("token", F.lit(edits).alias("edits"), _beside(F.col("f_left"), F.col("f_right"), total).alias("estimate"),
+                       F.concat_ws(" ", "left", "right").alias("replacement"))
+
 
-    Two words may be one edit off in one of them; three must be exact. Tokens of ``solved``, one edit from a word, are not
-    read as anything of two edits.
+def _rough_splits(heads: DataFrame, tails: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(token, edits, estimate, replacement): tokens read as two words of which one is an edit off, or as three words.
+
+    ``heads`` and ``tails`` are those of tokens that are not two words.
     """
     total, longest = _sizes(dictionary)
     words = dictionary.select(F.col("word").alias("part"), F.col("freq").cast("double").alias("freq"))
-    heads, tails = _ends(unknown, longest)
-    exact_head = written(heads.join(words, "part").select("token", "i", F.col("part").alias("left"), F.col("freq").alias("f_left")), "heads")
-    exact_tail = written(tails.join(words, "part").select("token", "i", F.col("part").alias("right"), F.col("freq").alias("f_right")), "tails")
-
-    def read(rows: DataFrame, edits: int) -> DataFrame:
-        return rows.select("token", F.lit(edits).alias("edits"), _beside(F.col("f_left"), F.col("f_right"), total).alias("estimate"),
-                           F.concat_ws(" ", "left", "right").alias("replacement"))
-
-    out = written(read(exact_head.join(exact_tail, ["token", "i"]), 1), "exact-splits")
-    done = out.select("token").unionByName(solved.select("token")) if solved is not None else out.select("token")
-    open_heads, open_tails = (rows.join(done, "token", "left_anti") for rows in (exact_head, exact_tail))
-    # The other part of a token one of whose parts is a word. It is none itself, else the token were done.
-    right = open_heads.withColumn("part", F.substr("token", F.col("i") + 1)).filter(F.length("part") <= longest + 1)
-    left = open_tails.withColumn("part", F.substr("token", F.lit(1), F.col("i"))).filter(F.length("part") <= longest + 1)
+    # The other part of a token one of whose parts is a word. It is none itself, else the token were two words.
+    right = heads.withColumn("part", F.substr("token", F.col("i") + 1)).filter(F.length("part") <= longest + 1)
+    left = tails.withColumn("part", F.substr("token", F.lit(1), F.col("i"))).filter(F.length("part") <= longest + 1)
     parts = written(right.select("part").unionByName(left.select("part")).distinct(), "parts")
     near = written(_nearest(parts, dictionary), "near-parts")
     rough_right = right.join(near.select("part", F.col("word").alias("right"), F.col("freq").cast("double").alias("f_right")), "part")
     rough_left = left.join(near.select("part", F.col("word").alias("left"), F.col("freq").cast("double").alias("f_left")), "part")
     # A word at the beginning, one at the end, and one between.
-    middle = open_heads.join(open_tails.withColumnRenamed("i", "j"), "token").filter("j > i") \
+    middle = heads.join(tails.withColumnRenamed("i", "j"), "token").filter("j > i") \
         .withColumn("part", F.substr("token", F.col("i") + 1, F.col("j") - F.col("i"))).join(words, "part")
     three = middle.select("token", F.lit(2).alias("edits"), _beside(_beside(F.col("f_left"), F.col("freq"), total), F.col("f_right"), total)
                           .alias("estimate"), F.concat_ws(" ", "left", "part", "right").alias("replacement"))
-    return out.unionByName(read(rough_right, 2)).unionByName(read(rough_left, 2)).unionByName(three)
+    return _read(rough_right, 2, total).unionByName(_read(rough_left, 2, total)).unionByName(three)
+
+
+def _known(dictionary: DataFrame) -> DataFrame:
+    return dictionary.select(F.col("word").alias("token"), F.lit(0).alias("edits"), F.col("freq").cast("double").alias("estimate"),
+                             F.col("word").alias("replacement"))
+
+
+def _unknown_readings(unknown: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(token, edits, estimate, replacement): the best reading of each token, none of which is a word.
+
+    What costs one edit is looked for first. Only tokens without such a reading are compared with words two edits away and
+    read as two words with an edit or as three.
+    """
+    first = written(spelling._best(spelling.candidates(unknown, dictionary, 1)), "first")
+    heads, tails, exact = _exact_splits(unknown, dictionary)
+    still_open = written(unknown.join(first.select("token").unionByName(exact.select("token")), "token", "left_anti"), "open")
+    second = spelling._best(spelling.candidates(still_open, dictionary, 2))
+    single = first.unionByName(second).join(dictionary, F.col("correction") == F.col("word")).select(
+        "token", F.col("distance").cast("int").alias("edits"), F.col("freq").cast("double").alias("estimate"), F.col("correction").alias("replacement"))
+    open_heads, open_tails = (rows.join(still_open, "token", "left_semi") for rows in (heads, tails))
+    ways = single.unionByName(exact).unionByName(_rough_splits(open_heads, open_tails, dictionary))
+    best = ways.groupBy("token").agg(F.min(F.struct("edits", (-F.col("estimate")).alias("rank"), "replacement")).alias("b"))
+    return best.select("token", "b.edits", (-F.col("b.rank")).alias("estimate"), "b.replacement")
 
 
 def readings(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -90,20 +115,20 @@ def readings(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     ``tokens`` has distinct ``token``s, ``dictionary`` distinct ``word``s with ``freq``.
     """
-    known = tokens.join(dictionary, F.col("token") == F.col("word")).select(
-        "token", F.lit(0).alias("edits"), F.col("freq").cast("double").alias("estimate"), F.col("word").alias("replacement"))
     unknown = written(spelling.unknown_words(tokens, dictionary), "unknown")
-    fixes = written(spelling.corrections(unknown, dictionary), "fixes")
-    single = fixes.join(dictionary, F.col("correction") == F.col("word")).select(
-        "token", F.col("distance").cast("int").alias("edits"), F.col("freq").cast("double").alias("estimate"), F.col("correction").alias("replacement"))
-    ways = single.unionByName(splits(unknown, dictionary, fixes.filter("distance = 1")))
-    best = ways.groupBy("token").agg(F.min(F.struct("edits", (-F.col("estimate")).alias("rank"), "replacement")).alias("b"))
-    return known.unionByName(best.select("token", "b.edits", (-F.col("b.rank")).alias("estimate"), "b.replacement"))
+    known = _known(dictionary).join(tokens, "token", "left_semi")
+    return known.unionByName(_unknown_readings(unknown, dictionary))
 
 
-def _look(column: str, word: Column, field: str) -> Column:
-    own = F.get(F.col(column), spelling._slot(word, F.size(column)))
-    return F.try_element_at(own, word)[field]
+def _neighbours(cut: DataFrame, key: str, longest: int) -> DataFrame:
+    """(key, i, a, b): words ``a`` and ``b`` with blanks between them, together no longer than a word can be; i is the place of ``a``."""
+    i, piece = F.col("i"), lambda at: F.get("_pieces", at)
+    places = F.explode(F.sequence(F.lit(0), F.greatest(F.size("_pieces") - 3, F.lit(0)))).alias("i")
+    # What stands beside blanks is a word, a placeholder or a "<".
+    words = ~F.startswith(piece(i), F.lit("<")) & ~F.startswith(piece(i + 2), F.lit("<"))
+    pairs = cut.select(key, "_pieces", places).filter((F.trim(piece(i + 1)) == "") & words)
+    return pairs.select(key, "i", F.lower(piece(i)).alias("a"), F.lower(piece(i + 2)).alias("b")) \
+        .filter(F.length("a") + F.length("b") <= longest)
 
 
 def spell_compound(texts: DataFrame, dictionary: DataFrame, key: str, column: str = "text", out: str = "corrected") -> DataFrame:
@@ -113,33 +138,18 @@ def spell_compound(texts: DataFrame, dictionary: DataFrame, key: str, column: st
     where a word could be joined with either neighbour, pairs are taken from the left. Null texts give an empty text.
     """
     dictionary = written(dictionary.select("word", "freq"), "dictionary")
-    total, _ = _sizes(dictionary)
-    tokens = written(texts.select(key, F.explode(spelling._words(F.col(column))).alias("token")), "tokens")
-    vocabulary = tokens.select("token").distinct()
-    known = written(readings(vocabulary, dictionary), "readings")
-    # Words that a dictionary word begins or ends with: only these can be joined.
-    cuts = dictionary.filter(F.length("word") > 1).select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i"))
-    begin = cuts.select(F.substr("word", F.lit(1), F.col("i")).alias("token"), F.lit(True).alias("head"), F.lit(None).cast("boolean").alias("tail"))
-    end = cuts.select(F.substr("word", F.col("i") + 1).alias("token"), F.lit(None).cast("boolean").alias("head"), F.lit(True).alias("tail"))
-    sides = begin.unionByName(end).groupBy("token").agg(F.max("head").alias("head"), F.max("tail").alias("tail")) \
-        .join(vocabulary, "token", "left_semi")
-    facts = written(known.join(sides, "token", "full"), "facts")
-    useful = facts.filter("edits > 0 OR head OR tail")
-    entry = F.struct("token", F.struct("edits", "estimate", "replacement", "head", "tail").alias("fact"))
-    hits = tokens.join(useful, "token").groupBy(key).agg(F.collect_list(entry).alias("_entries"))
-    rows = written(texts.join(hits, key, "left").withColumn("_slots", spelling._slotted(
-        F.coalesce("_entries", F.array().cast(hits.schema["_entries"].dataType)))).drop("_entries")
-        .withColumn("_pieces", spelling._pieces(F.col(column))), "pieces")
-
-    # Neighbours of which one begins and the other ends a word, with the places of the first; a text has few.
-    piece = lambda i: F.lower(F.get("_pieces", i))
-    may = lambda i: (F.rlike(F.get("_pieces", i + 1), F.lit(BLANK)) & _look("_slots", piece(i), "head")
-                     & _look("_slots", piece(i + 2), "tail"))
-    spots = F.filter(F.transform("_pieces", lambda _, i: i), lambda i: F.coalesce(may(i), F.lit(False)))
-    pairs = rows.select(key, "_pieces", F.explode(spots).alias("i")).select(
-        key, "i", piece(F.col("i")).alias("a"), piece(F.col("i") + 2).alias("b"))
-    whole = pairs.join(dictionary.select(F.col("word").alias("joined"), F.col("freq").cast("double").alias("f")),
-                       F.concat("a", "b") == F.col("joined"))
+    total, longest = _sizes(dictionary)
+    # Cut once: into words for the vocabulary, into pieces for the pairs and for what is put together in the end.
+    cut = written(texts.withColumns({"_pieces": spelling._pieces(F.col(column)), "_words": spelling._words(F.col(column))}), "cut")
+    tokens = cut.select(key, F.explode("_words").alias("token"))
+    unknown = written(spelling.unknown_words(tokens.select("token").distinct(), dictionary), "unknown")
+    fixes = written(_unknown_readings(unknown, dictionary), "readings")
+    entry = F.struct("token", "replacement")
+    hits = tokens.join(fixes.select("token", "replacement"), "token").groupBy(key).agg(F.collect_list(entry).alias("_entries"))
+
+    whole = _neighbours(cut, key, longest).join(dictionary.select(F.col("word").alias("joined"), F.col("freq").cast("double").alias("f")),
+                                                F.concat("a", "b") == F.col("joined"))
+    known = _known(dictionary).unionByName(fixes)
     cost = lambda side: known.select(F.col("token").alias(side), F.col("edits").alias(f"e_{side}"), F.col("estimate").alias(f"f_{side}"))
     costed = whole.join(cost("a"), "a", "left").join(cost("b"), "b", "left")
     apart = F.coalesce("e_a", F.lit(HOPELESS)) + F.coalesce("e_b", F.lit(HOPELESS))
@@ -151,20 +161,25 @@ def spell_compound(texts: DataFrame, dictionary: DataFrame, key: str, column: st
     chosen = wanted.withColumn("_run", after).withColumn("_nth", within).filter(F.col("_nth") % 2 == 1)
     entry = F.struct(F.col("i").cast("string").alias("token"), "joined")
     marks = chosen.groupBy(key).agg(F.collect_list(entry).alias("_marks"))
-    found = rows.join(marks, key, "left").withColumn("_joined", spelling._slotted(
-        F.coalesce("_marks", F.array().cast(marks.schema["_marks"].dataType))))
 
-    def joined(i: Column) -> Column:
-        at = i.cast("string")
-        return F.try_element_at(F.get("_joined", spelling._slot(at, F.size("_joined"))), at)
+    def slotted(entries: str, of: DataFrame) -> Column:
+        return spelling._slotted(F.coalesce(entries, F.array().cast(of.schema[entries].dataType)))
+
+    found = cut.drop("_words").join(hits, key, "left").join(marks, key, "left") \
+        .withColumns({"_slots": slotted("_entries", hits), "_joined": slotted("_marks", marks)})
+
+    def look(column: str, token: Column) -> Column:
+        return F.try_element_at(F.get(F.col(column), spelling._slot(token, F.size(column))), token)
+
+    def corrected(p: Column) -> Column:
+        # Every other piece is a blank, as a rule.
+        return F.when(p == " ", p).otherwise(F.coalesce(look("_slots", F.lower(p)), p))
 
     def fixed(p: Column, i: Column) -> Column:
-        word = F.lower(p)
-        own = F.when(_look("_slots", word, "edits") > 0, _look("_slots", word, "replacement"))
+        joined = lambda at: look("_joined", at.cast("string"))
         gone = joined(i - 1).isNotNull() | joined(i - 2).isNotNull()
-        return F.when(gone, "").otherwise(F.coalesce(joined(i), own, p))
+        return F.when(gone, "").otherwise(F.coalesce(joined(i), corrected(p)))
 
-    plain = F.array_join(F.transform("_pieces", lambda p: F.coalesce(
-        F.when(_look("_slots", F.lower(p), "edits") > 0, _look("_slots", F.lower(p), "replacement")), p)), "")
-    text = F.when(F.col("_marks").isNull(), plain).otherwise(F.array_join(F.transform("_pieces", fixed), ""))
-    return found.withColumn(out, text).drop("_slots", "_pieces", "_joined", "_marks")
+    pieces = F.when(F.col("_marks").isNotNull(), F.transform("_pieces", fixed)) \
+        .when(F.col("_entries").isNotNull(), F.transform("_pieces", corrected)).otherwise(F.col("_pieces"))
+    return found.withColumn(out, F.array_join(pieces, "")).drop("_slots", "_pieces", "_joined", "_marks", "_entries")

@@ -11,6 +11,7 @@ for distance 2. Everything runs on the vocabulary (distinct words), never on the
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -23,11 +24,6 @@ PREFIX = 7  # fixed value: letters of a word that keys are built from
 PIECES = r"<[A-Z][A-Z0-9_]*>|\p{L}+|[^\p{L}<]+|<"
 
 
-def _deletes(w: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(
-        F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
-
-
 def _swaps(w: Column) -> Column:
     """The word with each pair of neighbours exchanged."""
     return F.when(F.length(w) >= 2, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.concat(
@@ -35,13 +31,18 @@ def _swaps(w: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def delete_keys(w: Column, distance: int) -> Column:
-    keys = level = F.array(w)
-    for _ in range(distance):
-        level = F.array_distinct(F.flatten(F.transform(level, lambda x: F.when(
-            F.length(x) > 0, _deletes(x)).otherwise(F.array().cast("array<string>")))))
-        keys = F.concat(keys, level)
-    return F.array_distinct(keys)
+def delete_keys(w: Column, distance: int, length: int) -> Column:
+    """What is left of a word's first ``length`` letters after up to ``distance`` deletions, each once.
+
+    Every choice of places is an expression of its own; places beyond the word's end delete nothing.
+    """
+    def left(places: tuple[int, ...]) -> Column:
+        runs = itertools.pairwise((0, *places, length + 1))
+        kept = [F.substring(w, low + 1, high - low - 1) for low, high in runs if high - low > 1]
+        return F.concat(*kept) if kept else F.lit("")
+
+    return F.array_distinct(F.array(*[left(places) for n in range(distance + 1)
+                                      for places in itertools.combinations(range(1, length + 1), n)]))
 
 
 def _distance(token: Column, word: Column, lev: Column) -> Column:
@@ -67,10 +68,6 @@ def letter_bits(column: str) -> Column:
     return F.expr(f"aggregate(split({column}, ''), 0L, (bits, letter) -> bits | shiftleft(1L, ascii(letter) % 61))")
 
 
-def _keys(w: Column, distance: int, prefix: int) -> Column:
-    return F.explode(delete_keys(F.substring(w, 1, prefix), distance)).alias("key")
-
-
 def candidates(tokens: DataFrame, dictionary: DataFrame, distance: int, prefix: int = PREFIX) -> DataFrame:
     """(token, word, freq, distance) for all pairs within ``distance``.
 
@@ -84,17 +81,21 @@ joined. A pair usually shares several keys, so equal pairs are merged before the
         F.explode(F.sequence(F.col("n") - distance, F.col("n") + distance)).alias("n")).distinct()
     t = tokens.withColumn("n", F.length("token")).join(lengths, "n", "left_semi").drop("n")
     t = t.select("token", letter_bits("token").alias("t_bits")).repartition(width, "token")
-    t = t.select("token", "t_bits", _keys(F.col("token"), distance, prefix))
-    w = dictionary.select("word", "freq", letter_bits("word").alias("w_bits"), _keys(F.col("word"), distance, prefix))
+    t = t.select("token", "t_bits", F.explode(delete_keys(F.col("token"), distance, prefix)).alias("key"))
+    w = dictionary.select("word", "freq", letter_bits("word").alias("w_bits"),
+                          F.explode(delete_keys(F.col("word"), distance, prefix)).alias("key"))
     differing = F.bit_count(F.col("t_bits").bitwiseXOR(F.col("w_bits")))
     near = (F.abs(F.length("token") - F.length("word")) <= distance) & (differing <= 2 * distance)
     shared = t.join(w, (t["key"] == w["key"]) & near)
     pairs = shared.groupBy("token", "word").agg(F.first("freq").alias("freq"), F.first(differing).alias("differing"))
 
     def measured(lev: Column) -> Column:
-        # Beyond two plain edits only swaps come near, one with an edit or two alone; these change few letters.
-        possible = (lev >= 0) & ((lev <= 2) | ((lev == 3) & (F.col("differing") <= 2)) | (F.col("differing") == 0))
-        return F.when(possible, _distance(F.col("token"), F.col("word"), lev))
+        # Beyond two plain edits only swaps come near, one with an edit or two alone; these change few letters. A swap that
+        # counts as two plain edits changes none.
+        apart = F.abs(F.length("token") - F.length("word"))
+        possible = ((lev == 2) | ((lev == 3) & (F.col("differing") <= 2) & (apart <= 1)) | ((lev > 2) & (F.col("differing") == 0) & (apart == 0)))
+        plain = ((lev >= 0) & (lev <= 1)) | ((lev == 2) & (F.col("differing") > 0))
+        return F.when(plain, lev).when(possible, _distance(F.col("token"), F.col("word"), lev))
 
     # Measured once: a condition on a column would be worked out again where it is filtered.
     found = F.transform(F.array(F.levenshtein("token", "word", 2 * distance)), measured)

@@ -127,3 +127,21 @@ def test_empty_dictionary_and_empty_table(spark):
     assert compound.spell_compound(frame, empty, "k").collect() == []
     some = spark.createDataFrame([(1, "a text")], "k long, text string")
     assert [r.corrected for r in compound.spell_compound(some, empty, "k").collect()] == ["a text"]
+
+
+def test_a_line_end_is_no_blank(spark):
+    texts = ["th \ne quick", "th  e quick"]
+    assert corrected(spark, texts, WORDS) == [plain_text(t, WORDS) for t in texts] == ["the \na quick", "the quick"]
+
+
+def test_two_edits_are_tried_only_where_one_is_not_enough(spark, monkeypatch):
+    compared, whole = {1: set(), 2: set()}, compound.spelling.candidates
+
+    def watched(tokens, dictionary, distance, *rest):
+        compared[distance] |= {r.token for r in tokens.collect()}
+        return whole(tokens, dictionary, distance, *rest)
+
+    monkeypatch.setattr(compound.spelling, "candidates", watched)
+    got = read(spark, ["thequick", "foxx", "qiukc", "brown"], WORDS)
+    assert {t: r[2] for t, r in got.items()} == {"thequick": "the quick", "foxx": "fox", "qiukc": "quick", "brown": "brown"}
+    assert compared[2] == {"qiukc"}

@@ -1,5 +1,6 @@
 """What keeps spell correction small: letters are compared before words, and slots are numbered once."""
 
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -48,3 +49,19 @@ def test_slots_hold_every_entry_once(spark):
         assert len(slots) == max(1, -(-n ** 0.5 // 1))
         assert {k: v for m in slots for k, v in m.items()} == {f"w{i}": i for i in range(1, n + 1)}
         assert sum(len(m) for m in slots) == n
+
+
+def test_delete_keys_are_all_ways_to_leave_letters_out(spark):
+    words = ["", "a", "aa", "straße", "thethe", "abcdefg", "abcdefgh", "日本語", "😀a😀bc"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for distance in (0, 1, 2):
+        got = df.select("w", spelling.delete_keys(F.col("w"), distance, 7).alias("k")).collect()
+        for w, keys in got:
+            head = w[:7]
+            want = {"".join(c) for n in range(distance + 1) for c in itertools.combinations(head, max(0, len(head) - n))}
+            assert len(keys) == len(want) and set(keys) == want
+
+
+def test_a_key_is_one_flat_expression(spark):
+    df = spark.createDataFrame([("abcdefgh",)], "w string").select(spelling.delete_keys(F.col("w"), 2, 7))
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
