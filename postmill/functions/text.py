@@ -34,9 +34,8 @@ def clean_utf8(c: Column) -> Column:
     only touched if it was malformed too.
     """
     s = c.cast("string")
-    repaired = F.when(F.is_valid_utf8(s), s).otherwise(
-        F.regexp_replace(F.make_valid_utf8(s), "\ufffd", ""))
-    return F.coalesce(repaired, F.lit(""))
+    # Where it is well-formed, the value is worked out once: what is behind it may be the whole text of a document.
+    return F.coalesce(F.try_validate_utf8(s), F.regexp_replace(F.make_valid_utf8(s), "\ufffd", ""), F.lit(""))
 
 
 def strip(c: Column) -> Column:
