@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.batches import pieces, texts
 from postmill.llm.graph import components
-from postmill.session import written
+from postmill.session import unsized, written
 
 SEED = 42
 # Fingerprints that share a whole half: up to so many are compared by the join, more in blocks of BLOCK.
@@ -92,7 +92,7 @@ def _variant_pairs(halves: DataFrame, most: int) -> DataFrame:
     keyed = wild.select("fp", "one", packed(cleared, F.col("p")).alias("k"))
     left = keyed.filter(~F.col("one")).select(F.col("fp").alias("a"), "k").unionByName(whole.select(F.col("fp").alias("a"), "k"))
     right = keyed.filter("one").select(F.col("fp").alias("b"), "k").unionByName(whole.select(F.col("fp").alias("b"), "k"))
-    met = left.join(right, "k")
+    met = left.join(unsized(right), "k")
     same = F.col("k") % F.lit(1 << 38) < F.lit(1 << 32)  # no wildcard: both orders meet, one is enough
     return met.filter(_close(F.col("a"), F.col("b"), most) & (~same | (F.col("a") < F.col("b")))).select("a", "b")
 
@@ -134,14 +134,14 @@ def _crowded_links(halves: DataFrame, sizes: DataFrame, crowded: DataFrame, most
             F.col("s").bitwiseXOR(_bit(F.greatest(F.col("p"), F.lit(0)))))) \
         .select("side", F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).distinct()
     count = lambda name: sizes.select("side", F.col("seg").alias(name), F.ceil(F.col("n") / block).alias(f"blocks_{name}"))
-    pairs = near.join(count("s"), ["side", "s"]).join(count("t"), ["side", "t"]) \
+    pairs = near.join(unsized(count("s")), ["side", "s"]).join(unsized(count("t")), ["side", "t"]) \
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_s") - 1))) \
         .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_t") - 1))) \
         .filter("s <> t OR i <= j")
-    dealt = halves.join(sizes, ["side", "seg"]).withColumn("at", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / block)))
+    dealt = halves.join(unsized(sizes), ["side", "seg"]).withColumn("at", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / block)))
     keys = ["side", "s", "t", "i", "j"]
-    first = dealt.select("side", F.col("seg").alias("s"), F.col("at").alias("i"), "fp").join(pairs, ["side", "s", "i"])
-    second = dealt.select("side", F.col("seg").alias("t"), F.col("at").alias("j"), "fp").join(pairs, ["side", "t", "j"])
+    first = dealt.select("side", F.col("seg").alias("s"), F.col("at").alias("i"), "fp").join(unsized(pairs), ["side", "s", "i"])
+    second = dealt.select("side", F.col("seg").alias("t"), F.col("at").alias("j"), "fp").join(unsized(pairs), ["side", "t", "j"])
     rows = first.select(*keys, "fp", F.lit(True).alias("left")).unionByName(
         second.select(*keys, "fp", F.lit(False).alias("left")))
     return rows.groupBy(*keys).applyInPandas(_block_links(most), "a long, b long")

@@ -74,5 +74,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """The frame as a side of a join that is sorted and merged, whatever size Spark takes it for.
+
+    Used where a table grows with the input and its size is guessed too low: an explode counts as one row for each of its
+    input, a written table as its compressed files. What is broadcast passes through the driver.
+    """
+    return df.hint("merge")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,8 +1,10 @@
 import collections
+import re
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from postmill.llm import graph, simhash
 
@@ -109,6 +111,21 @@ def test_links_join_what_all_pairs_join(spark, crowd, block):
     assert {v: root(v) for v in values} == plain_components(values)
 
 
+def broadcast(df):
+    """The kinds of the joins that Spark would broadcast a side of."""
+    return re.findall(r"Broadcast\w+Join.*(Inner|LeftOuter|RightOuter|LeftAnti|LeftSemi)",
+                      df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_variants_are_not_broadcast_however_small_their_table_looks(spark, tmp_path):
+    # The table of fingerprints is far below Spark's bound, the table of their variants is 33 times as long.
+    spark.range(3000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    fps = spark.read.parquet(str(tmp_path / "fps"))
+    assert broadcast(simhash.links(fps)) == []
+    # Crowded halves are a small written table that the fingerprints are filtered by.
+    assert set(broadcast(simhash.links(fps, crowd=0))) <= {"LeftAnti"}
+
+
 def test_more_bits_are_refused(spark):
     with pytest.raises(ValueError, match="three"):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 4)
