@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.session import written
+from postmill.session import unsized, written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -13,11 +13,21 @@ def _both_ways(edges: DataFrame) -> DataFrame:
                                           F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
 
 
+def _with_least(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """Each pair (u, v) with the least m of its u.
+
+    They meet by the bits of u inverted, so that both sides are dealt anew: the runtime splits the rows of a hub where a join
+    reads two exchanges, not where one side is an aggregate already dealt by u.
+    """
+    key = F.bitwise_not("u").alias("k")
+    return pairs.select(key, "v").join(unsized(least.select(key, "m")), "k")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is hung below the least of the node and its neighbours."""
     pairs = _both_ways(edges)
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (pairs.filter("v > u").join(least, "u").filter("v <> m")
+    return (_with_least(pairs.filter("v > u"), least).filter("v <> m")
             .select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
 
 
@@ -25,7 +35,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are hung below the least of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(least, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    hung = _with_least(down, least).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return hung.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 

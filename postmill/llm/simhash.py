@@ -183,10 +183,10 @@ def grouped(signed: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> Data
     """(doc_id, fingerprint, component_id) per row of (doc_id, fp); ``linked`` gives the edges between the fps."""
     nodes = written(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = components(linked(nodes))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = nodes.join(unsized(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.select("fp", "root").join(firsts, "root").select("fp", "component_id")
-    return signed.join(named, "fp").select(
+    return signed.join(unsized(named), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

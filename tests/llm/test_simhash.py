@@ -126,6 +126,16 @@ def test_variants_are_not_broadcast_however_small_their_table_looks(spark, tmp_p
     assert set(broadcast(simhash.links(fps, crowd=0))) <= {"LeftAnti"}
 
 
+def test_components_are_joined_without_a_broadcast(spark, tmp_path):
+    # All nodes hang below one, so that the written edges are far smaller than their rows.
+    spark.range(1, 3000).selectExpr("id AS a", "0L AS b").write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.parquet(str(tmp_path / "edges"))
+    assert broadcast(graph._large_star(edges)) == broadcast(graph._small_star(edges)) == []
+    signed = edges.select(F.col("a").alias("doc_id"), F.col("b").alias("fp"))
+    # The roots of the fingerprints and the names of all rows; the first ids of components are sized as they are made.
+    assert len(broadcast(simhash.grouped(signed, lambda nodes: edges))) <= 1
+
+
 def test_more_bits_are_refused(spark):
     with pytest.raises(ValueError, match="three"):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 4)
